@@ -139,19 +139,22 @@ def group_quantiles(
     """Exact linearly interpolated quantiles of ``value`` per key, nulls ignored."""
     src = df.where(F.col(value).isNotNull())
     if fits(df, rows):
-        if weight:
-            aggs = [F.expr(f"percentile({value}, {q}d, {weight})").alias(n) for n, q in quantiles.items()]
-        else:
-            aggs = [F.percentile(value, q).alias(n) for n, q in quantiles.items()]
-        return src.groupBy(*keys).agg(*aggs)
-    w = F.sum(weight) if weight else F.count(F.lit(1))
-    runs = src.groupBy(*keys, value).agg(w.cast("long").alias("_c")).where("_c > 0")
-    ranked = running_total(runs, keys, [value], F.col("_c"), "_b", rows)
-    whole = runs.groupBy(*keys).agg(F.sum("_c").alias("_total"))
-    if keys:
-        ranked = ranked.join(whole, list(keys))
+        base, by = _with_key(src, keys)
+        w = Window.partitionBy(*by)
+        count = F.col(weight) if weight else F.lit(1)
+        earlier = w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = base.withColumn("_c", count.cast("long")).withColumns(
+            {"_b": F.coalesce(F.sum("_c").over(earlier), F.lit(0)), "_total": F.sum("_c").over(w)}
+        )
     else:
-        ranked = ranked.withColumn("_total", whole.select("_total").scalar())
+        w = F.sum(weight) if weight else F.count(F.lit(1))
+        runs = src.groupBy(*keys, value).agg(w.cast("long").alias("_c")).where("_c > 0")
+        ranked = running_total(runs, keys, [value], F.col("_c"), "_b", rows)
+        whole = runs.groupBy(*keys).agg(F.sum("_c").alias("_total"))
+        if keys:
+            ranked = ranked.join(whole, list(keys))
+        else:
+            ranked = ranked.withColumn("_total", whole.select("_total").scalar())
     aggs = []
     for name, q in quantiles.items():
         pos = (F.col("_total") - 1) * F.lit(float(q))

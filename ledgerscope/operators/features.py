@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerscope.case import Case
 from ledgerscope.functions.maths import entropy_bits, half_even, ratio
 from ledgerscope.functions.ordered import first_k, group_quantiles, previous
+from ledgerscope.session import materialize
 from ledgerscope.operators.participation import (
     counterparties,
     memberships,
@@ -97,7 +98,7 @@ def repeated_values(part: DataFrame) -> DataFrame:
 
 def wallet_features(case: Case, dust: float = DUST_BTC) -> DataFrame:
     """Wallet features keyed by address. Source records stay in ``wallet_sources``, one row each."""
-    part = participation(case)
+    part = materialize(participation(case), "participation")
     members = memberships(part)
     rows = case.flow_rows
     sums = members.groupBy("address").agg(
@@ -157,6 +158,7 @@ def wallet_features(case: Case, dust: float = DUST_BTC) -> DataFrame:
         "unique_country_count",
         "unique_asn_count",
         "source_record_count",
+        F.col("flows").alias("flow_count"),
     )
 
 

@@ -5,6 +5,8 @@ Every text starts from the same mapping of the star-schema tables onto a case.
 
 from __future__ import annotations
 
+from ledgerscope.plans.star_case import DIRTY
+
 CASE = """
 transactions AS MATERIALIZED (
   SELECT printf('tx-rec-%06d', o_orderkey) AS record_id, 'tx_' || o_orderkey AS txid, o_orderkey, o_custkey,
@@ -131,7 +133,7 @@ wf AS MATERIALIZED (
          CASE WHEN hi > lo THEN flows::DOUBLE / ((hi - lo) / 1e6) ELSE flows END AS transaction_rate,
          coalesce(median_time_gap, 0) AS median_time_gap, (hi - lo) / 1e6 AS wallet_lifetime_seconds,
          coalesce(ips, 0) AS connected_ip_count, coalesce(countries, 0) AS unique_country_count,
-         coalesce(asns, 0) AS unique_asn_count, transaction_count AS source_record_count
+         coalesce(asns, 0) AS unique_asn_count, transaction_count AS source_record_count, flows AS flow_count
   FROM w_sum JOIN w_cnt USING (address) LEFT JOIN w_gap USING (address) LEFT JOIN w_rep USING (address)
   LEFT JOIN w_cin USING (address) LEFT JOIN w_cout USING (address) LEFT JOIN w_cp USING (address)
   LEFT JOIN w_net USING (address))
@@ -180,10 +182,7 @@ UNION ALL SELECT 'network', count(*), count(DISTINCT txid), sum(src_port)::DOUBL
     ),
     "wallet_features": _with(
         "SELECT * REPLACE (" + half_even("transaction_rate", 10) + " AS transaction_rate, "
-        + half_even("median_transaction_value", 10) + " AS median_transaction_value, "
-        + half_even("net_balance_change", 8) + " AS net_balance_change, "
-        + half_even("total_volume", 8) + " AS total_volume, "
-        + half_even("average_transaction_value", 13) + " AS average_transaction_value) FROM wf",
+        + half_even("median_transaction_value", 10) + " AS median_transaction_value) FROM wf",
         PART, PAIRS, WALLET_FEATURES,
     ),
     "wallet_sources": _with(
@@ -213,3 +212,111 @@ SELECT 'RULE_MULTI_IP_RELAY_BURST' AS rule_id, txid, 'transaction:' || txid AS e
        || count(DISTINCT src_ip) || ' distinct IP addresses.' AS description
 FROM network WHERE txid IS NOT NULL GROUP BY txid HAVING count(DISTINCT src_ip) >= 3"""),
 }
+
+
+RECORDS = (
+    """
+base AS (SELECT o_orderkey AS k, o_custkey AS c, floor(o_totalprice)::BIGINT AS p,
+  strftime(make_timestamp((1704067200 + o_orderkey) * 1000000), '%Y-%m-%dT%H:%M:%S') AS iso,
+  strftime(make_timestamp((1704067200 + o_orderkey) * 1000000), '%Y/%m/%d %H:%M:%S') AS slashed FROM orders),
+dirty AS MATERIALIZED (SELECT k, """
+    + ", ".join(f"{text} AS {name}" for name, text in DIRTY.items())
+    + """ FROM base),
+lists AS MATERIALIZED (SELECT *,
+  list_transform(CASE WHEN senders LIKE '[%' THEN string_split(replace(replace(replace(senders, '[', ''), ']', ''), '"', ''), ',')
+       WHEN senders LIKE '%|%' THEN string_split(senders, '|') ELSE string_split(senders, ';') END, lambda x: trim(x)) AS ia,
+  CASE WHEN input_value LIKE '%|%' THEN string_split(input_value, '|') ELSE string_split(input_value, ',') END AS im,
+  try_cast(tx_fee AS DOUBLE) AS fee, try_cast(output_value AS DOUBLE) AS om,
+  (client_ip NOT LIKE '%:%' AND k % 300 > 255) AS bad_ip FROM dirty),
+issues AS MATERIALIZED (
+  SELECT record_id, 'error' AS issue_type, 'MISSING_TIMESTAMP' AS code, 'Timestamp is required.' AS message
+    FROM lists WHERE time = ''
+  UNION ALL SELECT record_id, 'error', 'INVALID_TIMESTAMP', 'Unable to parse timestamp: ' || time FROM lists WHERE time = 'not-a-date'
+  UNION ALL SELECT record_id, 'error', 'MISSING_TXID', 'Transaction rows must contain a non-empty txid.' FROM lists WHERE tx_hash = ''
+  UNION ALL SELECT record_id, 'error', 'ARRAY_PARITY_INPUT_MISMATCH', 'input_addresses length (' || len(ia)
+       || ') does not match input_amounts length (' || len(im) || ')' FROM lists WHERE len(ia) <> len(im)
+  UNION ALL SELECT record_id, 'error', 'NEGATIVE_INPUT_AMOUNT', 'Input amount at index 0 is negative: -5' FROM lists WHERE im[1] = '-5'
+  UNION ALL SELECT record_id, 'error', 'INVALID_INPUT_AMOUNT', 'Input amount at index 0 is not numeric: abc' FROM lists WHERE im[1] = 'abc'
+  UNION ALL SELECT record_id, 'error', 'NEGATIVE_OUTPUT_AMOUNT', 'Output amount at index 0 is negative: ' || output_value FROM lists WHERE om < 0
+  UNION ALL SELECT record_id, 'error', 'NEGATIVE_FEE', 'Fee cannot be negative: ' || tx_fee FROM lists WHERE fee < 0
+  UNION ALL SELECT record_id, 'error', 'INVALID_FEE', 'Fee must be numeric: ' || tx_fee FROM lists WHERE fee IS NULL
+  UNION ALL SELECT record_id, 'error', 'INVALID_SRC_IP', 'Invalid src_ip format: ' || client_ip FROM lists WHERE bad_ip
+  UNION ALL SELECT record_id, 'error', 'INVALID_SRC_PORT', 'src_port out of range [0-65535]: ' || source_port FROM lists
+       WHERE source_port::INT > 65535
+  UNION ALL SELECT record_id, 'warning', 'MONETARY_DISCREPANCY', '' FROM lists
+       WHERE im[1] <> 'abc' AND fee IS NOT NULL
+         AND abs(list_sum(list_transform(im, lambda x: try_cast(x AS DOUBLE))) - (om + fee)) > 1e-8),
+good AS MATERIALIZED (SELECT * FROM lists WHERE record_id NOT IN (SELECT record_id FROM issues WHERE issue_type = 'error')),
+clean AS MATERIALIZED (
+  SELECT record_id, trim(tx_hash) AS txid, 1704067200 + k AS timestamp_epoch, fee, array_to_string(ia, '+') AS input_addresses,
+         list_sum(list_transform(im, lambda x: x::DOUBLE)) AS total_input, recipients AS output_addresses, om AS total_output,
+         CASE WHEN k % 6 = 5 THEN CASE WHEN k % 10 = 0 THEN '2001:db8:0:0:1::' ELSE '2001:db8::1:0:0:' || (k % 10) END
+              ELSE client_ip END AS src_ip, trim(server_ip) AS dst_ip, source_port::INT AS src_port, dest_port::INT AS dst_port,
+         'US' AS geo_country, trim(as_number) AS asn FROM good)
+"""
+)
+
+
+def _records(select: str) -> str:
+    return f"WITH {RECORDS.strip()}\n{select}"
+
+
+ORACLES |= {
+    "validate_issues": _records("SELECT * FROM issues"),
+    "validate_counters": _records("""
+SELECT count(*) AS total_rows, (SELECT count(*) FROM good) AS accepted_rows, count(*) - (SELECT count(*) FROM good) AS rejected_rows,
+       (SELECT count(*) FROM issues WHERE issue_type = 'warning') AS warning_count FROM lists"""),
+    "normalize_records": _records("SELECT * FROM clean"),
+    "source_csv": _records("SELECT * FROM clean"),
+    "source_json": _records("SELECT * FROM clean"),
+    "source_json_wrapped": _records("SELECT * FROM clean"),
+    "source_xml": _records("SELECT * FROM clean"),
+    "records_to_case": _records("""
+SELECT txid, 'in' AS side, i.i - 1 AS position, ia[i.i] AS address, im[i.i]::DOUBLE AS amount
+FROM (SELECT * REPLACE (trim(tx_hash) AS tx_hash), trim(tx_hash) AS txid FROM good), generate_series(1, len(ia)) AS i(i)
+UNION ALL SELECT trim(tx_hash), 'out', 0, recipients, om FROM good"""),
+    "case_findings": _with("""
+SELECT 'E004_TRANSACTION_REFERENCE_MISSING' AS code, 'inputs.csv' AS file, 'txid' AS column_name, 'inputs.csv references ' ||
+  (SELECT count(DISTINCT txid) FROM inputs WHERE substr(txid, 4)::INT % 10 = 9) || ' txids not present in transactions.csv.' AS message
+UNION ALL SELECT 'E004_TRANSACTION_REFERENCE_MISSING', 'outputs.csv', 'txid', 'outputs.csv references ' ||
+  (SELECT count(DISTINCT txid) FROM outputs WHERE substr(txid, 4)::INT % 10 = 9) || ' txids not present in transactions.csv.'
+UNION ALL SELECT 'E003_TIMESTAMP_INVALID', 'transactions.csv', 'timestamp', 'Invalid timestamp formatting detected in transactions.csv.timestamp'
+UNION ALL SELECT 'E002_SCHEMA_INVALID', 'transactions.csv', 'fee', 'Negative values found in non-negative column transactions.csv.fee.'
+UNION ALL SELECT 'E002_SCHEMA_INVALID', 'inputs.csv', 'amount', 'Non-numeric values found in inputs.csv.amount.'
+"""),
+    "case_row_counts": _with("""
+SELECT 'transactions' AS file, count(*) AS rows FROM transactions UNION ALL SELECT 'inputs', count(*) FROM inputs
+UNION ALL SELECT 'outputs', count(*) FROM outputs UNION ALL SELECT 'network', count(*) FROM network"""),
+    "orphan_flows": _with("""
+SELECT DISTINCT prev_txid AS txid FROM inputs WHERE prev_txid IS NOT NULL AND prev_txid NOT IN (SELECT txid FROM transactions)"""),
+    "duplicate_ids": _with("SELECT txid, count(*) AS n FROM network WHERE txid IS NOT NULL GROUP BY txid HAVING count(*) > 1"),
+    "missing_endpoints": _with("""
+SELECT DISTINCT txid FROM (SELECT prev_txid AS txid FROM inputs WHERE prev_txid IS NOT NULL UNION ALL SELECT txid FROM inputs WHERE prev_txid IS NOT NULL)
+WHERE txid NOT IN (SELECT txid FROM outputs)"""),
+    "time_inversions": _with("""
+SELECT i.txid, i.prev_txid, p.timestamp_epoch - t.timestamp_epoch AS seconds_early FROM inputs i JOIN transactions t USING (txid)
+JOIN transactions p ON p.txid = i.prev_txid WHERE t.timestamp_epoch < p.timestamp_epoch"""),
+    "canonical_transactions": _with("""
+SELECT txid, timestamp_epoch, strftime(make_timestamp(timestamp_epoch * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS timestamp_iso,
+       CASE WHEN o_orderkey % 7 = 3 THEN 0 ELSE """ + half_even("fee", 8) + """ END AS fee, size::BIGINT AS size, 1 AS version, 0 AS locktime
+FROM transactions"""),
+    "canonical_flows": _with("""
+SELECT txid, input_index AS at_index, prev_txid, address, """ + half_even("amount", 8) + """ AS amount, 'p2wpkh' AS script_type FROM inputs
+UNION ALL SELECT txid, output_index, NULL, address, """ + half_even("amount", 8) + """, 'unknown' FROM outputs"""),
+    "canonical_network": _with("""
+SELECT txid, us // 1000000 AS timestamp_epoch,
+       CASE WHEN event_id % 11 = 5 THEN '0.0.0.0' ELSE src_ip END AS src_ip, dst_ip,
+       CASE WHEN event_id % 13 = 2 THEN 0 ELSE src_port END AS src_port, dst_port, asn,
+       CASE WHEN event_id % 6 = 1 THEN 'UNKNOWN' ELSE geo_country END AS geo_country FROM network"""),
+    "record_ids": _with("""
+SELECT txid, printf('tx-rec-%06d', row_number() OVER (ORDER BY timestamp_epoch, txid) - 1) AS record_id FROM transactions"""),
+    "entity_types": _with("""
+SELECT id, CASE WHEN id LIKE 'wallet:%' OR id LIKE 'bc1%' OR (len(id) >= 25 AND (id LIKE '1%' OR id LIKE '3%')) THEN 'wallet'
+  WHEN id LIKE 'transaction:%' OR id LIKE 'tx\\_%' ESCAPE '\\' OR (len(id) = 64 AND regexp_full_match(id, '[0-9a-fA-F]{64}')) THEN 'transaction'
+  WHEN id LIKE 'ip:%' OR (contains(id, '.') AND regexp_matches(id, '[0-9]')) THEN 'ip'
+  WHEN id LIKE 'asn:%' OR id LIKE 'AS%' THEN 'asn' WHEN id LIKE 'country:%' THEN 'country' ELSE 'wallet' END AS entity_type
+FROM (SELECT txid AS id FROM transactions UNION SELECT 'transaction:' || txid FROM transactions UNION SELECT sha256(txid) FROM transactions
+      UNION SELECT address FROM outputs UNION SELECT 'wallet:' || address FROM outputs UNION SELECT 'bc1' || address FROM outputs
+      UNION SELECT src_ip FROM network UNION SELECT 'ip:' || src_ip FROM network UNION SELECT asn FROM network
+      UNION SELECT 'asn:' || asn FROM network UNION SELECT 'country:' || geo_country FROM network)"""),
+}

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.maths import half_even
 from ledgerscope.operators import correlate, features, participation as parts
-from ledgerscope.plans.star_case import star_case
+from ledgerscope.operators import case_files, records
+from ledgerscope.functions import text
+from ledgerscope.plans.star_case import dirty_records, star_case
+from ledgerscope.session import work_path
+from ledgerscope.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,7 +58,13 @@ def transaction_features(spark, sf):
 def _wallets(case) -> DataFrame:
     w = rounded(features.wallet_features(case), total_incoming=8, total_outgoing=8)
     got, paid = F.col("total_incoming"), F.col("total_outgoing")
-    return w.withColumns({"total_volume": got + paid, "net_balance_change": got - paid})
+    return w.withColumns(
+        {
+            "total_volume": got + paid,
+            "net_balance_change": got - paid,
+            "average_transaction_value": (got + paid) / F.col("flow_count"),
+        }
+    )
 
 
 @query
@@ -63,9 +73,6 @@ def wallet_features(spark, sf):
         _wallets(star_case(spark, sf)),
         transaction_rate=10,
         median_transaction_value=10,
-        average_transaction_value=13,
-        total_volume=8,
-        net_balance_change=8,
     )
 
 
@@ -123,3 +130,217 @@ def relay_latency(spark, sf):
 @query
 def relay_bursts(spark, sf):
     return correlate.relay_bursts(star_case(spark, sf))
+
+
+# --- mapping, validation, normalisation and the text sources
+
+
+def _checked(raw: DataFrame) -> DataFrame:
+    return records.validate(records.map_columns(raw))
+
+
+@query
+def validate_issues(spark, sf):
+    rows = records.issue_rows(_checked(dirty_records(spark, sf)))
+    said = F.when(F.col("code") == "MONETARY_DISCREPANCY", "").otherwise(F.col("message"))
+    return rows.withColumn("message", said)
+
+
+@query
+def validate_counters(spark, sf):
+    return records.counters(_checked(dirty_records(spark, sf)))
+
+
+def _clean(checked: DataFrame) -> DataFrame:
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return records.normalize(checked).where("is_transaction").select(
+        "record_id",
+        "txid",
+        F.unix_seconds("timestamp").alias("timestamp_epoch"),
+        "fee",
+        F.concat_ws("+", "input_addresses").alias("input_addresses"),
+        total(F.col("input_amounts")).alias("total_input"),
+        F.concat_ws("+", "output_addresses").alias("output_addresses"),
+        total(F.col("output_amounts")).alias("total_output"),
+        "src_ip",
+        "dst_ip",
+        "src_port",
+        "dst_port",
+        "geo_country",
+        "asn",
+    )
+
+
+@query
+def normalize_records(spark, sf):
+    return _clean(_checked(dirty_records(spark, sf)))
+
+
+@query
+def source_csv(spark, sf):
+    path = work_path(spark, "csv")
+    dirty_records(spark, sf).write.option("escape", '"').csv(path, header=True, emptyValue="")
+    return _clean(records.validate(readers.read_records(spark, path, "csv")))
+
+
+@query
+def source_json(spark, sf):
+    path = work_path(spark, "ndjson")
+    raw = dirty_records(spark, sf)
+    bare = F.translate("senders", '[]" ', "")
+    raw.withColumn("senders", F.split(bare, "[|;,]")).write.json(path)
+    return _clean(records.validate(readers.read_records(spark, path, "ndjson")))
+
+
+@query
+def source_json_wrapped(spark, sf):
+    """A folder of one-document files, each {"records": [...]} with one record."""
+    path = work_path(spark, "json")
+    dirty_records(spark, sf).select(F.array(F.struct("*")).alias("records")).write.json(path)
+    return _clean(records.validate(readers.read_records(spark, path, "json")))
+
+
+@query
+def source_xml(spark, sf):
+    path = work_path(spark, "xml")
+    dirty_records(spark, sf).write.option("rootTag", "records").option("rowTag", "record").xml(path)
+    return _clean(records.validate(readers.read_records(spark, path, "xml")))
+
+
+@query
+def records_to_case(spark, sf):
+    case = records.to_case(records.normalize(_checked(dirty_records(spark, sf))))
+    ins = case.inputs.select("txid", F.lit("in").alias("side"), F.col("input_index").alias("position"), "address", "amount")
+    outs = case.outputs.select("txid", F.lit("out").alias("side"), F.col("output_index").alias("position"), "address", "amount")
+    return ins.unionByName(outs)
+
+
+# --- the four case files
+
+
+def _raw_case(case):
+    """The case as it might be delivered: text columns, some of them wrong."""
+    key = F.substring("txid", 4, 20).cast("long")
+    transactions = case.transactions.select(
+        F.when(key % 10 == 9, F.concat(F.lit("zz_"), key)).otherwise(F.col("txid")).alias("txid"),
+        F.when(key % 1000 == 6, "bad").otherwise(F.col("timestamp_epoch").cast("string")).alias("timestamp"),
+        F.when(key % 1000 == 5, -1.0).otherwise(F.col("fee")).cast("string").alias("fee"),
+        F.col("size").cast("string").alias("size"),
+    )
+    amount = F.when(key % 1000 == 7, "n/a").otherwise(F.col("amount").cast("string"))
+    return {
+        "transactions": transactions,
+        "inputs": case.inputs.withColumn("amount", amount),
+        "outputs": case.outputs,
+        "network": case.network,
+    }
+
+
+@query
+def case_findings(spark, sf):
+    found = case_files.case_findings(_raw_case(star_case(spark, sf)), spark)
+    return found.withColumnRenamed("column", "column_name")
+
+
+@query
+def case_row_counts(spark, sf):
+    case = star_case(spark, sf)
+    return case_files.row_counts(
+        {"transactions": case.transactions, "inputs": case.inputs, "outputs": case.outputs, "network": case.network}
+    )
+
+
+@query
+def orphan_flows(spark, sf):
+    case = star_case(spark, sf)
+    return case_files.orphans(case.inputs.select(F.col("prev_txid").alias("txid")), case.transactions)
+
+
+@query
+def duplicate_ids(spark, sf):
+    return case_files.duplicate_ids(star_case(spark, sf).network.where("txid is not null"))
+
+
+@query
+def missing_endpoints(spark, sf):
+    case = star_case(spark, sf)
+    spends = case.inputs.where("prev_txid is not null").select("prev_txid", "txid")
+    nodes = case.outputs.select("txid").distinct()
+    return case_files.missing_endpoints(spends, nodes, "prev_txid", "txid", "txid")
+
+
+@query
+def time_inversions(spark, sf):
+    return case_files.time_inversions(star_case(spark, sf))
+
+
+@query
+def canonical_transactions(spark, sf):
+    case = star_case(spark, sf)
+    key = F.substring("txid", 4, 20).cast("long")
+    raw = case.transactions.select(
+        F.concat(F.lit(" "), F.upper("txid")).alias("txid"),
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        F.when(key % 7 == 3, "n/a").otherwise(half_even("fee", 8).cast("string")).alias("fee"),
+        F.col("size").cast("string").alias("size"),
+    )
+    return case_files.canonical_transactions(raw).drop("timestamp")
+
+
+@query
+def canonical_flows(spark, sf):
+    case = star_case(spark, sf)
+    ins = case_files.canonical_inputs(case.inputs.withColumn("script_type", F.lit(" P2WPKH")))
+    outs = case_files.canonical_outputs(case.outputs)
+    none = F.lit(None).cast("string")
+    both = ins.select("txid", F.col("input_index").alias("at_index"), "prev_txid", "address", "amount", "script_type").unionByName(
+        outs.select("txid", F.col("output_index").alias("at_index"), none.alias("prev_txid"), "address", "amount", "script_type")
+    )
+    return rounded(both, amount=8)
+
+
+@query
+def canonical_network(spark, sf):
+    net = star_case(spark, sf).network
+    key = F.substring("record_id", 5, 20).cast("long")
+    raw = net.select(
+        "txid",
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        F.when(key % 11 == 5, "n.a.").when(key % 2 == 0, F.concat("src_ip", F.lit(":8333"))).otherwise(F.col("src_ip")).alias("src_ip"),
+        F.concat(F.lit(" "), "dst_ip").alias("dst_ip"),
+        F.when(key % 13 == 2, "?").otherwise(F.col("src_port").cast("string")).alias("src_port"),
+        "dst_port",
+        F.lower("asn").alias("asn"),
+        F.when(key % 6 == 1, "nan").otherwise(F.lower("geo_country")).alias("country"),
+    )
+    return case_files.canonical_network(raw).drop("timestamp", "timestamp_iso")
+
+
+@query
+def record_ids(spark, sf):
+    case = star_case(spark, sf)
+    bare = case.transactions.select("txid", "timestamp_epoch")
+    named = readers.synthesize_ids(bare, "tx-rec", ["timestamp_epoch", "txid"], case.tx_rows)
+    return named.select("txid", "record_id")
+
+
+@query
+def entity_types(spark, sf):
+    case = star_case(spark, sf)
+    forms = [
+        case.transactions.select("txid"),
+        case.transactions.select(F.concat(F.lit("transaction:"), "txid")),
+        case.transactions.select(F.sha2("txid", 256)),
+        case.outputs.select("address"),
+        case.outputs.select(F.concat(F.lit("wallet:"), "address")),
+        case.outputs.select(F.concat(F.lit("bc1"), "address")),
+        case.network.select("src_ip"),
+        case.network.select(F.concat(F.lit("ip:"), "src_ip")),
+        case.network.select("asn"),
+        case.network.select(F.concat(F.lit("asn:"), "asn")),
+        case.network.select(F.concat(F.lit("country:"), "geo_country")),
+    ]
+    ids = forms[0].toDF("id")
+    for form in forms[1:]:
+        ids = ids.union(form.toDF("id"))
+    return ids.distinct().select("id", text.entity_type(F.col("id")).alias("entity_type"))

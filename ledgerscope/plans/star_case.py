@@ -104,3 +104,40 @@ def star_case(spark: SparkSession, sf_dir: str) -> Case:
     )
     # Two inputs per order at most; the other bounds are the table counts themselves.
     return Case(transactions, inputs, outputs, network, (n_orders, 2 * n_orders, n_lines, n_events))
+
+
+# Untidy text derived from the orders by fixed expressions: k the order key, c the customer, p whole units.
+DIRTY = {
+    "record_id": "'r' || k",
+    "time": """CASE k % 5 WHEN 0 THEN '' || (1704067200 + k) WHEN 1 THEN '' || (1704067200000 + k * 1000)
+                WHEN 2 THEN iso || 'Z' WHEN 3 THEN slashed
+                ELSE CASE WHEN k % 35 = 4 THEN 'not-a-date' WHEN k % 55 = 9 THEN '' ELSE iso END END""",
+    "tx_hash": "CASE WHEN k % 97 = 0 THEN '' ELSE ' tx_' || k || ' ' END",
+    "senders": """CASE k % 4 WHEN 0 THEN 'W' || c || '|W' || k WHEN 1 THEN 'W' || c || '; W' || k
+                   WHEN 2 THEN '["W' || c || '","W' || k || '"]' ELSE 'W' || c END""",
+    "input_value": """CASE WHEN k % 41 = 0 THEN '' || p WHEN k % 50 = 7 THEN '-5|3' WHEN k % 60 = 8 THEN 'abc,3'
+                       WHEN k % 4 = 3 THEN '' || p ELSE p || '|' || (p + 1) END""",
+    "recipients": "'W' || (k % 1000)",
+    "output_value": "CASE WHEN k % 2 = 0 THEN '' || (2 * p + 1 - k % 100) ELSE '' || p END",
+    "tx_fee": "CASE WHEN k % 45 = 1 THEN 'x' WHEN k % 46 = 2 THEN '-1' ELSE '' || (k % 100) END",
+    "client_ip": """CASE WHEN k % 6 = 5 THEN ' 2001:0DB8:0000:0:1:0:0:' || (k % 10)
+                     ELSE '10.0.0.' || (k % 300) END""",
+    "server_ip": "'192.0.2.' || (k % 250) || ' '",
+    "source_port": "'' || ((k * 7) % 70000)",
+    "dest_port": "'8333'",
+    "country": "' us '",
+    "as_number": "' AS' || (k % 20)",
+}
+
+
+def dirty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    when = "timestamp_seconds(1704067200 + o_orderkey)"
+    base = read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS k",
+        "o_custkey AS c",
+        "cast(floor(o_totalprice) AS bigint) AS p",
+        f"date_format({when}, \"yyyy-MM-dd'T'HH:mm:ss\") AS iso",
+        f"date_format({when}, 'yyyy/MM/dd HH:mm:ss') AS slashed",
+    )
+    return base.selectExpr(*[f"{text} AS {name}" for name, text in DIRTY.items()])

@@ -56,3 +56,10 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def split_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(SPLIT_ROWS_KEY, str(SPLIT_ROWS_DEFAULT)))
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table several branches read to the shared folder and reads it back by column."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
