@@ -83,11 +83,15 @@ def _ipv6_canonical(text: Column) -> Column:
     fill = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
     groups = F.when(text.contains("::"), F.concat(left, fill, right)).otherwise(F.split(text, ":"))
     plain = F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
-    out = plain
-    for n in range(2, 9):
-        run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
-        out = F.when(plain.rlike(run), F.regexp_replace(plain, run, "$1::$2")).otherwise(out)
-    return out
+
+    def squeeze(p: Column) -> Column:
+        runs = F.regexp_extract_all(p, F.lit(r"(?:^|(?<=:))0(?::0)+(?=:|$)"), F.lit(0))
+        longest = F.array_max(F.transform(runs, lambda r: F.length(r)))
+        more = F.floor(longest / 2).cast("string")
+        pattern = F.concat(F.lit("^(.*?)(?:^|:)0(?::0){"), more, F.lit("}(?:$|:)(.*)$"))
+        return F.when(longest.isNull(), p).otherwise(F.regexp_replace(p, pattern, F.lit("$1::$2")))
+
+    return F.get(F.transform(F.array(plain), squeeze), F.lit(0))
 
 
 def ip_ok(col: Column) -> Column:

@@ -94,6 +94,14 @@ def validate(mapped: DataFrame, kind: str = "auto", epsilon: float = MONEY_EPSIL
     """Adds ``issues`` (array of issue_type, code, message) and ``is_valid``."""
     df = _complete(mapped)
     col = F.col
+    # Parsed once here, read several times below.
+    parsed = {
+        "_at": text.parse_timestamp(col("timestamp")),
+        "_fee": col("fee").try_cast("double"),
+        "_input": text.parse_numbers(col("input_amounts")),
+        "_output": text.parse_numbers(col("output_amounts")),
+    }
+    df = df.withColumns(parsed)
 
     def given(*names: str) -> Column:
         flags = [col(n).isNotNull() for n in names]
@@ -106,7 +114,7 @@ def validate(mapped: DataFrame, kind: str = "auto", epsilon: float = MONEY_EPSIL
     as_net = F.lit(kind in ("network", "combined")) | (F.lit(kind == "auto") & given(*NET_FIELDS))
     time_text = F.trim("timestamp")
     no_time = F.coalesce(time_text, F.lit("")) == ""
-    fee = col("fee").try_cast("double")
+    fee = col("_fee")
 
     def parity(side: str) -> Column:
         a, m = F.size(f"{side}_addresses"), F.size(f"{side}_amounts")
@@ -118,14 +126,15 @@ def validate(mapped: DataFrame, kind: str = "auto", epsilon: float = MONEY_EPSIL
         )
 
     def total(side: str) -> Column:
-        return F.aggregate(text.parse_numbers(col(f"{side}_amounts")), F.lit(0.0), lambda acc, x: acc + x)
+        return F.aggregate(f"_{side}", F.lit(0.0), lambda acc, x: acc + x)
 
     def numeric(side: str) -> Column:
         items = col(f"{side}_amounts")
-        return (F.size(items) > 0) & (F.size(text.parse_numbers(items)) == F.size(items))
+        return (F.size(items) > 0) & (F.size(f"_{side}") == F.size(items))
 
-    expected = total("output") + F.coalesce(fee, F.lit(0.0))
-    delta = F.abs(total("input") - expected)
+    df = df.withColumns({"_paid": total("input"), "_due": total("output") + F.coalesce(fee, F.lit(0.0))})
+    expected = col("_due")
+    delta = F.abs(col("_paid") - expected)
     summable = numeric("input") & numeric("output") & (col("fee").isNull() | fee.isNotNull())
 
     def address(name: str) -> Column:
@@ -146,7 +155,7 @@ def validate(mapped: DataFrame, kind: str = "auto", epsilon: float = MONEY_EPSIL
     single = F.array_compact(
         F.array(
             F.when(no_time, _issue("error", "MISSING_TIMESTAMP", "Timestamp is required.")).when(
-                text.parse_timestamp(col("timestamp")).isNull(),
+                col("_at").isNull(),
                 _issue("error", "INVALID_TIMESTAMP", F.concat(F.lit("Unable to parse timestamp: "), _shown("timestamp"))),
             ),
             F.when(
@@ -166,7 +175,7 @@ def validate(mapped: DataFrame, kind: str = "auto", epsilon: float = MONEY_EPSIL
                     "warning",
                     "MONETARY_DISCREPANCY",
                     F.concat(
-                        F.lit("Discrepancy detected: total_in ("), _shown(total("input")),
+                        F.lit("Discrepancy detected: total_in ("), _shown("_paid"),
                         F.lit(") != total_out + fee ("), _shown(expected),
                         F.lit("), delta = "), F.format_string("%.8f", delta),
                     ),
@@ -183,7 +192,11 @@ def validate(mapped: DataFrame, kind: str = "auto", epsilon: float = MONEY_EPSIL
         return F.when(as_tx & col(f"{side}_amounts").isNotNull(), _amount_issues(side)).otherwise(none)
 
     checked = df.withColumn("issues", F.concat(single, amounts("input"), amounts("output")))
-    return checked.withColumn("is_valid", ~F.exists("issues", lambda i: i["issue_type"] == "error"))
+    # A later filter on is_valid would be pushed below these projections, every parsed column copied into
+    # it over and over. The scan's row number is not deterministic, so a filter on it stays above them.
+    numbered = F.monotonically_increasing_id() >= 0
+    done = checked.withColumn("is_valid", ~F.exists("issues", lambda i: i["issue_type"] == "error") & numbered)
+    return done.drop(*parsed, "_paid", "_due")
 
 
 def issue_rows(validated: DataFrame) -> DataFrame:

@@ -320,3 +320,205 @@ FROM (SELECT txid AS id FROM transactions UNION SELECT 'transaction:' || txid FR
       UNION SELECT src_ip FROM network UNION SELECT 'ip:' || src_ip FROM network UNION SELECT asn FROM network
       UNION SELECT 'asn:' || asn FROM network UNION SELECT 'country:' || geo_country FROM network)"""),
 }
+
+# --- entity graph
+
+GRAPH = """
+known AS (SELECT * FROM network WHERE txid IN (SELECT txid FROM transactions)),
+ent_edges AS MATERIALIZED (
+  SELECT src, dst, type, any_value(basis) AS basis, count(*)::DOUBLE AS weight, sum(amount) AS amount,
+         min(us) AS first_us, max(us) AS last_us, count(record_id) AS records FROM (
+    SELECT 'wallet:' || address AS src, 'transaction:' || txid AS dst, 'SPENT_FROM' AS type, 'tx_input' AS basis, amount, us, record_id
+      FROM part WHERE sent = 1
+    UNION ALL SELECT 'transaction:' || txid, 'wallet:' || address, 'SENT_TO', 'tx_output', amount, us, record_id FROM part WHERE sent = 0
+    UNION ALL SELECT 'ip:' || src_ip, 'transaction:' || txid, 'RELAYED_BY', 'exact_txid', NULL, us, record_id FROM known
+    UNION ALL SELECT 'ip:' || src_ip, 'asn:' || asn, 'HOSTED_IN', 'asn_lookup', NULL, NULL, NULL FROM network
+    UNION ALL SELECT 'ip:' || src_ip, 'country:' || geo_country, 'LOCATED_IN', 'geoip', NULL, NULL, NULL FROM network)
+  GROUP BY src, dst, type),
+ent_nodes AS MATERIALIZED (
+  SELECT DISTINCT 'wallet:' || address AS id, 'wallet' AS type, address AS label FROM part
+  UNION ALL SELECT 'transaction:' || txid, 'transaction', CASE WHEN len(txid) > 12 THEN substr(txid, 1, 8) || '...' ELSE txid END FROM transactions
+  UNION ALL SELECT DISTINCT 'ip:' || src_ip, 'ip', src_ip FROM network
+  UNION ALL SELECT DISTINCT 'asn:' || asn, 'asn', asn FROM network
+  UNION ALL SELECT DISTINCT 'country:' || geo_country, 'country', geo_country FROM network),
+ent_deg AS MATERIALIZED (
+  SELECT id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree, coalesce(i, 0) + coalesce(o, 0) AS degree
+  FROM ent_nodes LEFT JOIN (SELECT dst AS id, count(*) AS i FROM ent_edges GROUP BY dst) USING (id)
+  LEFT JOIN (SELECT src AS id, count(*) AS o FROM ent_edges GROUP BY src) USING (id)),
+ent_und AS MATERIALIZED (SELECT src AS u, dst AS v FROM ent_edges UNION SELECT dst, src FROM ent_edges)
+"""
+
+ENT_WCC = """
+cc(id, component) USING KEY (id) AS (
+  SELECT id, id FROM ent_nodes
+  UNION
+  SELECT e.v, min(c.component) FROM cc c JOIN ent_und e ON e.u = c.id JOIN recurring.cc r ON r.id = e.v
+  WHERE c.component < r.component GROUP BY e.v)
+"""
+
+SPENDS = """
+spend_rows AS MATERIALIZED (
+  SELECT i.prev_txid AS src, i.txid AS dst FROM inputs i JOIN outputs o ON o.txid = i.prev_txid AND o.output_index = i.prev_vout
+  WHERE i.prev_txid <> i.txid),
+spends AS MATERIALIZED (SELECT DISTINCT src, dst FROM spend_rows),
+sp_und AS MATERIALIZED (SELECT src AS u, dst AS v FROM spends UNION SELECT dst, src FROM spends),
+sp_in AS (SELECT dst AS txid, count(*) AS i FROM spends GROUP BY dst),
+sp_out AS (SELECT src AS txid, count(*) AS o FROM spends GROUP BY src),
+sp_deg AS MATERIALIZED (SELECT txid AS id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree, coalesce(i, 0) + coalesce(o, 0) AS degree
+  FROM transactions LEFT JOIN sp_in USING (txid) LEFT JOIN sp_out USING (txid))
+"""
+
+SPEND_WCC = """
+cc(id, component) USING KEY (id) AS (
+  SELECT txid, txid FROM transactions
+  UNION
+  SELECT e.v, min(c.component) FROM cc c JOIN sp_und e ON e.u = c.id JOIN recurring.cc r ON r.id = e.v
+  WHERE c.component < r.component GROUP BY e.v)
+"""
+
+CYCLES = """
+ent_cycles AS MATERIALIZED (
+  SELECT id, count(*) AS short_cycle_count FROM (
+    SELECT unnest(['wallet:' || address, 'transaction:' || txid]) AS id FROM (
+      SELECT DISTINCT address, txid FROM part WHERE sent = 1 INTERSECT SELECT DISTINCT address, txid FROM part WHERE sent = 0)
+    UNION ALL
+    SELECT unnest(['wallet:' || a.ia, 'wallet:' || a.oa, 'transaction:' || a.txid, 'transaction:' || b.txid])
+    FROM pairs a JOIN pairs b ON a.oa = b.ia AND a.ia = b.oa AND a.txid <> b.txid WHERE a.ia < a.oa) GROUP BY id)
+"""
+
+
+def _rank_rounds(nodes: str, edges: str, rounds: int, alpha: float = 0.85) -> str:
+    """A fixed number of PageRank rounds as a chain of tables; ``edges`` is (src, dst, weight)."""
+    out = [
+        f"pr_w AS MATERIALIZED (SELECT src, sum(weight) AS total FROM {edges} GROUP BY src)",
+        f"pr_n AS MATERIALIZED (SELECT id, count(*) OVER () AS n, id NOT IN (SELECT src FROM pr_w) AS idle FROM {nodes})",
+        "pr_0 AS MATERIALIZED (SELECT id, n, idle, 1.0::DOUBLE / n AS r FROM pr_n)",
+    ]
+    for i in range(1, rounds + 1):
+        out.append(f"""pr_{i} AS MATERIALIZED (
+  SELECT p.id, p.n, p.idle, {alpha} * (coalesce(g.got, 0) + (SELECT coalesce(sum(r) FILTER (WHERE idle), 0) FROM pr_{i - 1}) / p.n)
+         + (1 - {alpha}) / p.n AS r
+  FROM pr_{i - 1} p LEFT JOIN (SELECT e.dst AS id, sum(q.r * e.weight / w.total) AS got FROM {edges} e JOIN pr_w w USING (src)
+       JOIN pr_{i - 1} q ON q.id = e.src GROUP BY e.dst) g USING (id))""")
+    return ",\n".join(out)
+
+
+def _label_rounds(nodes: str, und: str, rounds: int) -> str:
+    out = [f"lp_0 AS MATERIALIZED (SELECT id, id AS label FROM {nodes})"]
+    for i in range(1, rounds + 1):
+        out.append(f"""lp_{i} AS MATERIALIZED (
+  SELECT id, arg_min(label, (-c, label)) AS label FROM (
+    SELECT id, label, count(*) AS c FROM (SELECT e.u AS id, l.label FROM {und} e JOIN lp_{i - 1} l ON l.id = e.v
+      UNION ALL SELECT id, label FROM lp_{i - 1}) GROUP BY id, label) GROUP BY id)""")
+    out.append(f"""lp AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY label) AS community FROM lp_{rounds}),
+lp_size AS (SELECT community, count(*) AS community_size FROM lp GROUP BY community)""")
+    return ",\n".join(out)
+
+
+def _core_rounds(und: str, rounds: int) -> str:
+    """Repeated h-index of neighbours' values; more rounds than the graph needs change nothing."""
+    out = [f"kc_0 AS MATERIALIZED (SELECT u AS id, count(*) AS core FROM {und} GROUP BY u)"]
+    for i in range(1, rounds + 1):
+        out.append(f"""kc_{i} AS MATERIALIZED (
+  SELECT id, max(least(core, rn)) AS core FROM (
+    SELECT e.u AS id, k.core, row_number() OVER (PARTITION BY e.u ORDER BY k.core DESC) AS rn
+    FROM {und} e JOIN kc_{i - 1} k ON k.id = e.v) GROUP BY id)""")
+    return ",\n".join(out)
+
+
+TRIANGLES = """
+sp_tri AS (
+  SELECT id, count(*) AS triangle_count FROM (
+    SELECT unnest([a.u, a.v, b.v]) AS id FROM sp_und a JOIN sp_und b ON a.v = b.u JOIN sp_und c ON c.u = a.u AND c.v = b.v
+    WHERE a.u < a.v AND b.u < b.v) GROUP BY id)
+"""
+
+TWO_HOPS = """
+sp_two AS MATERIALIZED (SELECT DISTINCT a.src AS s, b.dst AS t FROM spends a JOIN spends b ON a.dst = b.src WHERE a.src <> b.dst)
+"""
+
+STEPS = """
+steps AS MATERIALIZED (
+  SELECT txid, timestamp_epoch, (timestamp_epoch - (SELECT min(timestamp_epoch) FROM transactions)) // 3600 + 1 AS time_step FROM transactions)
+"""
+
+
+def _reach(und: str, seed: str, hops: int) -> str:
+    return f"""ego(id, hop) AS (
+  SELECT '{seed}', 0 UNION SELECT e.v, g.hop + 1 FROM ego g JOIN {und} e ON e.u = g.id WHERE g.hop < {hops}),
+near AS MATERIALIZED (SELECT id, min(hop) AS hop FROM ego GROUP BY id)"""
+
+
+ORACLES |= {
+    "entity_nodes": _with("SELECT * FROM ent_nodes", PART, GRAPH),
+    "ip_attributes": _with("""
+SELECT 'ip:' || src_ip AS id, arg_max(asn, (us, record_id)) AS asn, arg_max(geo_country, (us, record_id)) AS country FROM network GROUP BY src_ip"""),
+    "entity_edges": _with("SELECT src, dst, type, basis, weight, " + r8("amount") + " AS amount, first_us, last_us, records FROM ent_edges", PART, GRAPH),
+    "edge_sources": _with("""
+SELECT src, dst, type, count(DISTINCT record_id) AS records, min(record_id) AS first_record FROM (
+    SELECT 'wallet:' || address AS src, 'transaction:' || txid AS dst, 'SPENT_FROM' AS type, record_id FROM part WHERE sent = 1
+    UNION ALL SELECT 'transaction:' || txid, 'wallet:' || address, 'SENT_TO', record_id FROM part WHERE sent = 0
+    UNION ALL SELECT 'ip:' || src_ip, 'transaction:' || txid, 'RELAYED_BY', record_id FROM known) GROUP BY src, dst, type""", PART, GRAPH),
+    "graph_summary": _with("""
+SELECT 'nodes:' || type AS metric, count(*)::DOUBLE AS value FROM ent_nodes GROUP BY type
+UNION ALL SELECT 'edges:' || type, count(*)::DOUBLE FROM ent_edges GROUP BY type
+UNION ALL SELECT 'total_nodes', count(*)::DOUBLE FROM ent_nodes UNION ALL SELECT 'total_edges', count(*)::DOUBLE FROM ent_edges
+UNION ALL SELECT 'density', (SELECT count(*) FROM ent_edges)::DOUBLE / (count(*) * (count(*) - 1)) FROM ent_nodes
+UNION ALL SELECT 'connected_components', count(DISTINCT component)::DOUBLE FROM cc""", PART, GRAPH, ENT_WCC, recursive=True),
+    "entity_degrees": _with("""
+SELECT id, in_degree, out_degree, degree, degree::DOUBLE / ((SELECT count(*) FROM ent_nodes) - 1) AS degree_centrality,
+       CASE WHEN in_degree = 0 AND out_degree > 0 THEN 'source' WHEN out_degree = 0 AND in_degree > 0 THEN 'sink' ELSE 'intermediate' END AS role
+FROM ent_deg""", PART, GRAPH),
+    "graph_hubs": _with("SELECT id, degree, type FROM ent_deg JOIN ent_nodes USING (id) ORDER BY degree DESC, id LIMIT 10", PART, GRAPH),
+    "entity_components": _with("SELECT id, component, count(*) OVER (PARTITION BY component) AS component_size FROM cc", PART, GRAPH, ENT_WCC, recursive=True),
+    "spend_components": _with("SELECT id, component, count(*) OVER (PARTITION BY component) AS component_size FROM cc", SPENDS, SPEND_WCC, recursive=True),
+    "short_cycles": _with("SELECT * FROM ent_cycles", PART, PAIRS, CYCLES),
+    "wallet_cycles_3": _with("""
+SELECT address, count(*) AS cycles FROM (
+  SELECT unnest([a.ia, b.ia, c.ia]) AS address FROM p2 a JOIN p2 b ON a.oa = b.ia JOIN p2 c ON b.oa = c.ia AND c.oa = a.ia
+  WHERE a.ia < b.ia AND a.ia < c.ia) GROUP BY address""", PART, PAIRS, "p2 AS MATERIALIZED (SELECT DISTINCT ia, oa FROM pairs)"),
+    "spend_edges": _with("SELECT src AS source_txid, dst AS target_txid FROM spend_rows", SPENDS),
+    "spend_degrees": _with("SELECT * FROM sp_deg", SPENDS),
+    "spend_triangles": _with("SELECT * FROM sp_tri", SPENDS, TRIANGLES),
+    "spend_two_hops": _with("""
+SELECT coalesce(f.id, b.id) AS id, coalesce(f.n, 0) AS forward_2hop_count, coalesce(b.n, 0) AS backward_2hop_count
+FROM (SELECT s AS id, count(*) AS n FROM sp_two GROUP BY s) f FULL JOIN (SELECT t AS id, count(*) AS n FROM sp_two GROUP BY t) b ON f.id = b.id""",
+        SPENDS, TWO_HOPS),
+    "spend_cores": _with("SELECT txid AS id, coalesce(core, 0) AS core FROM transactions LEFT JOIN kc_25 ON id = txid", SPENDS, _core_rounds("sp_und", 25)),
+    "entity_pagerank": _with("SELECT id, " + half_even("r", 10) + " AS pagerank FROM pr_8", PART, GRAPH, _rank_rounds("ent_nodes", "ent_edges", 8)),
+    "entity_communities": _with("""
+SELECT id, community, community_size, CASE WHEN community_size > 1 THEN coalesce(m, 0)::DOUBLE / (community_size * (community_size - 1)) ELSE 0 END AS community_density
+FROM lp JOIN lp_size USING (community) LEFT JOIN (SELECT a.community, count(*) AS m FROM ent_edges e JOIN lp a ON a.id = e.src JOIN lp b ON b.id = e.dst
+     WHERE a.community = b.community GROUP BY a.community) USING (community)""", PART, GRAPH, _label_rounds("ent_nodes", "ent_und", 5)),
+    "address_tx_edges": _with("""
+SELECT DISTINCT 'addr_tx' AS edge, address, txid FROM inputs
+UNION ALL SELECT DISTINCT 'tx_addr', address, txid FROM outputs WHERE txid IN (SELECT txid FROM inputs)"""),
+    "originator_edges": _with("""
+SELECT 'ip:' || src_ip AS originator_id, txid, us // 1000000 AS timestamp_epoch FROM network WHERE txid IN (SELECT txid FROM transactions)"""),
+    "snapshot_edges": _with("SELECT time_step, src AS source_txid, dst AS target_txid FROM spend_rows JOIN steps ON txid = dst", SPENDS, STEPS),
+    "ego_network": _with("SELECT id, hop, type FROM near JOIN ent_nodes USING (id)", PART, GRAPH, _reach("ent_und", "wallet:W1", 3), recursive=True),
+    "ego_edges": _with("""
+SELECT src, dst, type FROM ent_edges WHERE src IN (SELECT id FROM near WHERE hop < 2) OR dst IN (SELECT id FROM near WHERE hop < 2)""",
+        PART, GRAPH, _reach("ent_und", "wallet:W1", 2), recursive=True),
+    "spend_neighbourhood": _with("SELECT id, hop FROM near", SPENDS, _reach("sp_und", "tx_77", 5), recursive=True),
+    "cospend_clusters": _with("""
+SELECT substr(id, 3) AS address, component, count(*) OVER (PARTITION BY component) AS cluster_size FROM cc WHERE id LIKE 'a:%'""",
+        "links AS MATERIALIZED (SELECT DISTINCT 'a:' || address AS u, 't:' || txid AS v FROM inputs UNION SELECT DISTINCT 't:' || txid, 'a:' || address FROM inputs)",
+        """cc(id, component) USING KEY (id) AS (SELECT DISTINCT u, u FROM links UNION
+  SELECT e.v, min(c.component) FROM cc c JOIN links e ON e.u = c.id JOIN recurring.cc r ON r.id = e.v WHERE c.component < r.component GROUP BY e.v)""",
+        recursive=True),
+    "neighbour_means": _with("""
+SELECT txid AS id, """ + half_even("coalesce(avg(x.in_degree), 0)", 9) + " AS in_degree, " + half_even("coalesce(avg(x.fee), 0)", 7) + """ AS fee
+FROM transactions t LEFT JOIN sp_und e ON e.v = t.txid LEFT JOIN (SELECT id, in_degree::DOUBLE AS in_degree, fee FROM sp_deg JOIN transactions ON txid = id) x ON x.id = e.u
+GROUP BY txid""", SPENDS),
+    "normalised_sums": _with("""
+SELECT e.src AS id, """ + half_even("sum(fee / sqrt(a.d * b.d))", 8) + """ AS fee FROM spends e JOIN (SELECT src, count(*) AS d FROM spends GROUP BY src) a USING (src)
+JOIN (SELECT src AS dst, count(*) AS d FROM spends GROUP BY src) b USING (dst) JOIN transactions t ON t.txid = e.dst GROUP BY e.src""", SPENDS),
+    "visible_graph": _with("""
+SELECT src, dst, type FROM ent_edges WHERE type NOT IN ('OBSERVED', 'RELAYED_BY') AND src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown)""",
+        PART, GRAPH, "shown AS MATERIALIZED (SELECT id FROM ent_nodes WHERE type <> 'ip' ORDER BY id LIMIT 5000)"),
+    "find_nodes": _with("SELECT id, type FROM ent_nodes WHERE contains(lower(id), 'w17') OR contains(lower(label), 'w17')", PART, GRAPH),
+    "node_links": _with("""
+SELECT 'out' AS direction, dst AS other, e.type, weight, n.type AS other_type, label FROM ent_edges e JOIN ent_nodes n ON n.id = dst WHERE src = 'wallet:W1'
+UNION ALL SELECT 'in', src, e.type, weight, n.type, label FROM ent_edges e JOIN ent_nodes n ON n.id = src WHERE dst = 'wallet:W1'""", PART, GRAPH),
+}

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.maths import half_even
 from ledgerscope.operators import correlate, features, participation as parts
-from ledgerscope.operators import case_files, records
+from ledgerscope.operators import case_files, entity_graph as graph, graph_walks as walks, records
 from ledgerscope.functions import text
 from ledgerscope.plans.star_case import dirty_records, star_case
-from ledgerscope.session import work_path
-from ledgerscope.sources import readers
+from ledgerscope.session import cut, materialize, work_path
+from ledgerscope.sources import readers, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -344,3 +344,226 @@ def entity_types(spark, sf):
     for form in forms[1:]:
         ids = ids.union(form.toDF("id"))
     return ids.distinct().select("id", text.entity_type(F.col("id")).alias("entity_type"))
+
+
+# --- entity graph
+
+
+class Graph:
+    """Nodes and edges of a case, written once to the shared folder because many steps read them."""
+
+    def __init__(self, spark, sf):
+        self.case = star_case(spark, sf)
+        self.part = parts.participation(self.case)
+        self.sightings = graph.edge_sightings(self.case, self.part)
+        self._edges = None
+
+    @property
+    def edges(self) -> DataFrame:
+        if self._edges is None:
+            self._edges = materialize(graph.entity_edges(self.sightings), "edges")
+        return self._edges
+
+    @property
+    def nodes(self) -> DataFrame:
+        return graph.entity_nodes(self.case, self.part)
+
+
+def _us(name: str, out: str):
+    return F.unix_micros(name).alias(out)
+
+
+@query
+def entity_nodes(spark, sf):
+    return Graph(spark, sf).nodes.select("id", "type", "label")
+
+
+@query
+def ip_attributes(spark, sf):
+    return Graph(spark, sf).nodes.where("type = 'ip'").select("id", "asn", "country")
+
+
+@query
+def entity_edges(spark, sf):
+    edges = graph.entity_edges(Graph(spark, sf).sightings)
+    out = edges.select("src", "dst", "type", "basis", "weight", "amount", _us("first_seen", "first_us"), _us("last_seen", "last_us"), "records")
+    return rounded(out, amount=8)
+
+
+@query
+def edge_sources(spark, sf):
+    sources = graph.edge_sources(Graph(spark, sf).sightings)
+    return sources.groupBy("src", "dst", "type").agg(
+        F.count(F.lit(1)).alias("records"), F.min("record_id").alias("first_record")
+    )
+
+
+@query
+def graph_summary(spark, sf):
+    g = Graph(spark, sf)
+    return reports.graph_summary(g.nodes, g.edges)
+
+
+@query
+def entity_degrees(spark, sf):
+    g = Graph(spark, sf)
+    return graph.roles(graph.degree_centrality(graph.degrees(g.edges, g.nodes)))
+
+
+@query
+def graph_hubs(spark, sf):
+    g = Graph(spark, sf)
+    top = graph.hubs(graph.degrees(g.edges))
+    return top.join(g.nodes.select("id", "type"), "id").select("id", "degree", "type")
+
+
+@query
+def entity_components(spark, sf):
+    g = Graph(spark, sf)
+    return walks.component_sizes(walks.components(g.edges, g.nodes))
+
+
+def _txs(case) -> DataFrame:
+    return case.transactions.select(F.col("txid").alias("id"))
+
+
+@query
+def spend_components(spark, sf):
+    case = star_case(spark, sf)
+    return walks.component_sizes(walks.components(graph.spend_graph(case), _txs(case)))
+
+
+@query
+def short_cycles(spark, sf):
+    return graph.short_cycles(materialize(Graph(spark, sf).part, "participation"))
+
+
+@query
+def wallet_cycles_3(spark, sf):
+    return graph.wallet_cycles(Graph(spark, sf).part, 3)
+
+
+@query
+def spend_edges(spark, sf):
+    return graph.spend_edges(star_case(spark, sf))
+
+
+@query
+def spend_degrees(spark, sf):
+    case = star_case(spark, sf)
+    return graph.degrees(graph.spend_graph(case), _txs(case))
+
+
+@query
+def spend_triangles(spark, sf):
+    return graph.triangles(graph.spend_graph(star_case(spark, sf)))
+
+
+@query
+def spend_two_hops(spark, sf):
+    return graph.two_hop_counts(graph.spend_graph(star_case(spark, sf)))
+
+
+@query
+def spend_cores(spark, sf):
+    case = star_case(spark, sf)
+    return walks.core_numbers(graph.spend_graph(case), _txs(case))
+
+
+@query
+def entity_pagerank(spark, sf):
+    g = Graph(spark, sf)
+    return rounded(walks.pagerank(g.edges, g.nodes, max_rounds=8, tolerance=None), pagerank=10)
+
+
+@query
+def entity_communities(spark, sf):
+    g = Graph(spark, sf)
+    members = walks.communities(g.edges, g.nodes)
+    return members.join(walks.community_stats(g.edges, members), "community")
+
+
+@query
+def address_tx_edges(spark, sf):
+    case = star_case(spark, sf)
+    ins, outs = graph.address_tx_edges(case), graph.tx_address_edges(case)
+    return ins.select(F.lit("addr_tx").alias("edge"), "address", "txid").unionByName(
+        outs.select(F.lit("tx_addr").alias("edge"), "address", "txid")
+    )
+
+
+@query
+def originator_edges(spark, sf):
+    return graph.originator_edges(star_case(spark, sf))
+
+
+@query
+def snapshot_edges(spark, sf):
+    return graph.snapshot_edges(star_case(spark, sf))
+
+
+@query
+def ego_network(spark, sf):
+    g = Graph(spark, sf)
+    nodes = g.nodes.select("id", "type", "label")
+    near, _ = graph.ego_network(g.edges, graph.match_node(nodes, "W1"), 3)
+    return near.join(nodes.drop("label"), "id")
+
+
+@query
+def ego_edges(spark, sf):
+    g = Graph(spark, sf)
+    _, edges = graph.ego_network(g.edges.select("src", "dst", "type"), graph.match_node(g.nodes, "wallet:W1"), 2)
+    return edges
+
+
+@query
+def spend_neighbourhood(spark, sf):
+    case = star_case(spark, sf)
+    near, _ = graph.ego_network(cut(graph.spend_graph(case)), _txs(case).where("id = 'tx_77'"), 5)
+    return near
+
+
+@query
+def cospend_clusters(spark, sf):
+    case = star_case(spark, sf)
+    links = case.inputs.select(F.concat(F.lit("a:"), "address").alias("src"), F.concat(F.lit("t:"), "txid").alias("dst"))
+    found = walks.components(links).where("id like 'a:%'")
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size"))
+    return found.join(sizes, "component").select(F.expr("substr(id, 3)").alias("address"), "component", "cluster_size")
+
+
+def _tx_numbers(case) -> DataFrame:
+    deg = graph.degrees(graph.spend_graph(case), _txs(case)).select("id", F.col("in_degree").cast("double").alias("in_degree"))
+    return deg.join(case.transactions.select(F.col("txid").alias("id"), "fee"), "id")
+
+
+@query
+def neighbour_means(spark, sf):
+    case = star_case(spark, sf)
+    out = graph.neighbour_means(graph.spend_graph(case), _tx_numbers(case), ["in_degree", "fee"])
+    return rounded(out, in_degree=9, fee=7)
+
+
+@query
+def normalised_sums(spark, sf):
+    case = star_case(spark, sf)
+    return rounded(graph.normalised_sums(graph.spend_graph(case), _tx_numbers(case), ["fee"]), fee=8)
+
+
+@query
+def visible_graph(spark, sf):
+    g = Graph(spark, sf)
+    _, edges = graph.visible_graph(g.nodes, g.edges, include_ips=False, limit=5000)
+    return edges.select("src", "dst", "type")
+
+
+@query
+def find_nodes(spark, sf):
+    return graph.find_nodes(Graph(spark, sf).nodes, "W17").select("id", "type")
+
+
+@query
+def node_links(spark, sf):
+    g = Graph(spark, sf)
+    return graph.node_links(g.nodes, g.edges, "wallet:W1")
