@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ledgerscope.case import Case
 from ledgerscope.functions.ordered import first_k
 from ledgerscope.operators.correlate import temporal_links
-from ledgerscope.operators.participation import address_pairs, participation
+from ledgerscope.operators.participation import address_pairs
+from ledgerscope.session import cut
 
 RELAY_TYPES = ("OBSERVED", "RELAYED_BY")
 
@@ -341,10 +342,15 @@ def ego_network(edges: DataFrame, seeds: DataFrame, hops: int) -> tuple[DataFram
     """Nodes within ``hops`` undirected steps with their distance, and the edges met on the way."""
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).distinct()
     seen = seeds.select("id", F.lit(0).alias("hop"))
-    frontier = seeds.select("id")
+    if hops > 1:
+        both, seen = cut(both), cut(seen)
+    frontier = seen.select("id")
     for hop in range(1, hops + 1):
         reached = both.join(frontier.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct()
         frontier = reached.join(seen, "id", "left_anti")
+        if hops > 1:
+            # Read by every later hop, so it is computed once.
+            frontier = cut(frontier)
         seen = seen.unionByName(frontier.select("id", F.lit(hop).alias("hop")))
     inner = seen.where(F.col("hop") < hops).select("id")
     touching = edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").union(

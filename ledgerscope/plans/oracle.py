@@ -427,10 +427,10 @@ def _core_rounds(und: str, rounds: int) -> str:
 
 
 TRIANGLES = """
-sp_tri AS (
+und AS MATERIALIZED (SELECT DISTINCT least(ia, oa) AS u, greatest(ia, oa) AS v FROM pairs),
+tri AS (
   SELECT id, count(*) AS triangle_count FROM (
-    SELECT unnest([a.u, a.v, b.v]) AS id FROM sp_und a JOIN sp_und b ON a.v = b.u JOIN sp_und c ON c.u = a.u AND c.v = b.v
-    WHERE a.u < a.v AND b.u < b.v) GROUP BY id)
+    SELECT unnest([a.u, a.v, b.v]) AS id FROM und a JOIN und b ON a.v = b.u JOIN und c ON c.u = a.u AND c.v = b.v) GROUP BY id)
 """
 
 TWO_HOPS = """
@@ -479,7 +479,7 @@ SELECT address, count(*) AS cycles FROM (
   WHERE a.ia < b.ia AND a.ia < c.ia) GROUP BY address""", PART, PAIRS, "p2 AS MATERIALIZED (SELECT DISTINCT ia, oa FROM pairs)"),
     "spend_edges": _with("SELECT src AS source_txid, dst AS target_txid FROM spend_rows", SPENDS),
     "spend_degrees": _with("SELECT * FROM sp_deg", SPENDS),
-    "spend_triangles": _with("SELECT * FROM sp_tri", SPENDS, TRIANGLES),
+    "wallet_triangles": _with("SELECT * FROM tri", PART, PAIRS, TRIANGLES),
     "spend_two_hops": _with("""
 SELECT coalesce(f.id, b.id) AS id, coalesce(f.n, 0) AS forward_2hop_count, coalesce(b.n, 0) AS backward_2hop_count
 FROM (SELECT s AS id, count(*) AS n FROM sp_two GROUP BY s) f FULL JOIN (SELECT t AS id, count(*) AS n FROM sp_two GROUP BY t) b ON f.id = b.id""",
@@ -508,17 +508,283 @@ SELECT substr(id, 3) AS address, component, count(*) OVER (PARTITION BY componen
   SELECT e.v, min(c.component) FROM cc c JOIN links e ON e.u = c.id JOIN recurring.cc r ON r.id = e.v WHERE c.component < r.component GROUP BY e.v)""",
         recursive=True),
     "neighbour_means": _with("""
-SELECT txid AS id, """ + half_even("coalesce(avg(x.in_degree), 0)", 9) + " AS in_degree, " + half_even("coalesce(avg(x.fee), 0)", 7) + """ AS fee
-FROM transactions t LEFT JOIN sp_und e ON e.v = t.txid LEFT JOIN (SELECT id, in_degree::DOUBLE AS in_degree, fee FROM sp_deg JOIN transactions ON txid = id) x ON x.id = e.u
+SELECT txid AS id, coalesce(avg(x.in_degree), 0) AS in_degree, coalesce(avg(x.size), 0) AS size
+FROM transactions t LEFT JOIN sp_und e ON e.v = t.txid LEFT JOIN (SELECT id, in_degree::DOUBLE AS in_degree, size::DOUBLE AS size FROM sp_deg JOIN transactions ON txid = id) x ON x.id = e.u
 GROUP BY txid""", SPENDS),
     "normalised_sums": _with("""
 SELECT e.src AS id, """ + half_even("sum(fee / sqrt(a.d * b.d))", 8) + """ AS fee FROM spends e JOIN (SELECT src, count(*) AS d FROM spends GROUP BY src) a USING (src)
 JOIN (SELECT src AS dst, count(*) AS d FROM spends GROUP BY src) b USING (dst) JOIN transactions t ON t.txid = e.dst GROUP BY e.src""", SPENDS),
     "visible_graph": _with("""
 SELECT src, dst, type FROM ent_edges WHERE type NOT IN ('OBSERVED', 'RELAYED_BY') AND src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown)""",
-        PART, GRAPH, "shown AS MATERIALIZED (SELECT id FROM ent_nodes WHERE type <> 'ip' ORDER BY id LIMIT 5000)"),
+        PART, GRAPH, "shown AS MATERIALIZED (SELECT id FROM ent_nodes WHERE type <> 'ip' ORDER BY id LIMIT 16000)"),
     "find_nodes": _with("SELECT id, type FROM ent_nodes WHERE contains(lower(id), 'w17') OR contains(lower(label), 'w17')", PART, GRAPH),
     "node_links": _with("""
 SELECT 'out' AS direction, dst AS other, e.type, weight, n.type AS other_type, label FROM ent_edges e JOIN ent_nodes n ON n.id = dst WHERE src = 'wallet:W1'
 UNION ALL SELECT 'in', src, e.type, weight, n.type, label FROM ent_edges e JOIN ent_nodes n ON n.id = src WHERE dst = 'wallet:W1'""", PART, GRAPH),
 }
+
+# --- rules, signals and fusion
+
+RULES = f"""
+peels AS MATERIALIZED (
+  SELECT txid, address, small, large FROM (SELECT txid, min(address) AS address FROM inputs GROUP BY txid HAVING count(*) = 1)
+  JOIN (SELECT txid, min(amount) AS small, max(amount) AS large FROM outputs GROUP BY txid HAVING count(*) = 2) USING (txid)
+  WHERE large > 1.0 AND small / large < 0.15),
+wr AS MATERIALIZED (
+  SELECT wf.*, coalesce(short_cycle_count, 0) AS cyc, wallet_address IN (SELECT address FROM peels) AS peeler
+  FROM wf LEFT JOIN ent_cycles ON id = entity_id),
+hits AS MATERIALIZED (
+  SELECT entity_id, 'RULE_BURST_ACTIVITY' AS rule_id, 'R01' AS code, 'medium' AS severity,
+         least(1.0, {half_even("transaction_rate / 0.2", 2)}) AS confidence, {half_even("transaction_rate", 3)} AS observed_value,
+         0.1::DOUBLE AS threshold, 'tx/sec' AS unit FROM wr WHERE transaction_count >= 10 AND transaction_rate >= 0.1
+  UNION ALL SELECT entity_id, 'RULE_HIGH_FAN_OUT', 'R02', CASE WHEN fan_out >= 20 THEN 'high' ELSE 'medium' END,
+         least(1.0, {half_even("fan_out / 20.0", 2)}), fan_out, 10, 'outputs' FROM wr WHERE fan_out >= 10
+  UNION ALL SELECT entity_id, 'RULE_HIGH_FAN_IN', 'R03', CASE WHEN fan_in >= 20 THEN 'high' ELSE 'medium' END,
+         least(1.0, {half_even("fan_in / 20.0", 2)}), fan_in, 10, 'inputs' FROM wr WHERE fan_in >= 10
+  UNION ALL SELECT entity_id, 'RULE_RAPID_DISPERSAL', 'R04', 'high', least(1.0, {half_even("1.0 - median_time_gap / 30.0", 2)}),
+         {half_even("median_time_gap", 2)}, 30, 'seconds' FROM wr WHERE transaction_count >= 5 AND median_time_gap > 0 AND median_time_gap <= 30
+  UNION ALL SELECT entity_id, 'RULE_REPEATED_VALUE', 'R05', 'medium', least(1.0, {half_even("max_repeated_value_count / 10.0", 2)}),
+         max_repeated_value_count, 5, 'occurrences' FROM wr WHERE max_repeated_value_count >= 5
+  UNION ALL SELECT entity_id, 'RULE_SHORT_CYCLE', 'R06', 'high', 0.85, cyc, 1, 'cycles' FROM wr WHERE cyc > 0
+  UNION ALL SELECT entity_id, 'RULE_DUST_ATTACK', 'R07', 'medium', least(1.0, {half_even("dust_incoming_count / 10.0", 2)}),
+         dust_incoming_count, 5, 'dust_inputs' FROM wr WHERE dust_incoming_count >= 5
+  UNION ALL SELECT entity_id, 'RULE_PEELING_CHAIN', 'R08', 'high', 0.9, 1, 1, 'chain' FROM wr
+         WHERE peeler OR (transaction_count >= 3 AND fan_out >= 3 AND average_transaction_value > 0
+                          AND median_transaction_value / average_transaction_value < 0.25)),
+behave AS MATERIALIZED (
+  SELECT entity_id, least(1.0, sum(CASE severity WHEN 'high' THEN 25 WHEN 'medium' THEN 15 ELSE 5 END)::BIGINT / 100.0)::DOUBLE AS behavior_score,
+         count(*) AS rule_count FROM hits GROUP BY entity_id)
+"""
+
+TX_RULES = f"""
+tx_hits AS MATERIALIZED (
+  SELECT 'transaction:' || txid AS entity_id, record_id, 'RULE_FEE_ANOMALY' AS rule_id, 'R09' AS code,
+         CASE WHEN fee_ratio > 0.5 THEN 'high' ELSE 'medium' END AS severity,
+         least(1.0, CASE WHEN fee = 0 THEN 0.85 ELSE {half_even("fee_ratio / 0.2", 2)} END)::DOUBLE AS confidence,
+         {half_even("fee_ratio", 4)} AS observed_value, 0.2::DOUBLE AS threshold, 'ratio' AS unit
+  FROM txf WHERE total_input > 0 AND (fee_ratio >= 0.2 OR (fee = 0 AND total_input > 0.1)))
+"""
+
+
+def _pct(col: str, n: str) -> str:
+    return (f"(rank() OVER (ORDER BY {col}) + (count(*) OVER (PARTITION BY {col}) - 1) / 2.0 - 1.0)::DOUBLE / ({n} - 1.0)::DOUBLE")
+
+
+NET_SIGNALS = f"""
+ns0 AS (SELECT entity_id, connected_ip_count, transaction_count, {_pct("connected_ip_count", "count(*) OVER ()")} AS ip_p,
+        {_pct("unique_country_count", "count(*) OVER ()")} AS country_p, {_pct("unique_asn_count", "count(*) OVER ()")} AS asn_p FROM wf),
+ns AS MATERIALIZED (
+  SELECT entity_id, {half_even("ip_p", 4)} AS unique_ip_percentile, {half_even("country_p", 4)} AS unique_country_percentile,
+         {half_even("least(1.0, connected_ip_count / 3.0::DOUBLE)", 4)} AS relay_burst_signal,
+         {half_even("0.35::DOUBLE * ip_p + 0.25::DOUBLE * country_p + 0.2::DOUBLE * asn_p + 0.2::DOUBLE * least(1.0::DOUBLE, connected_ip_count / 3.0::DOUBLE)", 4)} AS network_score,
+         {half_even("least(1.0, connected_ip_count::DOUBLE / greatest(transaction_count, 1))", 4)} AS correlation_strength FROM ns0)
+"""
+
+GRAPH_SIGNALS = f"""
+gs0 AS MATERIALIZED (
+  SELECT wf.entity_id, wf.fan_out, d.degree, s.community_size, coalesce(c.short_cycle_count, 0) AS cyc,
+         CASE WHEN s.community_size > 1 THEN coalesce(m, 0)::DOUBLE / (s.community_size * (s.community_size - 1)) ELSE 0 END AS density
+  FROM wf JOIN ent_deg d ON d.id = wf.entity_id JOIN lp ON lp.id = wf.entity_id JOIN lp_size s USING (community)
+  LEFT JOIN (SELECT a.community, count(*) AS m FROM ent_edges e JOIN lp a ON a.id = e.src JOIN lp b ON b.id = e.dst
+             WHERE a.community = b.community GROUP BY a.community) i USING (community)
+  LEFT JOIN ent_cycles c ON c.id = wf.entity_id),
+gs1 AS (SELECT *, {_pct("degree", "count(*) OVER ()")} AS dp, {_pct("fan_out", "count(*) OVER ()")} AS fp,
+        {_pct("community_size", "count(*) OVER ()")} AS sp, {_pct("density", "count(*) OVER ()")} AS np FROM gs0),
+gs AS MATERIALIZED (
+  SELECT entity_id, {half_even("dp", 4)} AS degree_percentile, {half_even("fp", 4)} AS fanout_percentile,
+         {half_even("sp", 4)} AS community_size_percentile, {half_even("np", 4)} AS community_density_percentile,
+         CASE WHEN cyc > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS cycle_signal,
+         {half_even("0.2::DOUBLE * dp + 0.2::DOUBLE * fp + 0.2::DOUBLE * sp + 0.2::DOUBLE * np + 0.1::DOUBLE * (CASE WHEN cyc > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE + 0.1::DOUBLE * 0.5::DOUBLE", 4)} AS graph_score
+  FROM gs1)
+"""
+
+
+def _tier(expr: str, cuts: tuple[float, float, float] = (85, 65, 40)) -> str:
+    a, b, c = cuts
+    return f"CASE WHEN {expr} >= {a} THEN 'CRITICAL' WHEN {expr} >= {b} THEN 'HIGH' WHEN {expr} >= {c} THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+WALLET_BLOCKS = (PART, PAIRS, WALLET_FEATURES)
+RULE_BLOCKS = (*WALLET_BLOCKS, CYCLES, RULES)
+CUSTOM = """
+rules_table AS (SELECT * FROM (VALUES ('c1', 'Wide sender', 'wallet', 'fan_out', '>=', 12.0::DOUBLE, 'high', 1.0::DOUBLE),
+  ('c2', 'Few partners', 'wallet', 'unique_counterparties', '<', 30.0::DOUBLE, 'medium', 0.5::DOUBLE),
+  ('c3', 'Busy receiver', 'wallet', 'incoming_transaction_count', '>', 25.0::DOUBLE, 'critical', 2.0::DOUBLE),
+  ('c4', 'No network', 'wallet', 'connected_ip_count', '==', 0.0::DOUBLE, 'low', 1.0::DOUBLE))
+  AS t(rule_id, name, target, field, operator, threshold, severity, weight)),
+c_hits AS MATERIALIZED (
+  SELECT entity_id, rule_id, name AS rule_name, severity, weight, v AS observed_value, threshold, operator, field FROM (
+    SELECT entity_id, r.*, CASE field WHEN 'fan_out' THEN fan_out WHEN 'unique_counterparties' THEN unique_counterparties
+       WHEN 'incoming_transaction_count' THEN incoming_transaction_count ELSE connected_ip_count END::DOUBLE AS v FROM wf, rules_table r)
+  WHERE CASE operator WHEN '>=' THEN v >= threshold WHEN '<' THEN v < threshold WHEN '>' THEN v > threshold ELSE v = threshold END)
+"""
+
+ALERTS = f"""
+alerts AS MATERIALIZED (
+  SELECT entity_id, 'wallet' AS entity_type, coalesce(behavior_score, 0) AS behavior_score, network_score, coalesce(rule_count, 0) AS rule_count,
+         {half_even("(0.3::DOUBLE * coalesce(behavior_score, 0) + 0.1::DOUBLE * network_score) * 100.0::DOUBLE", 2)} AS priority_score
+  FROM wf JOIN ns USING (entity_id) LEFT JOIN behave USING (entity_id)
+  UNION ALL SELECT entity_id, 'transaction', confidence, 0.5, 1, {half_even("confidence * 80.0::DOUBLE", 2)} FROM tx_hits)
+"""
+ALERT_BLOCKS = (*RULE_BLOCKS, NET_SIGNALS, TX_FEATURES, TX_RULES, ALERTS)
+
+ORACLES |= {
+    "wallet_rules": _with("SELECT * FROM hits", *RULE_BLOCKS),
+    "behaviour_scores": _with("SELECT * FROM behave", *RULE_BLOCKS),
+    "transaction_rules": _with("SELECT * FROM tx_hits", TX_FEATURES, TX_RULES),
+    "peel_transactions": _with("SELECT txid, address, " + half_even("small", 8) + " AS small, " + half_even("large", 8) + " AS large FROM peels",
+        "peels AS (SELECT * FROM (SELECT txid, min(address) AS address FROM inputs GROUP BY txid HAVING count(*) = 1) JOIN "
+        "(SELECT txid, min(amount) AS small, max(amount) AS large FROM outputs GROUP BY txid HAVING count(*) = 2) USING (txid) "
+        "WHERE large > 1.0 AND small / large < 0.15)"),
+    "port_anomalies": _with("""
+SELECT CASE WHEN dst_port = 9050 THEN 'RULE_TOR_VPN_PORT' ELSE 'RULE_PORT_ANOMALY' END AS rule_id, record_id, src_ip, dst_port AS port, txid,
+       CASE WHEN dst_port = 9050 THEN 'high' ELSE 'medium' END AS severity,
+       CASE WHEN dst_port = 9050 THEN 'Suspected Tor/VPN relay port 9050 detected for IP ' || src_ip || '.'
+            ELSE 'Non-standard Bitcoin port ' || dst_port || ' utilized by relay IP ' || src_ip || ' (expected standard P2P ports: 8333, 18333).' END AS description
+FROM network WHERE dst_port IN (9050, 9999)"""),
+    "custom_rule_hits": _with("SELECT * FROM c_hits", *WALLET_BLOCKS, CUSTOM),
+    "custom_rule_scores": _with("""
+SELECT entity_id, """ + half_even("least(100.0, sum(CASE severity WHEN 'critical' THEN 35.0 WHEN 'high' THEN 25.0 WHEN 'medium' THEN 15.0 ELSE 5.0 END * weight))::DOUBLE", 2)
+        + " AS rule_score, count(*) AS custom_rule_count FROM c_hits GROUP BY entity_id", *WALLET_BLOCKS, CUSTOM),
+    "custom_transaction_rules": _with("""
+SELECT 'transaction:' || txid AS entity_id, 't1' AS rule_id, """ + half_even("fee_ratio", 4) + """ AS observed_value FROM txf WHERE fee_ratio > 0.15
+UNION ALL SELECT 'transaction:' || txid, 't2', output_count::DOUBLE FROM txf WHERE output_count != 4""", TX_FEATURES),
+    "network_signals": _with("SELECT * FROM ns", *WALLET_BLOCKS, NET_SIGNALS),
+    "graph_signals": _with("SELECT *, 0.5::DOUBLE AS betweenness_percentile FROM gs", *WALLET_BLOCKS, GRAPH, _label_rounds("ent_nodes", "ent_und", 5), CYCLES, GRAPH_SIGNALS),
+    "riskiest_wallets": _with("SELECT *, " + _tier("priority_score") + " AS severity FROM alerts WHERE entity_type = 'wallet' ORDER BY priority_score DESC, entity_id LIMIT 100", *ALERT_BLOCKS),
+    "streams_alerts": _with("SELECT *, " + _tier("priority_score") + " AS severity FROM alerts", *ALERT_BLOCKS),
+    "tier_counts": _with("""
+SELECT tier AS severity, count(a.entity_id) AS alerts FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) AS t(tier)
+LEFT JOIN (SELECT entity_id, """ + _tier("priority_score") + " AS s FROM alerts) a ON s = tier GROUP BY tier", *ALERT_BLOCKS),
+    "lead_fusion": _with("""
+SELECT entity_id, priority_score, """ + _tier("priority_score", (80, 60, 40)) + """ AS severity, CASE WHEN supervised_score >= 0.675 THEN 1 ELSE 0 END AS model_flag FROM (
+  SELECT entity_id, supervised_score, """ + half_even(
+        "CASE WHEN r > 0 THEN 0.85::DOUBLE * p + 0.15::DOUBLE * r ELSE p END", 2) + """ AS priority_score FROM (
+    SELECT entity_id, supervised_score, rule_count * 10.0::DOUBLE AS r, 100.0::DOUBLE * CASE WHEN supervised_score IS NULL
+      THEN 0.25::DOUBLE / 0.65::DOUBLE * fr + 0.2::DOUBLE / 0.65::DOUBLE * behavior_score + 0.08::DOUBLE / 0.65::DOUBLE * network_score
+      ELSE 0.35::DOUBLE * supervised_score + 0.25::DOUBLE * fr + 0.2::DOUBLE * behavior_score + 0.08::DOUBLE * network_score END AS p
+    FROM (SELECT *, CASE WHEN rule_count > 1 THEN (rule_count % 5) / 4.0::DOUBLE END AS supervised_score, (rule_count % 3) / 2.0::DOUBLE AS fr FROM alerts WHERE entity_type = 'wallet')))""",
+        *ALERT_BLOCKS),
+}
+
+# --- model package
+
+SIDES = """
+t_in AS MATERIALIZED (SELECT txid, count(*) AS n, count(DISTINCT address) AS a, min(amount) AS lo, max(amount) AS hi, avg(amount) AS mean, median(amount) AS med,
+  sum(amount) AS s FROM inputs GROUP BY txid),
+t_out AS MATERIALIZED (SELECT txid, count(*) AS n, count(DISTINCT address) AS a, min(amount) AS lo, max(amount) AS hi, avg(amount) AS mean, median(amount) AS med,
+  sum(amount) AS s FROM outputs GROUP BY txid),
+e_in AS (SELECT txid, -sum(amount / s * log2(amount / s)) AS e FROM inputs JOIN t_in USING (txid) GROUP BY txid),
+e_out AS (SELECT txid, -sum(amount / s * log2(amount / s)) AS e FROM outputs JOIN t_out USING (txid) GROUP BY txid)
+"""
+
+WALLET_MATRIX = """
+v AS MATERIALIZED (SELECT DISTINCT address, txid, timestamp_epoch AS e FROM part JOIN transactions USING (txid)),
+vg AS (SELECT address, e - lag(e) OVER (PARTITION BY address ORDER BY e) AS g FROM v),
+vs AS (SELECT address, sum(g) AS gt, min(g) AS gl, max(g) AS gh, avg(g) AS gm, median(g) AS gd FROM vg WHERE g IS NOT NULL GROUP BY address),
+vl AS (SELECT address, min(e) // 600 AS fb, max(e) // 600 AS lb, count(DISTINCT e) AS steps FROM v GROUP BY address),
+wm AS (SELECT address, count(*) FILTER (WHERE sent = 1) AS ns, count(*) FILTER (WHERE sent = 0) AS nr, count(*) AS n,
+  min(amount) AS lo, max(amount) AS hi, sum(amount) AS s, median(amount) AS med, coalesce(median(amount) FILTER (WHERE sent = 1), 0) AS smed,
+  coalesce(median(amount) FILTER (WHERE sent = 0), 0) AS rmed, coalesce(sum(amount) FILTER (WHERE sent = 1), 0) AS ss FROM part GROUP BY address)
+"""
+
+
+def _d(expr: str, name: str, digits: int | None = None) -> str:
+    return (half_even(f"({expr})", digits) if digits else f"({expr})") + f"::DOUBLE AS {name}"
+
+
+ORACLES |= {
+    "transaction_matrix": _with(
+        "SELECT t.txid, time_step, " + ", ".join([
+            _d("coalesce(d.in_degree, 0)", "in_txs_degree"), _d("coalesce(d.out_degree, 0)", "out_txs_degree"),
+            _d("greatest(i.s, coalesce(o.s, 0) + t.fee)", '"total_BTC"', 8), _d("t.fee", "fees", 8), _d("t.size", "size"),
+            _d("i.a", "num_input_addresses"), _d("coalesce(o.a, 0)", "num_output_addresses"),
+            _d("i.lo", '"in_BTC_min"', 8), _d("i.hi", '"in_BTC_max"', 8), _d("i.med", '"in_BTC_median"', 10), _d("i.s", '"in_BTC_total"', 8),
+            _d("coalesce(o.lo, 0)", '"out_BTC_min"', 8), _d("coalesce(o.hi, 0)", '"out_BTC_max"', 8), _d("coalesce(o.med, 0)", '"out_BTC_median"', 10),
+            _d("coalesce(o.s, 0)", '"out_BTC_total"', 8), _d("coalesce(eo.e, 0)", '"Local_feature_2"', 5), _d("coalesce(ei.e, 0)", '"Local_feature_3"', 5),
+            _d("i.n / greatest(1.0, coalesce(o.n, 0))", '"Local_feature_4"'),
+            _d("coalesce(pm, 0)", '"Aggregate_feature_1"'), _d("coalesce(sm, 0)", '"Aggregate_feature_2"'),
+            _d("coalesce(px, 0)", '"Aggregate_feature_3"'), _d("coalesce(sx, 0)", '"Aggregate_feature_4"'),
+            _d("sin(7 * greatest(i.s, coalesce(o.s, 0) + t.fee) + coalesce(d.in_degree, 0))", '"Local_feature_7"', 5),
+            _d("cos(9 * (coalesce(pm, 0) + coalesce(sm, 0) + 1.0))", '"Aggregate_feature_9"', 5),
+            "184::BIGINT AS width",
+        ]) + """ FROM transactions t JOIN steps USING (txid) LEFT JOIN t_in i USING (txid) LEFT JOIN t_out o USING (txid) LEFT JOIN e_in ei USING (txid)
+LEFT JOIN e_out eo USING (txid) LEFT JOIN sp_deg d ON d.id = t.txid
+LEFT JOIN (SELECT dst AS txid, avg(x.in_degree) AS pm, max(x.in_degree) AS px FROM spends JOIN sp_deg x ON x.id = src GROUP BY dst) p USING (txid)
+LEFT JOIN (SELECT src AS txid, avg(x.out_degree) AS sm, max(x.out_degree) AS sx FROM spends JOIN sp_deg x ON x.id = dst GROUP BY src) q USING (txid)""",
+        SPENDS, STEPS, SIDES),
+    "wallet_matrix": _with(
+        "SELECT address, 1 AS time_step, " + ", ".join([
+            _d("ns", "num_txs_as_sender"), _d("nr", '"num_txs_as receiver"'), _d("fb", "first_block_appeared_in"), _d("lb", "last_block_appeared_in"),
+            _d("greatest(1, lb - fb)", "lifetime_in_blocks"), _d("n", "total_txs"), _d("steps", "num_timesteps_appeared_in"),
+            _d("s", "btc_transacted_total", 8), _d("lo", "btc_transacted_min", 8), _d("hi", "btc_transacted_max", 8), _d("med", "btc_transacted_median", 10),
+            _d("ss", "btc_sent_total", 8), _d("smed", "btc_sent_median", 10), _d("rmed", "btc_received_median", 10), _d("0", "fees_total"),
+            _d("coalesce(gt, 0) // 600", "blocks_btwn_txs_total"), _d("coalesce(gl, 0) // 600", "blocks_btwn_txs_min"), _d("coalesce(gh, 0) // 600", "blocks_btwn_txs_max"),
+            _d("floor(coalesce(gm, 0) / 600)", "blocks_btwn_txs_mean"), _d("floor(coalesce(gd, 0) / 600)", "blocks_btwn_txs_median"),
+            _d("n", "transacted_w_address_max"), _d("1", "transacted_w_address_mean"), "57::BIGINT AS width",
+        ]) + " FROM wm JOIN vl USING (address) LEFT JOIN vs USING (address)", PART, WALLET_MATRIX),
+    "wallet_matrix_documented": _with(
+        "SELECT address, " + ", ".join([
+            _d("coalesce(ft, 0)", "fees_total", 8), _d("coalesce(fx, 0)", "fees_max", 8), _d("coalesce(fd, 0)", "fees_median", 11),
+            _d("coalesce(ig, 0) // 600", "blocks_btwn_input_txs_total"), _d("coalesce(og, 0) // 600", "blocks_btwn_output_txs_max"),
+            _d("coalesce(multi, 0)", "num_addr_transacted_multiple"), _d("coalesce(total, 0)", "transacted_w_address_total"),
+            _d("coalesce(tx, 0)", "transacted_w_address_max"), _d("coalesce(td, 0)", "transacted_w_address_median"),
+        ]) + """ FROM (SELECT DISTINCT address FROM part)
+LEFT JOIN (SELECT address, sum(fee) AS ft, max(fee) AS fx, median(fee) AS fd FROM (SELECT DISTINCT address, txid FROM part WHERE sent = 1) JOIN transactions USING (txid) GROUP BY address) USING (address)
+LEFT JOIN (SELECT address, max(timestamp_epoch) - min(timestamp_epoch) AS ig FROM part JOIN transactions USING (txid) WHERE sent = 1 GROUP BY address) USING (address)
+LEFT JOIN (SELECT address, max(g) AS og FROM (SELECT address, e - lag(e) OVER (PARTITION BY address ORDER BY e) AS g FROM
+   (SELECT DISTINCT address, txid, timestamp_epoch AS e FROM part JOIN transactions USING (txid) WHERE sent = 0)) GROUP BY address) USING (address)
+LEFT JOIN (SELECT a AS address, count(*) FILTER (WHERE c >= 2) AS multi, count(*) AS total, max(c) AS tx, median(c) AS td FROM (
+   SELECT a, b, count(*) AS c FROM (SELECT ia AS a, oa AS b, txid FROM pairs UNION SELECT oa, ia, txid FROM pairs) GROUP BY a, b) GROUP BY a) USING (address)""",
+        PART, PAIRS),
+    "network_matrix": _with(
+        "SELECT txid, 1 AS time_step, " + ", ".join([
+            _d("i.n", "num_inputs"), _d("i.a", "unique_inputs"), _d("coalesce(o.n, 0)", "num_outputs"), _d("coalesce(o.a, 0)", "unique_outputs"),
+            _d("i.n + coalesce(o.n, 0)", "total_degree"), _d("i.n::DOUBLE / greatest(1, coalesce(o.n, 0))", "in_out_ratio"),
+            _d("CASE WHEN coalesce(o.n, 0) > i.n THEN 1 ELSE -1 END", "net_flow_direction"),
+            _d("CASE WHEN i.n >= 5 AND coalesce(o.n, 0) <= 2 THEN 1 ELSE 0 END", "is_aggregation_pattern"),
+            _d("CASE WHEN i.n = 1 AND o.n = 2 THEN 1 ELSE 0 END", "is_peeling_chain_pattern"), _d("CASE WHEN i.n = 1 AND o.n >= 10 THEN 1 ELSE 0 END", "is_fan_out_dispersion"),
+            _d("i.hi / i.s", "input_concentration", 9), _d("coalesce(o.hi / o.s, 0)", "output_concentration", 9), _d("e", "bipartite_entropy", 5),
+        ]) + """ FROM transactions t JOIN t_in i USING (txid) LEFT JOIN t_out o USING (txid) JOIN (
+  SELECT txid, -sum(amount / s * log2(amount / s)) AS e FROM part JOIN (SELECT txid, sum(amount) AS s FROM part GROUP BY txid) USING (txid) GROUP BY txid) USING (txid)""",
+        PART, SIDES),
+    "time_steps": _with("SELECT * FROM steps", STEPS),
+    "package_manifest": _with("""
+SELECT 'transaction_nodes' AS item, count(*) AS value FROM transactions UNION ALL SELECT 'transaction_edges', count(*) FROM spend_rows
+UNION ALL SELECT 'wallet_nodes', count(DISTINCT address) FROM part UNION ALL SELECT 'network_nodes', count(DISTINCT src_ip) FROM network
+UNION ALL SELECT 'temporal_snapshots', max(time_step)::BIGINT FROM steps""", PART, SPENDS, STEPS),
+    "matrix_findings": "SELECT 'E005_FEATURE_DIMENSION_MISMATCH' AS code, 'network/features.parquet' AS file, 'Column order hash mismatch for network.' AS message "
+        "UNION ALL SELECT 'E006_FEATURE_NAN', 'network/features.parquet', 'Infinite values detected in network feature matrix.'",
+    "walk_forward": _with("""
+SELECT fold, part, time_step, count(*) AS txs FROM (
+  SELECT f.fold, s.time_step, s.txid, CASE WHEN time_step <= until THEN 'train' WHEN time_step <= until + 5 THEN 'predict' END AS part
+  FROM steps s, (VALUES (1, 10), (2, 15), (3, 20), (4, 25)) AS f(fold, until)) WHERE part IS NOT NULL GROUP BY ALL""", STEPS),
+    "leakage": "SELECT * FROM (VALUES ('time_direction', 0::BIGINT), ('disjoint_ids', 0::BIGINT), ('one_prediction', 0::BIGINT)) AS t(check_name, violations)",
+    "feature_quantiles": _with(" UNION ALL ".join(
+        f"SELECT '{c}' AS feature, quantile_cont({c}, 0.25)::DOUBLE AS q25, median({c})::DOUBLE AS median, quantile_cont({c}, 0.75)::DOUBLE AS q75 FROM wf"
+        for c in ("fan_in", "fan_out", "median_time_gap", "dust_incoming_count", "unique_counterparties")), *WALLET_BLOCKS),
+    "top_deviations": _with("""
+, q AS MATERIALIZED (""".lstrip(", ") if False else """
+SELECT entity_id, feature, value, baseline, deviation FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY deviation DESC, o) AS n FROM (
+    SELECT entity_id, feature, value, med AS baseline, """ + half_even("abs(value - med) / (CASE WHEN q75 = q25 THEN 1.0 ELSE q75 - q25 END)", 3) + """ AS deviation, o FROM lw JOIN lq USING (feature)))
+WHERE n <= 3""", *WALLET_BLOCKS, """
+lw AS MATERIALIZED (""" + " UNION ALL ".join(
+        f"SELECT entity_id, '{c}' AS feature, {c}::DOUBLE AS value, {i} AS o FROM wf"
+        for i, c in enumerate(("fan_in", "fan_out", "median_time_gap", "dust_incoming_count", "unique_counterparties"))) + """),
+lq AS MATERIALIZED (SELECT feature, quantile_cont(value, 0.25) AS q25, median(value) AS med, quantile_cont(value, 0.75) AS q75 FROM lw GROUP BY feature)"""),
+    "imputed_columns": _with("""
+SELECT entity_id, CASE WHEN fan_in % 7 = 3 THEN m1 ELSE fan_in END::DOUBLE AS fan_in, CASE WHEN fan_out % 5 = 1 THEN m2 ELSE fan_out END::DOUBLE AS fan_out
+FROM wf, (SELECT median(fan_in) FILTER (WHERE fan_in % 7 <> 3) AS m1, median(CASE WHEN fan_out % 5 = 1 THEN 'inf'::DOUBLE ELSE fan_out END) AS m2 FROM wf)""", *WALLET_BLOCKS),
+    "standardized_columns": _with("""
+SELECT txid, """ + half_even("(input_count - mi) / si", 7) + " AS input_count, " + half_even("(output_count - mo) / so", 7) + """ AS output_count
+FROM txf, (SELECT avg(input_count) AS mi, stddev_pop(input_count) AS si, avg(output_count) AS mo, stddev_pop(output_count) AS so FROM txf WHERE timestamp_epoch < 1705000000)""",
+        TX_FEATURES),
+    "static_means": _with("""
+SELECT address, coalesce(avg(unique_outputs), 0) AS num_outputs, coalesce(avg(n_in), 0) AS num_inputs FROM (SELECT DISTINCT address FROM part)
+LEFT JOIN (SELECT i.address, coalesce(o.n, 0)::DOUBLE AS unique_outputs, t.n::DOUBLE AS n_in FROM inputs i JOIN t_in t USING (txid) LEFT JOIN t_out o USING (txid)) USING (address) GROUP BY address""",
+        PART, SIDES),
+    "time_encoding": _with("SELECT record_id, " + ", ".join(
+        [half_even(f"sin(src_port / {10000 ** (2 * i / 16)!r})", 6) + f" AS time_sin_{i}" for i in range(8)]
+        + [half_even(f"cos(src_port / {10000 ** (2 * i / 16)!r})", 6) + f" AS time_cos_{i}" for i in range(8)]) + " FROM network"),
+}

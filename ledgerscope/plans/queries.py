@@ -9,7 +9,21 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.maths import half_even
 from ledgerscope.operators import correlate, features, participation as parts
-from ledgerscope.operators import case_files, entity_graph as graph, graph_walks as walks, records
+from ledgerscope.operators import (
+    alerts,
+    case_files,
+    entity_graph as graph,
+    evaluate,
+    geo,
+    graph_walks as walks,
+    investigate,
+    isolation_forest as iforest,
+    matrices,
+    records,
+    rules,
+    scoring,
+    signals,
+)
 from ledgerscope.functions import text
 from ledgerscope.plans.star_case import dirty_records, star_case
 from ledgerscope.session import cut, materialize, work_path
@@ -455,8 +469,9 @@ def spend_degrees(spark, sf):
 
 
 @query
-def spend_triangles(spark, sf):
-    return graph.triangles(graph.spend_graph(star_case(spark, sf)))
+def wallet_triangles(spark, sf):
+    case = star_case(spark, sf)
+    return graph.triangles(graph.wallet_graph(parts.participation(case)))
 
 
 @query
@@ -535,14 +550,13 @@ def cospend_clusters(spark, sf):
 
 def _tx_numbers(case) -> DataFrame:
     deg = graph.degrees(graph.spend_graph(case), _txs(case)).select("id", F.col("in_degree").cast("double").alias("in_degree"))
-    return deg.join(case.transactions.select(F.col("txid").alias("id"), "fee"), "id")
+    return deg.join(case.transactions.select(F.col("txid").alias("id"), "fee", F.col("size").cast("double").alias("size")), "id")
 
 
 @query
 def neighbour_means(spark, sf):
     case = star_case(spark, sf)
-    out = graph.neighbour_means(graph.spend_graph(case), _tx_numbers(case), ["in_degree", "fee"])
-    return rounded(out, in_degree=9, fee=7)
+    return graph.neighbour_means(graph.spend_graph(case), _tx_numbers(case), ["in_degree", "size"])
 
 
 @query
@@ -554,7 +568,7 @@ def normalised_sums(spark, sf):
 @query
 def visible_graph(spark, sf):
     g = Graph(spark, sf)
-    _, edges = graph.visible_graph(g.nodes, g.edges, include_ips=False, limit=5000)
+    _, edges = graph.visible_graph(g.nodes, g.edges, include_ips=False, limit=16000)
     return edges.select("src", "dst", "type")
 
 
@@ -567,3 +581,289 @@ def find_nodes(spark, sf):
 def node_links(spark, sf):
     g = Graph(spark, sf)
     return graph.node_links(g.nodes, g.edges, "wallet:W1")
+
+
+# --- rules, signals and fusion
+
+
+def _rule_inputs(spark, sf):
+    """Case, wallet features and rule hits, each written once."""
+    case = star_case(spark, sf)
+    part = materialize(parts.participation(case), "participation")
+    wallets = materialize(_wallets(case), "wallets")
+    hits = rules.wallet_rules(wallets, graph.short_cycles(part), rules.peel_transactions(case))
+    return case, part, wallets, hits
+
+
+def _wallet_table(case) -> DataFrame:
+    return materialize(_wallets(case), "wallets")
+
+
+@query
+def wallet_rules(spark, sf):
+    return _rule_inputs(spark, sf)[3].drop("description")
+
+
+@query
+def behaviour_scores(spark, sf):
+    return rules.behaviour_scores(_rule_inputs(spark, sf)[3])
+
+
+@query
+def transaction_rules(spark, sf):
+    tx = rounded(features.transaction_features(star_case(spark, sf)), total_input=8, total_output=8)
+    tx = tx.withColumn("fee_ratio", F.when(F.col("total_input") > 0, F.col("fee") / F.col("total_input")).otherwise(0.0))
+    return rules.transaction_rules(tx).drop("description")
+
+
+@query
+def peel_transactions(spark, sf):
+    return rounded(rules.peel_transactions(star_case(spark, sf)), small=8, large=8)
+
+
+@query
+def port_anomalies(spark, sf):
+    return rules.port_anomalies(star_case(spark, sf).network)
+
+
+CUSTOM_SCHEMA = (
+    "rule_id string, name string, target_entity string, field string, operator string, threshold double, "
+    "severity string, weight double, enabled int, case_id string"
+)
+
+
+def _custom_rules(spark) -> DataFrame:
+    """Investigator rules as a case would hold them, among them ones that must not fire."""
+    table = [
+        ("c1", "Wide sender", "wallet", "fan_out", ">=", 12.0, "high", 1.0, 1, None),
+        ("c2", "Few partners", "wallet", "unique_counterparties", "<", 30.0, "medium", 0.5, 1, None),
+        ("c3", "Busy receiver", "wallet", "incoming_transaction_count", ">", 25.0, "critical", 2.0, 1, "star"),
+        ("c4", "No network", "wallet", "connected_ip_count", "==", 0.0, "low", 1.0, 1, "star"),
+        ("c5", "Switched off", "wallet", "fan_in", ">", 0.0, "high", 1.0, 0, None),
+        ("c6", "Other case", "wallet", "fan_in", ">", 0.0, "high", 1.0, 1, "other"),
+        ("c7", "Not evaluable", "wallet", "fan_in", "contains", 1.0, "high", 1.0, 1, None),
+        ("t1", "Costly", "transaction", "fee_ratio", ">", 0.15, "high", 1.0, 1, None),
+        ("t2", "Odd outputs", "transaction", "output_count", "!=", 4.0, "low", 1.0, 1, None),
+    ]
+    return rules.usable_rules(spark.createDataFrame(table, CUSTOM_SCHEMA), "star")
+
+
+@query
+def custom_rule_hits(spark, sf):
+    hits = rules.custom_rule_hits(_wallets(star_case(spark, sf)), _custom_rules(spark), "wallet")
+    return hits.drop("code", "description")
+
+
+@query
+def custom_rule_scores(spark, sf):
+    return rules.custom_scores(rules.custom_rule_hits(_wallets(star_case(spark, sf)), _custom_rules(spark), "wallet"))
+
+
+@query
+def custom_transaction_rules(spark, sf):
+    tx = rounded(features.transaction_features(star_case(spark, sf)), total_input=8)
+    tx = tx.withColumn("fee_ratio", F.when(F.col("total_input") > 0, F.col("fee") / F.col("total_input")).otherwise(0.0))
+    keyed = tx.withColumn("entity_id", F.concat(F.lit("transaction:"), "txid"))
+    return rules.custom_rule_hits(keyed, _custom_rules(spark), "transaction").select("entity_id", "rule_id", "observed_value")
+
+
+@query
+def network_signals(spark, sf):
+    case = star_case(spark, sf)
+    return scoring.network_signals(_wallet_table(case), case.flow_rows)
+
+
+def _graph_features(g: Graph, part: DataFrame, betweenness: DataFrame | None = None) -> DataFrame:
+    """Graph features of every node; without a betweenness table the column is 0."""
+    return signals.node_features(g.edges, g.nodes.select("id", "type"), graph.short_cycles(part), betweenness)
+
+
+@query
+def graph_signals(spark, sf):
+    g = Graph(spark, sf)
+    return scoring.graph_signals(_wallet_table(g.case), _graph_features(g, g.part), g.case.flow_rows)
+
+
+def _alerts(spark, sf) -> DataFrame:
+    """Alerts from the streams that need no model: rules and network for wallets, fee anomalies for transactions."""
+    case, _, wallets, hits = _rule_inputs(spark, sf)
+    streams = (
+        wallets.select("entity_id")
+        .join(scoring.network_signals(wallets, case.flow_rows).select("entity_id", "network_score"), "entity_id")
+        .join(rules.behaviour_scores(hits), "entity_id", "left")
+        .na.fill(0)
+    )
+    blank = {f"{n}_score": F.lit(0.0) for n in ("anomaly", "graph", "supervised", "rule")}
+    fused = scoring.fuse(streams.withColumns(blank))
+    tx = rounded(features.transaction_features(case), total_input=8)
+    tx = tx.withColumn("fee_ratio", F.when(F.col("total_input") > 0, F.col("fee") / F.col("total_input")).otherwise(0.0))
+    cols = ["entity_id", "entity_type", "behavior_score", "network_score", "rule_count", "priority_score", "severity"]
+    return (
+        fused.withColumn("entity_type", F.lit("wallet")).select(*cols)
+        .unionByName(
+            alerts.transaction_alerts(rules.transaction_rules(tx))
+            .withColumns({"entity_type": F.lit("transaction"), "rule_count": F.lit(1).cast("long")})
+            .select(*cols)
+        )
+    )
+
+
+@query
+def riskiest_wallets(spark, sf):
+    return _alerts(spark, sf).where("entity_type = 'wallet'").orderBy(F.desc("priority_score"), "entity_id").limit(100)
+
+
+@query
+def streams_alerts(spark, sf):
+    return _alerts(spark, sf)
+
+
+@query
+def tier_counts(spark, sf):
+    return alerts.tier_counts(_alerts(spark, sf))
+
+
+@query
+def lead_fusion(spark, sf):
+    base = _alerts(spark, sf).where("entity_type = 'wallet'").drop("priority_score", "severity")
+    n = F.col("rule_count")
+    shaped = base.withColumns(
+        {
+            "supervised_score": F.when(n > 1, (n % 5) / 4.0),
+            "anomaly_score": (n % 3) / 2.0,
+            "graph_score": F.lit(0.0),
+            "rule_score": n * 10.0,
+            "rules": F.array().cast("array<string>"),
+        }
+    )
+    fused = scoring.fuse_leads(shaped)
+    flag = F.col("recommendation").contains("Supervised model flagged").cast("int")
+    return fused.select("entity_id", "priority_score", "severity", flag.alias("model_flag"))
+
+
+# --- model package
+
+
+@query
+def transaction_matrix(spark, sf):
+    m = matrices.transaction_matrix(star_case(spark, sf))
+    width = F.lit(len(m.columns)).cast("long").alias("width")
+    named = [c for c in m.columns if not c.startswith(("Local", "Aggregate")) and not c.endswith("_mean")]
+    named += ["Local_feature_2", "Local_feature_3", "Local_feature_4", "Local_feature_7"]
+    named += [f"Aggregate_feature_{i}" for i in (1, 2, 3, 4, 9)]
+    out = m.select(*named, width)
+    eight = [c for c in named if "_BTC" in c and not c.endswith("median")] + ["fees"]
+    five = ["Local_feature_2", "Local_feature_3", "Local_feature_7", "Aggregate_feature_9"]
+    return rounded(out, **{c: 8 for c in eight}, **{c: 5 for c in five}, in_BTC_median=10, out_BTC_median=10)
+
+
+@query
+def wallet_matrix(spark, sf):
+    m = matrices.wallet_matrix(star_case(spark, sf))
+    kept = ["address", "time_step", "num_txs_as_sender", "num_txs_as receiver", "first_block_appeared_in", "last_block_appeared_in"]
+    kept += ["lifetime_in_blocks", "total_txs", "num_timesteps_appeared_in", "btc_transacted_total", "btc_transacted_min", "btc_transacted_max"]
+    kept += ["btc_transacted_median", "btc_sent_total", "btc_sent_median", "btc_received_median", "fees_total"]
+    kept += [f"blocks_btwn_txs_{s}" for s in ("total", "min", "max", "mean", "median")]
+    kept += ["transacted_w_address_max", "transacted_w_address_mean"]
+    out = m.select(*[f"`{c}`" for c in kept], F.lit(len(m.columns)).cast("long").alias("width"))
+    digits = {c: 8 for c in ("btc_transacted_total", "btc_transacted_min", "btc_transacted_max", "btc_sent_total")}
+    return rounded(out, **digits, btc_transacted_median=10, btc_sent_median=10, btc_received_median=10)
+
+
+@query
+def wallet_matrix_documented(spark, sf):
+    m = matrices.wallet_matrix(star_case(spark, sf), documented=True)
+    kept = ["address", "fees_total", "fees_max", "fees_median", "blocks_btwn_input_txs_total", "blocks_btwn_output_txs_max"]
+    kept += ["num_addr_transacted_multiple"] + [f"transacted_w_address_{s}" for s in ("total", "max", "median")]
+    return rounded(m.select(*kept), fees_total=8, fees_max=8, fees_median=11)
+
+
+@query
+def network_matrix(spark, sf):
+    m = matrices.network_matrix(star_case(spark, sf))
+    return rounded(m, input_concentration=9, output_concentration=9, bipartite_entropy=5)
+
+
+@query
+def time_steps(spark, sf):
+    return graph.time_steps(star_case(spark, sf))
+
+
+@query
+def package_manifest(spark, sf):
+    return matrices.package_manifest(star_case(spark, sf))
+
+
+@query
+def matrix_findings(spark, sf):
+    """A damaged network matrix: two columns swapped, one ratio divided by zero."""
+    m = matrices.network_matrix(star_case(spark, sf))
+    cols = m.columns[:2] + [m.columns[3], m.columns[2]] + m.columns[4:]
+    broken = F.when(F.col("num_outputs") == 2, F.lit(float("inf"))).otherwise(F.col("in_out_ratio"))
+    return matrices.matrix_findings(m.withColumn("in_out_ratio", broken).select(*cols), "network")
+
+
+@query
+def walk_forward(spark, sf):
+    folds = matrices.walk_forward(graph.time_steps(star_case(spark, sf)))
+    return folds.groupBy("fold", "part", "time_step").agg(F.count(F.lit(1)).alias("txs"))
+
+
+@query
+def leakage(spark, sf):
+    folds = matrices.walk_forward(graph.time_steps(star_case(spark, sf)))
+    return matrices.leakage(folds).withColumnRenamed("check", "check_name")
+
+
+FEW = ["fan_in", "fan_out", "median_time_gap", "dust_incoming_count", "unique_counterparties"]
+
+
+@query
+def feature_quantiles(spark, sf):
+    case = star_case(spark, sf)
+    return matrices.column_quantiles(_wallet_table(case), FEW, case.flow_rows).drop("iqr")
+
+
+@query
+def top_deviations(spark, sf):
+    case = star_case(spark, sf)
+    wallets = _wallet_table(case)
+    base = matrices.column_quantiles(wallets, FEW, case.flow_rows)
+    return iforest.top_deviations(wallets, "entity_id", FEW, base, 3).drop("ordinal", "place")
+
+
+@query
+def imputed_columns(spark, sf):
+    case = star_case(spark, sf)
+    w = _wallet_table(case).select("entity_id", "fan_in", "fan_out")
+    holes = w.withColumns(
+        {
+            "fan_in": F.when(F.col("fan_in") % 7 != 3, F.col("fan_in").cast("double")),
+            "fan_out": F.when(F.col("fan_out") % 5 == 1, F.lit(float("inf"))).otherwise(F.col("fan_out").cast("double")),
+        }
+    )
+    return matrices.impute(holes, ["fan_in", "fan_out"], case.flow_rows)
+
+
+@query
+def standardized_columns(spark, sf):
+    tx = features.transaction_features(star_case(spark, sf))
+    kept = tx.select("txid", "timestamp", "input_count", "output_count")
+    early = F.unix_seconds("timestamp") < 1_705_000_000
+    out = matrices.standardize(kept, ["input_count", "output_count"], early).drop("timestamp")
+    return rounded(out, input_count=7, output_count=7)
+
+
+@query
+def static_means(spark, sf):
+    case = star_case(spark, sf)
+    shape = matrices.network_matrix(case).select("txid", "num_outputs", "num_inputs")
+    rows = case.inputs.select("address", "txid").join(shape, "txid")
+    wallets = parts.participation(case).select("address").distinct()
+    return matrices.static_means(rows, wallets, ["num_outputs", "num_inputs"])
+
+
+@query
+def time_encoding(spark, sf):
+    out = graph.time_encoding(star_case(spark, sf).network.select("record_id", "src_port"), "src_port").drop("src_port")
+    return rounded(out, **{c: 6 for c in out.columns if c != "record_id"})
