@@ -150,8 +150,8 @@ def wallet_matrix(case: Case, documented: bool = False) -> DataFrame:
     visits = flows.select("address", "txid").distinct().join(at, "txid")
     c = F.col
     counts = flows.groupBy("address").agg(
-        F.count_if("sent = 1").alias("num_txs_as_sender"),
-        F.count_if("sent = 0").alias("num_txs_as receiver"),
+        F.count_if(F.expr("sent = 1")).alias("num_txs_as_sender"),
+        F.count_if(F.expr("sent = 0")).alias("num_txs_as receiver"),
         F.count(F.lit(1)).alias("total_txs"),
     )
     life = visits.groupBy("address").agg(
@@ -211,7 +211,7 @@ def _documented(case: Case, flows: DataFrame, at: DataFrame) -> list[DataFrame]:
         partners.select("txid", F.inline(both)).distinct()
         .groupBy("address", "other").agg(F.count(F.lit(1)).alias("times"))
     )
-    often = met.groupBy("address").agg(F.count_if("times >= 2").alias("num_addr_transacted_multiple"))
+    often = met.groupBy("address").agg(F.count_if(F.expr("times >= 2")).alias("num_addr_transacted_multiple"))
     spread = _spread(met, "address", "transacted_w_address", None, "times").drop("transacted_w_address_total")
     total = met.groupBy("address").agg(F.count(F.lit(1)).alias("transacted_w_address_total"))
     return [
@@ -349,9 +349,9 @@ def leakage(folds: DataFrame) -> DataFrame:
     )
     late = sides.agg(F.count_if(F.col("t") >= F.col("p")).alias("violations")).select(F.lit("time_direction").alias("check"), "violations")
     both = folds.groupBy("fold", "txid").agg(F.count_distinct("part").alias("n"))
-    shared = both.agg(F.count_if("n > 1").alias("violations")).select(F.lit("disjoint_ids").alias("check"), "violations")
+    shared = both.agg(F.count_if(F.expr("n > 1")).alias("violations")).select(F.lit("disjoint_ids").alias("check"), "violations")
     repeat = folds.where("part = 'predict'").groupBy("txid").count()
-    many = repeat.agg(F.count_if("count > 1").alias("violations")).select(F.lit("one_prediction").alias("check"), "violations")
+    many = repeat.agg(F.count_if(F.expr("count > 1")).alias("violations")).select(F.lit("one_prediction").alias("check"), "violations")
     return late.unionByName(shared).unionByName(many)
 
 

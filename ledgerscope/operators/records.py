@@ -208,7 +208,7 @@ def counters(validated: DataFrame) -> DataFrame:
     warnings = F.size(F.filter("issues", lambda i: i["issue_type"] == "warning"))
     return validated.agg(
         F.count(F.lit(1)).alias("total_rows"),
-        F.count_if("is_valid").alias("accepted_rows"),
+        F.count_if(F.col("is_valid")).alias("accepted_rows"),
         F.count_if(~F.col("is_valid")).alias("rejected_rows"),
         F.coalesce(F.sum(warnings), F.lit(0)).alias("warning_count"),
     )

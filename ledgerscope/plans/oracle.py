@@ -697,7 +697,7 @@ ORACLES |= {
     "transaction_matrix": _with(
         "SELECT t.txid, time_step, " + ", ".join([
             _d("coalesce(d.in_degree, 0)", "in_txs_degree"), _d("coalesce(d.out_degree, 0)", "out_txs_degree"),
-            _d("greatest(i.s, coalesce(o.s, 0) + t.fee)", '"total_BTC"', 8), _d("t.fee", "fees", 8), _d("t.size", "size"),
+            _d("greatest(i.s, coalesce(o.s, 0) + t.fee)", '"total_BTC"', 10), _d("t.fee", "fees", 8), _d("t.size", "size"),
             _d("i.a", "num_input_addresses"), _d("coalesce(o.a, 0)", "num_output_addresses"),
             _d("i.lo", '"in_BTC_min"', 8), _d("i.hi", '"in_BTC_max"', 8), _d("i.med", '"in_BTC_median"', 10), _d("i.s", '"in_BTC_total"', 8),
             _d("coalesce(o.lo, 0)", '"out_BTC_min"', 8), _d("coalesce(o.hi, 0)", '"out_BTC_max"', 8), _d("coalesce(o.med, 0)", '"out_BTC_median"', 10),
@@ -725,7 +725,7 @@ LEFT JOIN (SELECT src AS txid, avg(x.out_degree) AS sm, max(x.out_degree) AS sx
         ]) + " FROM wm JOIN vl USING (address) LEFT JOIN vs USING (address)", PART, WALLET_MATRIX),
     "wallet_matrix_documented": _with(
         "SELECT address, " + ", ".join([
-            _d("coalesce(ft, 0)", "fees_total", 8), _d("coalesce(fx, 0)", "fees_max", 8), _d("coalesce(fd, 0)", "fees_median", 11),
+            _d("coalesce(ft, 0)", "fees_total", 11), _d("coalesce(fx, 0)", "fees_max", 11), _d("coalesce(fd, 0)", "fees_median", 12),
             _d("coalesce(ig, 0) // 600", "blocks_btwn_input_txs_total"), _d("coalesce(og, 0) // 600", "blocks_btwn_output_txs_max"),
             _d("coalesce(multi, 0)", "num_addr_transacted_multiple"), _d("coalesce(total, 0)", "transacted_w_address_total"),
             _d("coalesce(tx, 0)", "transacted_w_address_max"), _d("coalesce(td, 0)", "transacted_w_address_median"),
@@ -788,3 +788,155 @@ LEFT JOIN (SELECT i.address, coalesce(o.n, 0)::DOUBLE AS unique_outputs, t.n::DO
         [half_even(f"sin(src_port / {10000 ** (2 * i / 16)!r})", 6) + f" AS time_sin_{i}" for i in range(8)]
         + [half_even(f"cos(src_port / {10000 ** (2 * i / 16)!r})", 6) + f" AS time_cos_{i}" for i in range(8)]) + " FROM network"),
 }
+
+# --- evaluation
+
+SCORED = "scored AS MATERIALIZED (SELECT doc_id AS id, quality::BIGINT AS y, ((doc_id * 7919) % 1000) / 1000.0::DOUBLE AS score FROM labels)"
+
+
+def _eval(select: str, *blocks: str) -> str:
+    return "WITH " + ",\n".join((SCORED, *blocks)) + "\n" + select
+
+
+ORACLES |= {
+    "confusion": _eval("""
+SELECT tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS recall,
+       CASE WHEN tp + fp + fn > 0 THEN (2 * tp)::DOUBLE / (2 * tp + fp + fn) ELSE 0 END AS f1
+FROM (SELECT count(*) FILTER (WHERE score >= 0.675 AND y = 1) AS tp, count(*) FILTER (WHERE score >= 0.675 AND y = 0) AS fp,
+      count(*) FILTER (WHERE score < 0.675 AND y = 1) AS fn FROM scored)"""),
+    "model_areas": _eval("""
+SELECT """ + half_even("(SELECT sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END)::DOUBLE / count(*) FROM scored p, scored n WHERE p.y = 1 AND n.y = 0)", 9)
+        + " AS roc_auc, " + half_even("(SELECT sum(pos * tp::DOUBLE / n) / (SELECT sum(y) FROM scored) FROM (SELECT score, sum(y) AS pos, sum(sum(y)) OVER (ORDER BY score DESC) AS tp, sum(count(*)) OVER (ORDER BY score DESC) AS n FROM scored GROUP BY score))", 9)
+        + " AS pr_auc"),
+    "precision_at_k": _eval("""
+SELECT k::INTEGER AS k, sum(y)::DOUBLE / count(*) AS precision, sum(y)::DOUBLE / (SELECT sum(y) FROM scored) AS recall
+FROM (SELECT y, row_number() OVER (ORDER BY score DESC, id) AS n FROM scored), (VALUES (10), (50), (100)) AS t(k) WHERE n <= k GROUP BY k"""),
+    "best_threshold": _eval("""
+SELECT step / 40.0::DOUBLE AS threshold, f1, tp, fp, fn FROM (
+  SELECT step, tp, fp, fn, CASE WHEN 2 * tp + fp + fn > 0 THEN (2 * tp)::DOUBLE / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM (
+    SELECT step, count(*) FILTER (WHERE cell >= step AND y = 1) AS tp, count(*) FILTER (WHERE cell >= step AND y = 0) AS fp, count(*) FILTER (WHERE cell < step AND y = 1) AS fn
+    FROM (SELECT y, least(40, floor(score * 40)) AS cell FROM scored), generate_series(0, 40) AS g(step) GROUP BY step)) ORDER BY f1 DESC, step LIMIT 1"""),
+    "calibration": _eval("""
+SELECT """ + half_even("sum(err) / sum(c)", 9) + " AS brier, " + half_even("sum(abs(s - p)) / sum(c)", 9) + """ AS ece FROM (
+  SELECT least(9, floor(score * 10)) AS b, sum((score - y) * (score - y)) AS err, count(*) AS c, sum(score) AS s, sum(y) AS p FROM scored GROUP BY 1)"""),
+    "tier_table": _eval("SELECT " + _tier("score * 100", (85, 60, 30)) + " AS tier, count(*) AS n_rows, count(*)::DOUBLE / (SELECT count(*) FROM scored) AS share, avg(y) AS positive_rate FROM scored GROUP BY 1"),
+    "unique_catches": _eval("SELECT id, score AS anomaly_score FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 100) WHERE (id * 104729) % 1000 < 500"),
+    "detection_recall": _with("""
+SELECT 'transaction' AS kind, count(*) FILTER (WHERE planted) AS planted, count(*) FILTER (WHERE planted AND hit) AS found, count(*) FILTER (WHERE hit AND NOT planted) AS extra
+FROM (SELECT o_orderkey % 100 >= 80 AS planted, 'transaction:' || txid IN (SELECT entity_id FROM tx_hits) AS hit FROM transactions) WHERE planted OR hit""", TX_FEATURES, TX_RULES),
+}
+
+# --- investigation
+
+RUNS = """
+runs AS MATERIALIZED (SELECT *, 'run-1' AS run_id FROM alerts UNION ALL SELECT * REPLACE (priority_score - 1.0::DOUBLE AS priority_score), 'run-2' FROM alerts)
+"""
+FEW = ("fan_in", "fan_out", "median_time_gap", "dust_incoming_count", "unique_counterparties")
+DEVIATIONS = """
+lw AS MATERIALIZED (""" + " UNION ALL ".join(
+    f"SELECT entity_id, '{c}' AS feature, {c}::DOUBLE AS value, {i} AS o FROM wf" for i, c in enumerate(FEW)
+) + """),
+lq AS MATERIALIZED (SELECT feature, quantile_cont(value, 0.25) AS q25, median(value) AS med, quantile_cont(value, 0.75) AS q75 FROM lw GROUP BY feature),
+dev AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY deviation DESC, o) AS place FROM (
+    SELECT entity_id, feature, value, o, """ + half_even("abs(value - med) / (CASE WHEN q75 = q25 THEN 1.0 ELSE q75 - q25 END)", 3) + """ AS deviation FROM lw JOIN lq USING (feature)))
+"""
+
+ORACLES |= {
+    "wallet_profiles": _with("""
+SELECT entity_id, wallet_address AS address, priority_score, """ + _tier("priority_score") + """ AS severity, transaction_count, total_incoming, total_outgoing,
+       """ + half_even("total_incoming - total_outgoing", 8) + """ AS balance, unique_counterparties, fan_in, fan_out, connected_ip_count
+FROM wf JOIN alerts USING (entity_id)""", *ALERT_BLOCKS),
+    "selected_alerts": _with("SELECT entity_id, run_id, priority_score FROM runs WHERE run_id = 'run-2' AND " + _tier("priority_score + 1") + " = 'HIGH' AND priority_score >= 66 AND entity_type = 'transaction'", *ALERT_BLOCKS, RUNS),
+    "alert_page": _with("SELECT entity_id, priority_score, (SELECT count(*) FROM alerts) AS total FROM runs WHERE run_id = 'run-2' ORDER BY priority_score DESC, entity_id LIMIT 25 OFFSET 50", *ALERT_BLOCKS, RUNS),
+    "replaced_run": _with("""
+SELECT run_id, entity_type, count(*) AS n FROM runs WHERE run_id = 'run-1' OR entity_type = 'transaction' GROUP BY ALL""", *ALERT_BLOCKS, RUNS),
+    "flagged_nodes": _with("SELECT entity_id AS id, 'transaction' AS type FROM tx_hits", TX_FEATURES, TX_RULES),
+    "wallet_transactions": _with("""
+SELECT address, txid, timestamp_epoch AS timestamp, """ + half_even("fee", 8) + """ AS fee, CASE WHEN max(sent) = 1 THEN 'OUTGOING' ELSE 'INCOMING' END AS direction,
+       any_value(coalesce(ni, 0)) AS inputs_count, any_value(coalesce(no, 0)) AS outputs_count
+FROM part JOIN transactions USING (txid) LEFT JOIN (SELECT txid, count(*) AS ni FROM inputs GROUP BY txid) USING (txid)
+LEFT JOIN (SELECT txid, count(*) AS no FROM outputs GROUP BY txid) USING (txid) GROUP BY address, txid, timestamp_epoch, fee""", PART),
+    "wallet_observations": _with("""
+SELECT record_id, txid, src_ip, src_port, asn, geo_country, us AS timestamp FROM network WHERE txid IN (SELECT txid FROM part WHERE address = 'W1')""", PART),
+    "transaction_inspector": _with("""
+SELECT txid, coalesce(i.a, '') AS inputs, coalesce(o.a, '') AS outputs, """ + half_even("coalesce(i.s, 0)", 8) + " AS total_input, " + half_even("coalesce(o.s, 0)", 8) + """ AS total_output, coalesce(r.a, '') AS relays
+FROM transactions LEFT JOIN (SELECT txid, string_agg(address, ',' ORDER BY input_index) FILTER (WHERE input_index < 10) AS a, sum(amount) AS s FROM inputs GROUP BY txid) i USING (txid)
+LEFT JOIN (SELECT txid, string_agg(address, ',' ORDER BY output_index) FILTER (WHERE output_index < 10) AS a, sum(amount) AS s FROM outputs GROUP BY txid) o USING (txid)
+LEFT JOIN (SELECT txid, string_agg(src_ip, ',' ORDER BY us, record_id) AS a FROM (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY us, record_id) AS n FROM network) WHERE n <= 10 GROUP BY txid) r USING (txid)"""),
+    "ip_inspector": _with("""
+SELECT src_ip, n AS relayed_tx_count, country, asn, coalesce(t.a, '') AS sample_txids, p.a AS ports FROM (
+  SELECT src_ip, count(*) AS n, arg_min(geo_country, (us, record_id)) AS country, arg_min(asn, (us, record_id)) AS asn FROM network GROUP BY src_ip)
+LEFT JOIN (SELECT src_ip, string_agg(txid, ',' ORDER BY txid) AS a FROM (SELECT src_ip, txid, row_number() OVER (PARTITION BY src_ip ORDER BY txid) AS r FROM (SELECT DISTINCT src_ip, txid FROM network WHERE txid IS NOT NULL)) WHERE r <= 10 GROUP BY src_ip) t USING (src_ip)
+LEFT JOIN (SELECT src_ip, string_agg(src_port::VARCHAR, ',' ORDER BY src_port) AS a FROM (SELECT src_ip, src_port, row_number() OVER (PARTITION BY src_ip ORDER BY src_port) AS r FROM (SELECT DISTINCT src_ip, src_port FROM network)) WHERE r <= 5 GROUP BY src_ip) p USING (src_ip)"""),
+    "located_network": _with("""
+SELECT record_id, src_ip, CASE WHEN event_id % 3 <> 0 THEN geo_country ELSE n_name END AS geo_country,
+       CASE WHEN event_id % 3 = 0 AND n_name IS NOT NULL THEN 'AS' || n_nationkey ELSE asn END AS asn
+FROM network LEFT JOIN nation ON split_part(src_ip, '.', 3) = '0' AND split_part(src_ip, '.', 4)::INT BETWEEN n_nationkey * 8 AND n_nationkey * 8 + 5"""),
+    "evidence_items": _with("""
+SELECT entity_id, 'observed' AS class, 'source_records' AS feature, source_record_count::DOUBLE AS value, least(20, source_record_count)::BIGINT AS cited FROM wf
+UNION ALL SELECT entity_id, 'detector', rule_id, observed_value, least(20, source_record_count)::BIGINT FROM hits JOIN wf USING (entity_id)
+UNION ALL SELECT entity_id, 'derived', feature, value, least(5, source_record_count)::BIGINT FROM dev JOIN wf USING (entity_id)""", *RULE_BLOCKS, DEVIATIONS),
+    "alert_reasons": _with("""
+SELECT entity_id, rule_id AS rule_code, replace(rule_id, 'RULE_', '') AS headline FROM hits
+UNION ALL SELECT entity_id, feature, CASE feature WHEN 'fan_in' THEN 'Fan In' WHEN 'fan_out' THEN 'Fan Out' WHEN 'median_time_gap' THEN 'Median Time Gap'
+  WHEN 'dust_incoming_count' THEN 'Dust Incoming Count' ELSE 'Unique Counterparties' END FROM dev WHERE place <= 3 AND deviation > 1.5
+UNION ALL SELECT entity_id, 'network_score', 'Network Score' FROM ns WHERE network_score >= 0.7""", *RULE_BLOCKS, NET_SIGNALS, DEVIATIONS),
+    "alert_narratives": _with("""
+SELECT entity_id, 'Entity ' || entity_id || ' flagged with ' || """ + _tier("p") + """ || ' priority (score: ' || printf('%.1f', p) || '/100).' ||
+  CASE WHEN n > 0 THEN ' Triggered ' || n || ' rule(s): ' || names || '.' ELSE '' END AS summary_text, 1 + n + 5 AS items, 1.0::DOUBLE AS evidence_coverage, least(20, source_record_count)::BIGINT AS records
+FROM (SELECT entity_id, source_record_count, coalesce(rule_count, 0) AS n, """ + half_even("0.3::DOUBLE * coalesce(behavior_score, 0) * 100.0::DOUBLE", 2) + """ AS p FROM wf LEFT JOIN behave USING (entity_id))
+LEFT JOIN (SELECT entity_id, string_agg(rule_id, ', ' ORDER BY code) AS names FROM hits GROUP BY entity_id) USING (entity_id)""", *RULE_BLOCKS),
+    "feedback_counts": _with("SELECT " + _tier("priority_score") + " AS severity, ['relevant', 'benign', 'needs_review'][len(entity_id) % 3 + 1] AS label, count(*) AS n FROM alerts GROUP BY 1, 2", *ALERT_BLOCKS),
+    "upserted_nodes": _with("""
+SELECT 'star' AS case_id, txid, (size + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS size, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS source FROM transactions"""),
+    "graph_export": _with("SELECT 'edge:' || src || '->' || dst || ':' || type AS id, src AS source, dst AS target, type, basis, weight, " + r8("amount") + " AS amount FROM ent_edges", PART, GRAPH),
+    "package_written": _with("""
+SELECT 'transaction/features' AS file, count(*) AS rows FROM transactions UNION ALL SELECT 'transaction/edgelist', count(*) FROM spend_rows
+UNION ALL SELECT 'wallet/features', count(DISTINCT address) FROM part UNION ALL SELECT 'network/features', count(*) FROM transactions
+UNION ALL SELECT 'network/edgelist', count(*) FROM network WHERE txid IN (SELECT txid FROM transactions)""", PART, SPENDS),
+    "content_hashes": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "altered_artifacts": "SELECT n_nationkey::BIGINT AS n_nationkey FROM nation WHERE n_nationkey % 7 = 3",
+    "telemetry_features": _with("""
+SELECT txid, count(DISTINCT src_ip) AS originator_peer_count, count(DISTINCT geo_country) AS originator_country_diversity, count(DISTINCT asn) AS originator_asn_diversity,
+       max((dst_port = 9050)::INT) AS originator_tor_or_vpn_flag, max((dst_port <> 8333)::INT) AS originator_port_flag, """ + half_even("avg((us - f < 500000)::INT)", 9) + """ AS originator_relay_burst_score
+FROM network JOIN (SELECT txid, min(us) AS f FROM network GROUP BY txid) USING (txid) GROUP BY txid"""),
+    "observation_gaps": _with("SELECT txid, record_id, (us - lag(us) OVER (PARTITION BY txid ORDER BY us, record_id)) / 1e6::DOUBLE AS delta_t FROM network WHERE txid IS NOT NULL"),
+    "arrival_features": _with("""
+SELECT address, b AS burst_event_count, coalesce(lo, 0) AS inter_arrival_time_min, coalesce(hi, 0) AS inter_arrival_time_max, coalesce(mean, 0) AS inter_arrival_time_mean,
+       """ + half_even("coalesce(sd, 0)", 3) + """ AS inter_arrival_time_std, coalesce(med, 0) AS inter_arrival_time_median
+FROM (SELECT address, max(c) AS b FROM (SELECT address, count(*) OVER (PARTITION BY address ORDER BY us RANGE BETWEEN 30000000 PRECEDING AND CURRENT ROW) AS c FROM vis) GROUP BY address)
+LEFT JOIN (SELECT address, min(g) AS lo, max(g) AS hi, avg(g) AS mean, stddev_samp(g) AS sd, median(g) AS med FROM (
+  SELECT address, (us - lag(us) OVER (PARTITION BY address ORDER BY us)) / 1e6 AS g FROM vis) WHERE g IS NOT NULL GROUP BY address) USING (address)""",
+        PART, "vis AS MATERIALIZED (SELECT DISTINCT address, txid, us FROM part)"),
+    "peeling_depth": _with("SELECT txid, max(d)::INTEGER AS depth FROM chain GROUP BY txid", SPENDS, """
+shaped AS MATERIALIZED (SELECT txid FROM inputs GROUP BY txid HAVING count(*) = 1 INTERSECT SELECT txid FROM outputs GROUP BY txid HAVING count(*) = 2),
+chain(txid, d) AS (SELECT txid, 1 FROM shaped UNION SELECT s.src, c.d + 1 FROM chain c JOIN spends s ON s.dst = c.txid WHERE s.src IN (SELECT txid FROM shaped) AND c.d < 1000)""",
+        recursive=True),
+    "local_structure": _with("""
+SELECT id, CASE WHEN k > 1 THEN 2.0::DOUBLE * coalesce(triangle_count, 0) / (k * (k - 1)) ELSE 0 END AS clustering_coefficient, CASE WHEN od > 0 THEN coalesce(back, 0)::DOUBLE / od ELSE 0 END AS reciprocity
+FROM (SELECT id, count(*) AS k FROM (SELECT u AS id, v AS o FROM und UNION SELECT v, u FROM und) GROUP BY id) LEFT JOIN tri USING (id)
+LEFT JOIN (SELECT ia AS id, count(DISTINCT oa) AS od FROM pairs GROUP BY ia) USING (id)
+LEFT JOIN (SELECT a.ia AS id, count(DISTINCT a.oa) AS back FROM pairs a JOIN pairs b ON a.ia = b.oa AND a.oa = b.ia GROUP BY a.ia) USING (id)""", PART, PAIRS, TRIANGLES),
+    "weighted_degrees": _with("""
+SELECT id, """ + r8("sum(i)") + " AS weighted_in, " + r8("sum(o)") + " AS weighted_out, " + r8("sum(i) + sum(o)") + """ AS weighted_total FROM (
+  SELECT src AS id, amount AS o, 0::DOUBLE AS i FROM ent_edges WHERE amount IS NOT NULL UNION ALL SELECT dst, 0, amount FROM ent_edges WHERE amount IS NOT NULL) GROUP BY id""", PART, GRAPH),
+    "wallet_timeline": _with("""
+SELECT address, min(timestamp_epoch) AS first_seen, max(timestamp_epoch) AS last_seen, count(DISTINCT time_step) AS active_steps FROM part JOIN steps USING (txid) GROUP BY address""", PART, STEPS),
+    "flow_paths": _with("""
+SELECT DISTINCT e.ia AS src, e.oa AS dst, a.h AS from_start FROM p2 e JOIN fwd a ON a.id = e.ia JOIN bwd b ON b.id = e.oa
+WHERE a.h + 1 + b.h = (SELECT h FROM fwd WHERE id = 'W170')""", PART, PAIRS, """p2 AS MATERIALIZED (SELECT DISTINCT ia, oa FROM pairs),
+f0(id, h) AS (SELECT 'W1', 0 UNION SELECT oa, h + 1 FROM f0 JOIN p2 ON ia = id WHERE h < 4), fwd AS MATERIALIZED (SELECT id, min(h) AS h FROM f0 GROUP BY id),
+b0(id, h) AS (SELECT 'W170', 0 UNION SELECT ia, h + 1 FROM b0 JOIN p2 ON oa = id WHERE h < 4), bwd AS MATERIALIZED (SELECT id, min(h) AS h FROM b0 GROUP BY id)""", recursive=True),
+    "stream_relay_windows": """
+WITH w AS (SELECT 'tx_' || (event_id % 50) AS txid, epoch_us(ts) // 3600000000 * 3600 AS window_start, count(*) AS observations FROM events GROUP BY 1, 2)
+SELECT * FROM w WHERE window_start < (SELECT max(window_start) FROM w WHERE window_start + 3600 <= (SELECT max(epoch_us(ts)) // 1000000 FROM events))""",
+    "stream_wallet_bursts": """
+WITH w AS (SELECT 'ip_' || user_id AS address, (epoch_us(ts) // 1800000000 - k) * 1800 AS window_start, count(*) AS visits FROM events, (VALUES (0), (1)) AS t(k) GROUP BY 1, 2)
+SELECT * FROM w WHERE window_start < (SELECT max(window_start) FROM w WHERE window_start + 3600 <= (SELECT max(epoch_us(ts)) // 1000000 FROM events)) - 3600""",
+    "stream_ingest": _records("SELECT 'accepted' AS file, count(*) AS rows FROM good UNION ALL SELECT 'rejected', (SELECT count(*) FROM lists) - count(*) FROM good"),
+    "stream_links": """
+WITH t AS (SELECT 'tx_' || (o_orderkey % 50) AS txid, 'rec_' || o_orderkey AS transaction_record_id, (1704067200 + (o_orderkey * 7919) % 2592000) * 1000000 AS us FROM orders)
+SELECT 'net_' || event_id AS network_record_id, txid, transaction_record_id, 'ip_' || user_id AS src_ip, '0.0.0.0' AS dst_ip
+FROM events JOIN t ON txid = 'tx_' || (event_id % 50) AND epoch_us(ts) BETWEEN us - 3600000000 AND us + 3600000000""",
+}

@@ -12,6 +12,7 @@ from ledgerscope.operators import correlate, features, participation as parts
 from ledgerscope.operators import (
     alerts,
     case_files,
+    dictionary,
     entity_graph as graph,
     evaluate,
     geo,
@@ -23,11 +24,14 @@ from ledgerscope.operators import (
     rules,
     scoring,
     signals,
+    supervised,
 )
 from ledgerscope.functions import text
 from ledgerscope.plans.star_case import dirty_records, star_case
 from ledgerscope.session import cut, materialize, work_path
-from ledgerscope.sources import readers, reports
+from ledgerscope import schema
+from ledgerscope.sources import readers, reports, tables as tables_io
+from ledgerscope.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -611,9 +615,7 @@ def behaviour_scores(spark, sf):
 
 @query
 def transaction_rules(spark, sf):
-    tx = rounded(features.transaction_features(star_case(spark, sf)), total_input=8, total_output=8)
-    tx = tx.withColumn("fee_ratio", F.when(F.col("total_input") > 0, F.col("fee") / F.col("total_input")).otherwise(0.0))
-    return rules.transaction_rules(tx).drop("description")
+    return rules.transaction_rules(features.transaction_features(star_case(spark, sf))).drop("description")
 
 
 @query
@@ -661,9 +663,7 @@ def custom_rule_scores(spark, sf):
 
 @query
 def custom_transaction_rules(spark, sf):
-    tx = rounded(features.transaction_features(star_case(spark, sf)), total_input=8)
-    tx = tx.withColumn("fee_ratio", F.when(F.col("total_input") > 0, F.col("fee") / F.col("total_input")).otherwise(0.0))
-    keyed = tx.withColumn("entity_id", F.concat(F.lit("transaction:"), "txid"))
+    keyed = features.transaction_features(star_case(spark, sf)).withColumn("entity_id", F.concat(F.lit("transaction:"), "txid"))
     return rules.custom_rule_hits(keyed, _custom_rules(spark), "transaction").select("entity_id", "rule_id", "observed_value")
 
 
@@ -695,8 +695,7 @@ def _alerts(spark, sf) -> DataFrame:
     )
     blank = {f"{n}_score": F.lit(0.0) for n in ("anomaly", "graph", "supervised", "rule")}
     fused = scoring.fuse(streams.withColumns(blank))
-    tx = rounded(features.transaction_features(case), total_input=8)
-    tx = tx.withColumn("fee_ratio", F.when(F.col("total_input") > 0, F.col("fee") / F.col("total_input")).otherwise(0.0))
+    tx = features.transaction_features(case)
     cols = ["entity_id", "entity_type", "behavior_score", "network_score", "rule_count", "priority_score", "severity"]
     return (
         fused.withColumn("entity_type", F.lit("wallet")).select(*cols)
@@ -752,9 +751,9 @@ def transaction_matrix(spark, sf):
     named += ["Local_feature_2", "Local_feature_3", "Local_feature_4", "Local_feature_7"]
     named += [f"Aggregate_feature_{i}" for i in (1, 2, 3, 4, 9)]
     out = m.select(*named, width)
-    eight = [c for c in named if "_BTC" in c and not c.endswith("median")] + ["fees"]
+    eight = [c for c in named if "_BTC_" in c and not c.endswith("median")] + ["fees"]
     five = ["Local_feature_2", "Local_feature_3", "Local_feature_7", "Aggregate_feature_9"]
-    return rounded(out, **{c: 8 for c in eight}, **{c: 5 for c in five}, in_BTC_median=10, out_BTC_median=10)
+    return rounded(out, **{c: 8 for c in eight}, **{c: 5 for c in five}, in_BTC_median=10, out_BTC_median=10, total_BTC=10)
 
 
 @query
@@ -775,7 +774,7 @@ def wallet_matrix_documented(spark, sf):
     m = matrices.wallet_matrix(star_case(spark, sf), documented=True)
     kept = ["address", "fees_total", "fees_max", "fees_median", "blocks_btwn_input_txs_total", "blocks_btwn_output_txs_max"]
     kept += ["num_addr_transacted_multiple"] + [f"transacted_w_address_{s}" for s in ("total", "max", "median")]
-    return rounded(m.select(*kept), fees_total=8, fees_max=8, fees_median=11)
+    return rounded(m.select(*kept), fees_total=11, fees_max=11, fees_median=12)
 
 
 @query
@@ -867,3 +866,439 @@ def static_means(spark, sf):
 def time_encoding(spark, sf):
     out = graph.time_encoding(star_case(spark, sf).network.select("record_id", "src_port"), "src_port").drop("src_port")
     return rounded(out, **{c: 6 for c in out.columns if c != "record_id"})
+
+
+# --- anomaly detection, supervised stages, evaluation
+
+
+@query
+def anomaly_scores(spark, sf):
+    """Isolation forest over wallet features; no SQL counterpart."""
+    case = star_case(spark, sf)
+    wallets = _wallet_table(case)
+    columns = signals.WALLET_ANOMALY_COLUMNS
+    filled = materialize(matrices.impute(wallets.select("entity_id", *columns), columns, case.flow_rows), "matrix")
+    return iforest.anomaly_scores(filled, "entity_id", columns, rows=case.flow_rows)
+
+
+@query
+def supervised_scores(spark, sf):
+    """Three domain forests and their logistic stack per transaction; labels mark fee anomalies."""
+    case = star_case(spark, sf)
+    tx = materialize(matrices.transaction_matrix(case), "tx_matrix")
+    net = materialize(matrices.network_matrix(case), "net_matrix")
+    wallet = materialize(matrices.wallet_matrix(case), "wallet_matrix")
+    feats = features.transaction_features(case)
+    labels = feats.select("txid", (F.col("fee_ratio") >= 0.15).cast("double").alias("label"))
+    senders = case.inputs.groupBy("txid").agg(F.min("address").alias("address"))
+    wallet_rows = senders.join(wallet.drop("time_step"), "address")
+    parts_ = []
+    for name, table, columns, trees in (
+        ("rf_tx", tx, schema.transaction_columns()[93 + 72 :], 20),
+        ("rf_wallet", wallet_rows, schema.wallet_columns(), 20),
+        ("rf_network", net, schema.network_columns(), 20),
+    ):
+        model = supervised.fit_forest(table.join(labels, "txid"), columns, trees)
+        parts_.append(supervised.probabilities(table, "txid", columns, model, name))
+    stack = parts_[0].join(parts_[1], "txid").join(parts_[2], "txid").join(labels, "txid")
+    stack = materialize(stack, "stack")
+    names = ["rf_tx", "rf_wallet", "rf_network"]
+    return supervised.stacked(stack, "txid", names, supervised.fit_stack(stack, names))
+
+
+def _scored(spark, sf) -> DataFrame:
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return labels.select(
+        F.col("doc_id").alias("id"), F.col("quality").cast("long").alias("y"), (((F.col("doc_id") * 7919) % 1000) / 1000.0).alias("score")
+    )
+
+
+@query
+def confusion(spark, sf):
+    return evaluate.confusion(_scored(spark, sf), threshold=0.675)
+
+
+@query
+def model_areas(spark, sf):
+    return rounded(evaluate.areas(_scored(spark, sf)), roc_auc=9, pr_auc=9)
+
+
+@query
+def precision_at_k(spark, sf):
+    return evaluate.at_k(_scored(spark, sf), (10, 50, 100))
+
+
+@query
+def best_threshold(spark, sf):
+    return evaluate.best_threshold(_scored(spark, sf))
+
+
+@query
+def calibration(spark, sf):
+    return rounded(evaluate.calibration(_scored(spark, sf)), brier=9, ece=9)
+
+
+@query
+def tier_table(spark, sf):
+    return evaluate.tier_table(_scored(spark, sf), scoring.severity(F.col("score") * 100, "calibration"))
+
+
+@query
+def unique_catches(spark, sf):
+    scored = _scored(spark, sf)
+    flagged = scored.where(((F.col("id") * 104729) % 1000) >= 500)
+    return evaluate.unique_catches(scored.withColumnRenamed("score", "anomaly_score"), flagged, 100).select("id", "anomaly_score")
+
+
+@query
+def detection_recall(spark, sf):
+    """Fee-anomaly alerts against transactions whose fee was set high when the case was made."""
+    case = star_case(spark, sf)
+    found = rules.transaction_rules(features.transaction_features(case)).select("entity_id")
+    key = F.substring("txid", 4, 20).cast("long")
+    planted = case.transactions.where(key % 100 >= 80).select(
+        F.concat(F.lit("transaction:"), "txid").alias("entity_id"), F.lit("transaction").alias("kind")
+    )
+    return evaluate.detection(found, planted)
+
+
+# --- investigation
+
+
+@query
+def wallet_profiles(spark, sf):
+    case, _, wallets, _ = _rule_inputs(spark, sf)
+    return investigate.wallet_profiles(wallets, _runs(_alerts(spark, sf)))
+
+
+def _runs(found: DataFrame) -> DataFrame:
+    """The same alerts under two runs, the second scored a little lower."""
+    first = found.withColumn("run_id", F.lit("run-1"))
+    second = found.withColumns({"run_id": F.lit("run-2"), "priority_score": F.col("priority_score") - 1.0})
+    return first.unionByName(second)
+
+
+def _run_table(spark) -> DataFrame:
+    rows = [("run-1", "star", 1), ("run-2", "star", 2)]
+    return spark.createDataFrame(rows, "run_id string, case_id string, created_at int")
+
+
+@query
+def selected_alerts(spark, sf):
+    found = investigate.select_alerts(_runs(_alerts(spark, sf)), _run_table(spark), severity="high", min_score=66.0, entity_type="transaction")
+    return found.select("entity_id", "run_id", "priority_score")
+
+
+@query
+def alert_page(spark, sf):
+    kept = investigate.select_alerts(_runs(_alerts(spark, sf)), _run_table(spark))
+    return investigate.page(kept, 3, 25).select("entity_id", "priority_score", "total")
+
+
+@query
+def replaced_run(spark, sf):
+    """Two runs written, the second rewritten with fewer rows; the first stays."""
+    path = work_path(spark, "alerts")
+    found = materialize(_alerts(spark, sf), "found")
+    tables_io.replace_partition(_runs(found), path)
+    again = found.where("entity_type = 'transaction'").withColumn("run_id", F.lit("run-2"))
+    tables_io.replace_partition(again, path)
+    back = tables_io.read_table(spark, path)
+    return back.groupBy("run_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def flagged_nodes(spark, sf):
+    g = Graph(spark, sf)
+    hits = rules.transaction_rules(features.transaction_features(g.case))
+    return graph.flagged_nodes(g.nodes, hits).select("id", "type")
+
+
+@query
+def wallet_transactions(spark, sf):
+    out = investigate.wallet_transactions(star_case(spark, sf))
+    return rounded(out.withColumn("timestamp", F.unix_seconds("timestamp")), fee=8)
+
+
+@query
+def wallet_observations(spark, sf):
+    out = investigate.wallet_observations(star_case(spark, sf), "W1")
+    return out.withColumn("timestamp", F.unix_micros("timestamp"))
+
+
+@query
+def transaction_inspector(spark, sf):
+    out = investigate.inspect_transactions(star_case(spark, sf))
+    ips = F.transform("relays", lambda r: r["src_ip"])
+    shown = out.select(
+        "txid",
+        F.concat_ws(",", "input_addresses").alias("inputs"),
+        F.concat_ws(",", "output_addresses").alias("outputs"),
+        "total_input",
+        "total_output",
+        F.concat_ws(",", ips).alias("relays"),
+    )
+    return rounded(shown, total_input=8, total_output=8)
+
+
+@query
+def ip_inspector(spark, sf):
+    out = investigate.inspect_ips(star_case(spark, sf))
+    ports = F.transform("ports", lambda p: p.cast("string"))
+    return out.withColumns({"sample_txids": F.concat_ws(",", "sample_txids"), "ports": F.concat_ws(",", ports)})
+
+
+@query
+def located_network(spark, sf):
+    """Observations whose country was lost, located from ranges made of the nation table."""
+    case = star_case(spark, sf)
+    nation = spark.read.parquet(f"{sf}/nation.parquet")
+    base = (10 << 24) + F.col("n_nationkey").cast("long") * 8
+    ranges = nation.select(
+        base.alias("start"), (base + 5).alias("end"), F.col("n_name").alias("country"), F.concat(F.lit("AS"), F.col("n_nationkey")).alias("asn")
+    )
+    key = F.substring("record_id", 5, 20).cast("long")
+    bare = case.network.withColumn("geo_country", F.when(key % 3 != 0, F.col("geo_country")))
+    return geo.locate(bare, ranges).select("record_id", "src_ip", "geo_country", "asn")
+
+
+def _evidence(spark, sf):
+    case, _, wallets, hits = _rule_inputs(spark, sf)
+    base = matrices.column_quantiles(wallets, FEW, case.flow_rows)
+    devs = iforest.top_deviations(wallets, "entity_id", FEW, base, 5)
+    return case, wallets, hits, devs
+
+
+@query
+def evidence_items(spark, sf):
+    case, wallets, hits, devs = _evidence(spark, sf)
+    items = alerts.evidence_items(wallets, hits, devs, features.first_sources(features.wallet_sources(case)))
+    return items.select("entity_id", "class", "feature", "value", F.size("source_record_ids").cast("long").alias("cited"))
+
+
+@query
+def alert_reasons(spark, sf):
+    case, wallets, hits, devs = _evidence(spark, sf)
+    net = scoring.network_signals(wallets, case.flow_rows)
+    fused = alerts.wallet_alerts(wallets, rules.behaviour_scores(hits), network_scores=net)
+    seen = investigate.reason_view(alerts.reason_rows(fused, hits, devs))
+    return seen.select("entity_id", "rule_code", "headline")
+
+
+@query
+def alert_narratives(spark, sf):
+    """Explained alerts with packs; a count of what each cites."""
+    case, wallets, hits, devs = _evidence(spark, sf)
+    fused = alerts.wallet_alerts(wallets, rules.behaviour_scores(hits))
+    packs = alerts.evidence_packs(
+        alerts.evidence_items(wallets, hits, devs, features.first_sources(features.wallet_sources(case)))
+    )
+    told = alerts.explained(fused, alerts.reason_rows(fused, hits, devs))
+    seen = investigate.evidence_view(told, packs, features.wallet_sources(case))
+    return seen.select(
+        "entity_id", "summary_text", F.size("evidence_pack").cast("long").alias("items"), "evidence_coverage",
+        F.size("source_records").cast("long").alias("records"),
+    )
+
+
+@query
+def feedback_counts(spark, sf):
+    found = _alerts(spark, sf)
+    label = F.element_at(F.array(F.lit("relevant"), F.lit("benign"), F.lit("needs_review")), (F.length("entity_id") % 3 + 1).cast("int"))
+    return investigate.feedback_counts(found.select("entity_id", label.alias("label")), found)
+
+
+@query
+def upserted_nodes(spark, sf):
+    """Transaction nodes of an earlier load merged with a later one that changes a third of them."""
+    case = star_case(spark, sf)
+    key = F.substring("txid", 4, 20).cast("long")
+    old = case.transactions.select(F.lit("star").alias("case_id"), "txid", "size", F.lit("old").alias("source"))
+    new = case.transactions.where(key % 3 == 0).select(
+        F.lit("star").alias("case_id"), "txid", (F.col("size") + 1).alias("size"), F.lit("new").alias("source")
+    )
+    return tables_io.upsert(old, new, ["case_id", "txid"])
+
+
+@query
+def graph_export(spark, sf):
+    g = Graph(spark, sf)
+    path = work_path(spark, "graph")
+    reports.export_graph(g.nodes, g.edges, reports.graph_summary(g.nodes, g.edges), path)
+    back = spark.read.json(f"{path}/edges")
+    return rounded(back.select("id", "source", "target", "type", "basis", "weight", "amount"), amount=8)
+
+
+@query
+def package_written(spark, sf):
+    case = star_case(spark, sf)
+    path = work_path(spark, "package")
+    reports.write_package(case, path)
+    names = ("transaction/features", "transaction/edgelist", "wallet/features", "network/features", "network/edgelist")
+    sizes = {n: tables_io.read_table(spark, f"{path}/{n}") for n in names}
+    return case_files.row_counts(sizes)
+
+
+@query
+def content_hashes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.select("doc_id", F.sha2(F.col("text"), 256).alias("sha256"))
+
+
+@query
+def altered_artifacts(spark, sf):
+    """Fingerprints of written artifacts against a record in which one in seven was changed."""
+    path = work_path(spark, "artifacts")
+    events = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", F.col("n_name").alias("value"))
+    events.write.partitionBy("n_nationkey").text(path)
+    now = tables_io.fingerprints(spark, path)
+    key = F.regexp_extract("relative_path", "n_nationkey=([0-9]+)", 1).cast("long")
+    then = now.withColumn("sha256", F.when(key % 7 == 3, F.lit("changed")).otherwise(F.upper("sha256")))
+    return tables_io.altered(then, now).select(key.alias("n_nationkey"))
+
+
+@query
+def report_lines(spark, sf):
+    """Markdown report of the rule-based alerts."""
+    case, wallets, hits, devs = _evidence(spark, sf)
+    g = Graph(spark, sf)
+    fused = alerts.wallet_alerts(wallets, rules.behaviour_scores(hits), network_scores=scoring.network_signals(wallets, case.flow_rows))
+    packs = alerts.evidence_packs(
+        alerts.evidence_items(wallets, hits, devs, features.first_sources(features.wallet_sources(case)))
+    )
+    told = alerts.explained(fused, alerts.reason_rows(fused, hits, devs)).join(packs, "entity_id", "left")
+    return reports.markdown_lines(told, reports.graph_summary(g.nodes, g.edges), "star", "run-1")
+
+
+# --- dictionary features
+
+
+@query
+def telemetry_features(spark, sf):
+    return rounded(dictionary.telemetry_features(star_case(spark, sf)), originator_relay_burst_score=9)
+
+
+@query
+def observation_gaps(spark, sf):
+    return dictionary.observation_gaps(star_case(spark, sf))
+
+
+@query
+def arrival_features(spark, sf):
+    case = star_case(spark, sf)
+    visits = parts.memberships(parts.participation(case)).select("address", F.unix_micros("timestamp").alias("at"))
+    out = dictionary.arrival_features(visits, case.flow_rows)
+    return rounded(out, inter_arrival_time_std=3)
+
+
+@query
+def peeling_depth(spark, sf):
+    return dictionary.peeling_depth(star_case(spark, sf))
+
+
+@query
+def local_structure(spark, sf):
+    return dictionary.local_structure(graph.wallet_graph(parts.participation(star_case(spark, sf))))
+
+
+@query
+def weighted_degrees(spark, sf):
+    out = dictionary.weighted_degrees(Graph(spark, sf).edges.where("amount is not null"))
+    return rounded(out, weighted_in=8, weighted_out=8, weighted_total=8)
+
+
+@query
+def wallet_timeline(spark, sf):
+    return dictionary.wallet_timeline(star_case(spark, sf))
+
+
+@query
+def investigation_table(spark, sf):
+    """The 17 investigation columns; betweenness and full PageRank have no short SQL."""
+    case = star_case(spark, sf)
+    part = materialize(parts.participation(case), "participation")
+    wallet_edges = materialize(graph.wallet_graph(part), "wallet_edges")
+    wallets = part.select(F.col("address").alias("id")).distinct()
+    return signals.investigation_table("star", materialize(graph.spend_graph(case), "spends"), _txs(case), wallet_edges, wallets)
+
+
+@query
+def betweenness(spark, sf):
+    """Spend-graph betweenness from hash-chosen pivots; no SQL counterpart."""
+    case = star_case(spark, sf)
+    return walks.betweenness(graph.spend_graph(case), _txs(case), k=16)
+
+
+@query
+def flow_paths(spark, sf):
+    case = star_case(spark, sf)
+    return walks.flow_paths(materialize(graph.wallet_graph(parts.participation(case)), "wallet_edges"), "W1", "W170", 4)
+
+
+# --- streaming
+
+
+def _stream(spark, sf, table: str) -> DataFrame:
+    static = spark.read.parquet(f"{sf}/{table}.parquet")
+    return spark.readStream.schema(static.schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+
+
+def _stream_network(spark, sf) -> DataFrame:
+    e = _stream(spark, sf, "events")
+    return e.select(
+        F.concat(F.lit("net_"), F.col("event_id")).alias("record_id"),
+        F.concat(F.lit("ip_"), F.col("user_id")).alias("src_ip"),
+        F.concat(F.lit("tx_"), F.col("event_id") % 50).alias("txid"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+    )
+
+
+@query
+def stream_relay_windows(spark, sf):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    path = work_path(spark, "relays")
+    # The far-off last window stays open under the watermark, so late=0 closes all but the newest hour.
+    jobs.drain(jobs.relay_windows(_stream_network(spark, sf), late="0 seconds"), path, work_path(spark, "cp"))
+    out = spark.read.parquet(path)
+    last = out.agg(F.max("window_start")).scalar()
+    return out.where(F.col("window_start") < last).select("txid", "window_start", "observations")
+
+
+@query
+def stream_wallet_bursts(spark, sf):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    path = work_path(spark, "bursts")
+    visits = _stream_network(spark, sf).select(F.col("src_ip").alias("address"), "timestamp")
+    jobs.drain(jobs.wallet_bursts(visits, "1 hour", "30 minutes", "0 seconds"), path, work_path(spark, "cp"))
+    out = spark.read.parquet(path)
+    last = out.agg(F.max("window_start")).scalar()
+    return out.where(F.col("window_start") < last - 3600)
+
+
+@query
+def stream_ingest(spark, sf):
+    """Records arriving as a stream, split into accepted and rejected."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    raw = work_path(spark, "raw")
+    rows = dirty_records(spark, sf)
+    rows.write.json(raw)
+    good, bad = work_path(spark, "accepted"), work_path(spark, "rejected")
+    live = spark.readStream.schema(rows.schema).json(raw)
+    jobs.ingest(live, good, bad, work_path(spark, "cp")).awaitTermination()
+    return case_files.row_counts({"accepted": spark.read.parquet(good), "rejected": spark.read.parquet(bad)})
+
+
+@query
+def stream_links(spark, sf):
+    """Observations joined to transactions of the same id seen within an hour, both as streams."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    o = _stream(spark, sf, "orders")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.col("o_orderkey") * 7919, F.lit(2_592_000)))
+    txs = o.select(
+        F.concat(F.lit("tx_"), F.col("o_orderkey") % 50).alias("txid"), at.alias("timestamp"),
+        F.concat(F.lit("rec_"), F.col("o_orderkey")).alias("record_id"),
+    )
+    net = _stream_network(spark, sf).withColumn("dst_ip", F.lit("0.0.0.0"))
+    path = work_path(spark, "links")
+    jobs.drain(jobs.correlate(txs, net, 3600, "40 days"), path, work_path(spark, "cp"))
+    return spark.read.parquet(path)
