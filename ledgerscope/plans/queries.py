@@ -889,16 +889,17 @@ def supervised_scores(spark, sf):
     net = materialize(matrices.network_matrix(case), "net_matrix")
     wallet = materialize(matrices.wallet_matrix(case), "wallet_matrix")
     feats = features.transaction_features(case)
-    labels = feats.select("txid", (F.col("fee_ratio") >= 0.15).cast("double").alias("label"))
+    labels = materialize(feats.select("txid", (F.col("fee_ratio") >= 0.15).cast("double").alias("label")), "labels")
     senders = case.inputs.groupBy("txid").agg(F.min("address").alias("address"))
     wallet_rows = senders.join(wallet.drop("time_step"), "address")
     parts_ = []
     for name, table, columns, trees in (
-        ("rf_tx", tx, schema.transaction_columns()[93 + 72 :], 20),
-        ("rf_wallet", wallet_rows, schema.wallet_columns(), 20),
-        ("rf_network", net, schema.network_columns(), 20),
+        ("rf_tx", tx, schema.transaction_columns(), 10),
+        ("rf_wallet", wallet_rows, schema.wallet_columns(), 10),
+        ("rf_network", net, schema.network_columns(), 10),
     ):
-        model = supervised.fit_forest(table.join(labels, "txid"), columns, trees)
+        train = materialize(table.join(labels, "txid"), "train")
+        model = supervised.fit_forest(train, columns, trees)
         parts_.append(supervised.probabilities(table, "txid", columns, model, name))
     stack = parts_[0].join(parts_[1], "txid").join(parts_[2], "txid").join(labels, "txid")
     stack = materialize(stack, "stack")
@@ -1167,7 +1168,8 @@ def report_lines(spark, sf):
         alerts.evidence_items(wallets, hits, devs, features.first_sources(features.wallet_sources(case)))
     )
     told = alerts.explained(fused, alerts.reason_rows(fused, hits, devs)).join(packs, "entity_id", "left")
-    return reports.markdown_lines(told, reports.graph_summary(g.nodes, g.edges), "star", "run-1")
+    summary = materialize(reports.graph_summary(g.nodes, g.edges), "summary")
+    return reports.markdown_lines(materialize(told, "told"), summary, "star", "run-1")
 
 
 # --- dictionary features
@@ -1224,9 +1226,21 @@ def investigation_table(spark, sf):
 
 @query
 def betweenness(spark, sf):
-    """Spend-graph betweenness from hash-chosen pivots; no SQL counterpart."""
-    case = star_case(spark, sf)
-    return walks.betweenness(graph.spend_graph(case), _txs(case), k=16)
+    """Entity-graph betweenness from hash-chosen pivots; no SQL counterpart."""
+    g = Graph(spark, sf)
+    return walks.betweenness(g.edges, g.nodes, k=8)
+
+
+@query
+def bridge_edges(spark, sf):
+    """Edges whose loss splits the entity graph."""
+    return walks.bridges(walks.biconnected(Graph(spark, sf).edges))
+
+
+@query
+def cut_nodes(spark, sf):
+    """Transactions and wallets whose loss splits the spend graph; no SQL counterpart."""
+    return walks.cut_nodes(walks.biconnected(materialize(graph.spend_graph(star_case(spark, sf)), "spends")))
 
 
 @query
