@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerscope.case import Case
 from ledgerscope.functions.ordered import first_k
 from ledgerscope.operators.correlate import temporal_links
-from ledgerscope.operators.participation import address_pairs
+from ledgerscope.operators.participation import address_pairs, memberships
 from ledgerscope.session import cut
 
 RELAY_TYPES = ("OBSERVED", "RELAYED_BY")
@@ -232,10 +232,9 @@ def short_cycles(part: DataFrame) -> DataFrame:
     one transaction. Length 4: w pays v in one transaction and v pays w in another, so a wallet pair with
     f forward, b backward and s shared transactions closes f*b - s cycles; no pair of rows is listed.
     """
-    ins = part.where("sent = 1").select("address", "txid").distinct()
-    outs = part.where("sent = 0").select("address", "txid").distinct()
-    own = ins.join(outs, ["address", "txid"])
-    pairs = address_pairs(part, with_tx=True)
+    members = memberships(part)
+    own = members.where("sent_rows > 0 and received_rows > 0").select("address", "txid")
+    pairs = address_pairs(members, with_tx=True)
     ahead = F.col("source_address") < F.col("target_address")
     per_tx = pairs.groupBy(
         F.least("source_address", "target_address").alias("w"),

@@ -99,7 +99,7 @@ def repeated_values(part: DataFrame) -> DataFrame:
 def wallet_features(case: Case, dust: float = DUST_BTC) -> DataFrame:
     """Wallet features keyed by address. Source records stay in ``wallet_sources``, one row each."""
     part = materialize(participation(case), "participation")
-    members = memberships(part)
+    members = materialize(memberships(part), "memberships")
     rows = case.flow_rows
     sums = members.groupBy("address").agg(
         F.count(F.lit(1)).alias("transaction_count"),
@@ -118,7 +118,7 @@ def wallet_features(case: Case, dust: float = DUST_BTC) -> DataFrame:
     )
     parts = [
         group_quantiles(part, ["address"], "amount", {"median_transaction_value": 0.5}, None, rows),
-        counterparties(part),
+        counterparties(members),
         repeated_values(part),
         dusted.agg(F.count(F.lit(1)).alias("dust_incoming_count")),
         pace(times, "address", rows, "median_time_gap", "transaction_rate", "wallet_lifetime_seconds"),

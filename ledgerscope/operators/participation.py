@@ -81,9 +81,13 @@ def memberships(part: DataFrame) -> DataFrame:
 
 
 def address_pairs(part: DataFrame, with_tx: bool = False) -> DataFrame:
-    """Distinct payer-payee pairs, per transaction when ``with_tx``; an address never pays itself."""
-    payers = part.where("sent = 1").select("txid", F.col("address").alias("source_address")).distinct()
-    payees = part.where("sent = 0").select("txid", F.col("address").alias("target_address")).distinct()
+    """Distinct payer-payee pairs, per transaction when ``with_tx``; an address never pays itself.
+
+    Takes participation rows or memberships; memberships are distinct per (address, txid) already.
+    """
+    members = part if "sent_rows" in part.columns else memberships(part)
+    payers = members.where("sent_rows > 0").select("txid", F.col("address").alias("source_address"))
+    payees = members.where("received_rows > 0").select("txid", F.col("address").alias("target_address"))
     pairs = payers.join(payees, "txid").where("source_address <> target_address")
     if with_tx:
         return pairs.select("source_address", "target_address", "txid")

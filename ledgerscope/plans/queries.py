@@ -1232,15 +1232,11 @@ def betweenness(spark, sf):
 
 
 @query
-def bridge_edges(spark, sf):
-    """Edges whose loss splits the entity graph."""
-    return walks.bridges(walks.biconnected(Graph(spark, sf).edges))
-
-
-@query
-def cut_nodes(spark, sf):
-    """Transactions and wallets whose loss splits the spend graph; no SQL counterpart."""
-    return walks.cut_nodes(walks.biconnected(materialize(graph.spend_graph(star_case(spark, sf)), "spends")))
+def weak_points(spark, sf):
+    """Edges and nodes whose loss splits the entity graph."""
+    blocks = walks.biconnected(Graph(spark, sf).edges)
+    cuts = walks.cut_nodes(blocks).select(F.lit("node").alias("kind"), F.col("id").alias("source"), F.lit("").alias("target"))
+    return walks.bridges(blocks).select(F.lit("edge").alias("kind"), "source", "target").unionByName(cuts)
 
 
 @query
