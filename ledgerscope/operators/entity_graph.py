@@ -199,30 +199,41 @@ def two_hop_counts(edges: DataFrame) -> DataFrame:
     return ahead.join(behind, "id", "full").na.fill(0)
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """Triangles per node of the undirected graph.
+def _closed_wedges(edges: DataFrame) -> DataFrame:
+    """(lo, x, y) of every triangle of the undirected graph, with the directions present on its three sides.
 
-    Edges point from the lower to the higher (degree, id), so no node has more than about sqrt(2m)
-    outgoing edges, however many neighbours it has, and wedges stay few.
+    Sides point from the lower to the higher (degree, id), so no node has more than about sqrt(2m)
+    outgoing sides, however many neighbours it has, and wedges stay few.
     """
-    pairs = edges.where("src <> dst").select(
-        F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
-    ).distinct()
+    ahead = F.col("src") < F.col("dst")
+    pairs = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
+        F.max(ahead.cast("int")).alias("ab"), F.max((~ahead).cast("int")).alias("ba")
+    )
     deg = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     sized = pairs.join(deg.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(
         deg.select(F.col("id").alias("b"), F.col("d").alias("db")), "b"
     )
     up = F.struct("da", "a") < F.struct("db", "b")
-    arcs = sized.select(
-        F.when(up, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("hi")
-    )
-    wedges = arcs.select("lo", F.col("hi").alias("x")).join(arcs.select("lo", F.col("hi").alias("y")), "lo").where("x < y")
-    closed = wedges.join(pairs, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")))
-    return (
-        closed.select(F.explode(F.array("lo", "x", "y")).alias("id"))
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("triangle_count"))
-    )
+    pick = lambda yes, no: F.when(up, F.col(yes)).otherwise(F.col(no))
+    arcs = sized.select(pick("a", "b").alias("lo"), pick("b", "a").alias("hi"), pick("ab", "ba").alias("out"), pick("ba", "ab").alias("back"))
+    first = arcs.select("lo", F.col("hi").alias("x"), F.col("out").alias("lx"), F.col("back").alias("xl"))
+    second = arcs.select("lo", F.col("hi").alias("y"), F.col("out").alias("ly"), F.col("back").alias("yl"))
+    wedges = first.join(second, "lo").where("x < y")
+    closing = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("ab").alias("xy"), F.col("ba").alias("yx"))
+    return wedges.join(closing, ["x", "y"])
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """Triangles per node of the undirected graph."""
+    met = _closed_wedges(edges).select(F.explode(F.array("lo", "x", "y")).alias("id"))
+    return met.groupBy("id").agg(F.count(F.lit(1)).alias("triangle_count"))
+
+
+def three_cycles(edges: DataFrame) -> DataFrame:
+    """Directed cycles of three nodes, counted per node."""
+    turns = F.col("lx") * F.col("xy") * F.col("yl") + F.col("ly") * F.col("yx") * F.col("xl")
+    met = _closed_wedges(edges).select(F.explode(F.array("lo", "x", "y")).alias("id"), turns.cast("long").alias("n")).where("n > 0")
+    return met.groupBy("id").agg(F.sum("n").alias("cycles"))
 
 
 def short_cycles(part: DataFrame) -> DataFrame:
@@ -261,24 +272,6 @@ def short_cycles(part: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(F.sum("n").alias("short_cycle_count"))
 
 
-def wallet_cycles(part: DataFrame, length: int) -> DataFrame:
-    """Closed payment walks of three or four distinct wallets, counted per wallet."""
-    e = address_pairs(part)
-    path = e.select(F.col("source_address").alias("n0"), F.col("target_address").alias("n1"))
-    for i in range(1, length):
-        step = e.select(F.col("source_address").alias(f"n{i}"), F.col("target_address").alias(f"n{i + 1}"))
-        path = path.join(step, f"n{i}")
-        # The start is the smallest member, so every cycle is met once.
-        if i + 1 < length:
-            distinct_so_far = [F.col(f"n{i + 1}") != F.col(f"n{j}") for j in range(1, i + 1)]
-            path = path.where(reduce(lambda x, y: x & y, [F.col(f"n{i + 1}") > F.col("n0"), *distinct_so_far]))
-        if i == 1:
-            path = path.where("n1 > n0")
-    closed = path.where(F.col(f"n{length}") == F.col("n0"))
-    members = F.array(*[F.col(f"n{i}") for i in range(length)])
-    return closed.select(F.explode(members).alias("address")).groupBy("address").agg(F.count(F.lit(1)).alias("cycles"))
-
-
 def time_steps(case: Case, window_hours: int = 1) -> DataFrame:
     """(txid, timestamp_epoch, time_step): fixed windows counted from the case's first transaction."""
     width = max(3600, window_hours * 3600)

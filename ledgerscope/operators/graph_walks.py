@@ -101,6 +101,7 @@ def core_numbers(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     by value before they are ordered.
     """
     both = cut(undirected(edges))
+    size = both.count()
     current = cut(both.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("core")))
     while True:
         held = (
@@ -110,7 +111,7 @@ def core_numbers(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("c"))
             .withColumn("down", -F.col("value"))
         )
-        ranked = running_total(held, ["u"], ["down"], F.col("c"), "above")
+        ranked = running_total(held, ["u"], ["down"], F.col("c"), "above", size)
         h = F.max(F.least(F.col("value"), F.col("above") + F.col("c")))
         fresh = cut(ranked.groupBy(F.col("u").alias("id"), F.col("cu").alias("was")).agg(h.alias("core")))
         changed = fresh.where("core <> was").limit(1).count()
@@ -264,6 +265,7 @@ def biconnected(edges: DataFrame) -> DataFrame:
     both = cut(undirected(edges))
     parts = components(both.select(F.col("u").alias("src"), F.col("v").alias("dst")))
     tree, depth = spanning_forest(both, parts)
+    size = tree.count()
 
     def at(df: DataFrame, level: int) -> DataFrame:
         return df.where(F.col("level") == level)
@@ -276,7 +278,7 @@ def biconnected(edges: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     numbered = [sized[0].select("id", "parent", "nd", zero.alias("pre"), F.lit(0).alias("level"))]
     for level in range(1, depth + 1):
-        placed = running_total(sized[level], ["parent"], ["id"], F.col("nd"), "before")
+        placed = running_total(sized[level], ["parent"], ["id"], F.col("nd"), "before", size)
         above = numbered[-1].select(F.col("id").alias("parent"), F.col("pre").alias("p"))
         numbered.append(
             cut(

@@ -458,7 +458,8 @@ def short_cycles(spark, sf):
 
 @query
 def wallet_cycles_3(spark, sf):
-    return graph.wallet_cycles(Graph(spark, sf).part, 3)
+    found = graph.three_cycles(graph.wallet_graph(parts.participation(star_case(spark, sf))))
+    return found.withColumnRenamed("id", "address")
 
 
 @query
