@@ -27,7 +27,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     while True:
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
