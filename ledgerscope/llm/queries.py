@@ -90,7 +90,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 OP4 = f"""
 with w as (
   select doc_id, coalesce(text, '') as text,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), x -> x <> '') as ws
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') as ws
   from documents
 ), win as (
   select doc_id, i, ws[i] || chr(32) || ws[i + 1] || chr(32) || ws[i + 2] as g
@@ -121,7 +121,7 @@ from m
 OP6 = f"""
 with d as (
   select doc_id, source, md5('6:' || coalesce(doc_id::varchar, '')) as mark,
-         len(list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), x -> x <> '')) as size
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '')) as size
   from documents
 ), s as (
   select source, sum(size)::bigint as source_size,
@@ -180,8 +180,8 @@ OP9 = """
 with recursive v as (
   select vec_id, label, embedding::double[] as e,
          embedding is not null and label is not null and len(embedding) > 0
-         and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-         and len(list_filter(embedding, x -> x <> 0)) > 0 as usable
+         and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+         and len(list_filter(embedding, lambda x: x <> 0)) > 0 as usable
   from embeddings
 ), l as (
   select a.vec_id as a, b.vec_id as b
