@@ -35,21 +35,33 @@ def parse_list(col: Column) -> Column:
     return F.when(blank, empty).otherwise(F.coalesce(as_array, as_object, split))
 
 
+_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+
+
+def number(text: Column) -> Column:
+    """Text as a double, null for other text. A cast alone would also take type suffixes such as ``5d``."""
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+
+
 def parse_numbers(items: Column) -> Column:
     """array<string> to array<double>; what is not a number is dropped."""
-    return F.filter(F.transform(items, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+    return F.filter(F.transform(items, number), lambda x: x.isNotNull())
 
 
 def parse_timestamp(col: Column) -> Column:
-    """Epoch seconds, epoch milliseconds (above 1e11), ISO text or yyyy/MM/dd text, read as UTC."""
+    """Epoch seconds, epoch milliseconds (above 1e11), ISO text or yyyy/MM/dd text, read as UTC.
+
+    Text without a whole date is refused: a time of day would become one of the day the job runs.
+    """
     text = F.trim(col)
-    number = text.try_cast("double")
-    seconds = F.when(number > 1e11, number / 1000.0).otherwise(number)
+    value = number(text)
+    seconds = F.when(value > 1e11, value / 1000.0).otherwise(value)
     from_number = F.when(
         F.abs(seconds) < 2.6e11, F.timestamp_micros(F.round(seconds * 1e6).try_cast("bigint"))
     )
-    return F.when(number.isNotNull(), from_number).otherwise(
-        F.coalesce(text.try_cast("timestamp"), F.try_to_timestamp(text, F.lit("yyyy/MM/dd HH:mm:ss")))
+    dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
+    return F.when(value.isNotNull(), from_number).otherwise(
+        F.coalesce(dated, F.try_to_timestamp(text, F.lit("yyyy/MM/dd HH:mm:ss")))
     )
 
 
@@ -64,25 +76,51 @@ def port_ok(col: Column) -> Column:
 
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+_QUAD = rf"{_OCTET}(\.{_OCTET}){{3}}"
+_IPV4 = rf"^{_QUAD}$"
 _HEX = "[0-9a-f]{1,4}"
 
 
+def _scope(text: Column) -> Column:
+    """The zone after '%' of an address, with the sign; empty without one."""
+    return F.regexp_extract(text, "^[^%]*:[^%]*(%[^%]+)$", 1)
+
+
+def _ipv6_groups(text: Column) -> Column:
+    """An address without its zone, and with a dotted tail written as two groups."""
+    bare = F.when(_scope(text) != "", F.substring_index(text, "%", 1)).otherwise(text)
+    tail = F.regexp_extract(bare, rf"^.*:({_QUAD})$", 1)
+    value = ipv4_number(tail)
+    high, low = F.lower(F.hex(F.shiftright(value, 16))), F.lower(F.hex(value.bitwiseAND(0xFFFF)))
+    front = F.substring(bare, F.lit(1), F.length(bare) - F.length(tail))
+    return F.when(value.isNull(), bare).otherwise(F.concat(front, high, F.lit(":"), low))
+
+
 def _ipv6_ok(text: Column) -> Column:
-    """Eight groups, or fewer around a single '::'."""
-    whole = text.rlike(rf"^{_HEX}(:{_HEX}){{7}}$")
-    short = text.rlike(rf"^({_HEX}(:{_HEX})*)?::({_HEX}(:{_HEX})*)?$")
-    groups = F.size(F.filter(F.split(text, ":"), lambda g: g != ""))
-    return whole | (short & (groups <= 7))
+    """Eight groups, or fewer around a single '::'; the last two may be dotted, and a zone may follow."""
+
+    def whole_or_short(plain: Column) -> Column:
+        whole = plain.rlike(rf"^{_HEX}(:{_HEX}){{7}}$")
+        short = plain.rlike(rf"^({_HEX}(:{_HEX})*)?::({_HEX}(:{_HEX})*)?$")
+        groups = F.size(F.filter(F.split(plain, ":"), lambda g: g != ""))
+        return whole | (short & (groups <= 7))
+
+    # Bound in a lambda, so the parts are made once, and only for text with a colon.
+    return text.contains(":") & F.get(F.transform(F.array(_ipv6_groups(text)), whole_or_short), F.lit(0))
 
 
 def _ipv6_canonical(text: Column) -> Column:
-    """All eight groups without leading zeros, then the first longest run of zero groups as '::'."""
-    left = F.filter(F.split(F.substring_index(text, "::", 1), ":"), lambda g: g != "")
-    right = F.filter(F.split(F.substring_index(text, "::", -1), ":"), lambda g: g != "")
-    fill = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
-    groups = F.when(text.contains("::"), F.concat(left, fill, right)).otherwise(F.split(text, ":"))
-    plain = F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+    """All eight groups without leading zeros, then the first longest run of zero groups as '::'; the zone stays."""
+    scope = _scope(text)
+
+    def spelled_out(bare: Column) -> Column:
+        left = F.filter(F.split(F.substring_index(bare, "::", 1), ":"), lambda g: g != "")
+        right = F.filter(F.split(F.substring_index(bare, "::", -1), ":"), lambda g: g != "")
+        fill = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+        groups = F.when(bare.contains("::"), F.concat(left, fill, right)).otherwise(F.split(bare, ":"))
+        return F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+    plain = F.get(F.transform(F.array(_ipv6_groups(text)), spelled_out), F.lit(0))
 
     def squeeze(p: Column) -> Column:
         runs = F.regexp_extract_all(p, F.lit(r"(?:^|(?<=:))0(?::0)+(?=:|$)"), F.lit(0))
@@ -91,7 +129,7 @@ def _ipv6_canonical(text: Column) -> Column:
         pattern = F.concat(F.lit("^(.*?)(?:^|:)0(?::0){"), more, F.lit("}(?:$|:)(.*)$"))
         return F.when(longest.isNull(), p).otherwise(F.regexp_replace(p, pattern, F.lit("$1::$2")))
 
-    return F.get(F.transform(F.array(plain), squeeze), F.lit(0))
+    return F.concat(F.get(F.transform(F.array(plain), squeeze), F.lit(0)), scope)
 
 
 def ip_ok(col: Column) -> Column:

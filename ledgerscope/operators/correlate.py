@@ -157,7 +157,7 @@ def relay_bursts(case: Case, threshold: int = 3) -> DataFrame:
             "observations",
             F.lit("high").alias("severity"),
             F.format_string(
-                "Multi-IP relay burst detected: Transaction %s was relayed across %d distinct IP addresses.",
+                "%s came from %d different addresses",
                 F.substring("txid", 1, 10),
                 "unique_ip_count",
             ).alias("description"),

@@ -159,8 +159,8 @@ def pivots(nodes: DataFrame, k: int) -> DataFrame:
     return nodes.select("id").distinct().orderBy(F.xxhash64("id", F.lit(42)), "id").limit(k)
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, k: int | None = 100, exact_up_to: int = 500) -> DataFrame:
-    """(id, betweenness) on directed edges, normalised; from all nodes when few, else from k pivots.
+def betweenness(edges: DataFrame, nodes: DataFrame, k: int | None = 100) -> DataFrame:
+    """(id, betweenness) on directed edges, normalised; from k pivots, or from all nodes when k is None.
 
     Brandes over all pivots at once: level-synchronous search counts shortest paths outwards, then
     dependencies are summed level by level inwards.
@@ -168,7 +168,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, k: int | None = 100, exact_u
     arcs = cut(edges.where("src <> dst").select("src", "dst").distinct())
     everyone = cut(nodes.select("id").distinct())
     n = everyone.count()
-    starts = everyone if k is None or n <= exact_up_to else cut(pivots(everyone, k))
+    starts = everyone if k is None else cut(pivots(everyone, k))
     used = starts.count()
     width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = cut(starts.select(F.col("id").alias("pivot"), "id", F.lit(0).alias("level"), F.lit(1.0).alias("paths")))

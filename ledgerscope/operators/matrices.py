@@ -273,9 +273,9 @@ def matrix_findings(matrix: DataFrame, domain: str) -> DataFrame:
     file = f"{domain}/features.parquet"
     known = []
     if len(columns) != width:
-        known.append(("E005_FEATURE_DIMENSION_MISMATCH", file, f"Dimension mismatch for {domain}: expected {width}, got {len(columns)}"))
+        known.append(("E005_FEATURE_DIMENSION_MISMATCH", file, f"{domain}: {len(columns)} columns instead of {width}"))
     if schema.order_hash(columns) != digest:
-        known.append(("E005_FEATURE_DIMENSION_MISMATCH", file, f"Column order hash mismatch for {domain}."))
+        known.append(("E005_FEATURE_DIMENSION_MISMATCH", file, f"{domain}: columns in another order"))
     fixed = matrix.sparkSession.createDataFrame(known, "code string, file string, message string")
     cell = F.array(*[F.col(f"`{c}`") for c in columns])
     seen = matrix.agg(
@@ -284,8 +284,8 @@ def matrix_findings(matrix: DataFrame, domain: str) -> DataFrame:
     )
     hits = F.array_compact(
         F.array(
-            F.when(F.col("nan"), F.lit(f"NaN values detected in {domain} feature matrix.")),
-            F.when(F.col("inf"), F.lit(f"Infinite values detected in {domain} feature matrix.")),
+            F.when(F.col("nan"), F.lit(f"{domain}: cells without a value")),
+            F.when(F.col("inf"), F.lit(f"{domain}: infinite cells")),
         )
     )
     values = seen.select(F.lit("E006_FEATURE_NAN").alias("code"), F.lit(file).alias("file"), F.explode(hits).alias("message"))

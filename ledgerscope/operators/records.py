@@ -16,7 +16,7 @@ TX_FIELDS = (*LIST_COLUMNS, "fee")
 NET_FIELDS = ("src_ip", "dst_ip", "src_port", "dst_port")
 
 
-def _as_list(field: T.StructField) -> Column:
+def as_list(field: T.StructField) -> Column:
     """array<string> of a list column in any of the shapes the readers deliver."""
     col = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.ArrayType):
@@ -49,7 +49,7 @@ def map_columns(raw: DataFrame) -> DataFrame:
     mapped = []
     for name, fields in found.items():
         if name in LIST_COLUMNS:
-            cols = [_as_list(f) for f in fields]
+            cols = [as_list(f) for f in fields]
         else:
             cols = [F.col(f"`{f.name}`").cast("string") for f in fields]
         mapped.append(F.coalesce(*cols).alias(name))
@@ -80,11 +80,11 @@ def _amount_issues(side: str) -> Column:
     label, code = side.capitalize(), side.upper()
 
     def check(item: Column, index: Column) -> Column:
-        number = item.try_cast("double")
+        number = text.number(item)
         where = F.concat(F.lit(f"{label} amount at index "), index.cast("string"))
         return (
-            F.when(number < 0, _issue("error", f"NEGATIVE_{code}_AMOUNT", F.concat(where, F.lit(" is negative: "), item)))
-            .when(number.isNull(), _issue("error", f"INVALID_{code}_AMOUNT", F.concat(where, F.lit(" is not numeric: "), item)))
+            F.when(number < 0, _issue("error", f"NEGATIVE_{code}_AMOUNT", F.concat(where, F.lit(" below zero: "), item)))
+            .when(number.isNull(), _issue("error", f"INVALID_{code}_AMOUNT", F.concat(where, F.lit(" is no number: "), item)))
         )
 
     return F.array_compact(F.transform(F.col(f"{side}_amounts"), check))
@@ -97,7 +97,7 @@ def validate(mapped: DataFrame, kind: str = "auto", epsilon: float = MONEY_EPSIL
     # Parsed once here, read several times below.
     parsed = {
         "_at": text.parse_timestamp(col("timestamp")),
-        "_fee": col("fee").try_cast("double"),
+        "_fee": text.number(col("fee")),
         "_input": text.parse_numbers(col("input_amounts")),
         "_output": text.parse_numbers(col("output_amounts")),
     }
@@ -119,7 +119,7 @@ def validate(mapped: DataFrame, kind: str = "auto", epsilon: float = MONEY_EPSIL
     def parity(side: str) -> Column:
         a, m = F.size(f"{side}_addresses"), F.size(f"{side}_amounts")
         text_ = F.format_string(
-            f"{side}_addresses length (%d) does not match {side}_amounts length (%d)", a, m
+            f"{side}: %d addresses beside %d amounts", a, m
         )
         return F.when(
             as_tx & (a > 0) & (m > 0) & (a != m), _issue("error", f"ARRAY_PARITY_{side.upper()}_MISMATCH", text_)
@@ -142,32 +142,32 @@ def validate(mapped: DataFrame, kind: str = "auto", epsilon: float = MONEY_EPSIL
         blank = F.coalesce(F.trim(name), F.lit("")) == ""
         code = f"INVALID_{name.upper()}"
         if kind == "network":
-            return F.when(bad, _issue("error", code, F.concat(F.lit(f"Invalid or missing {name}: "), _shown(name))))
+            return F.when(bad, _issue("error", code, F.concat(F.lit(f"{name} is no address: "), _shown(name))))
         return F.when(
-            as_net & ~blank & bad, _issue("error", code, F.concat(F.lit(f"Invalid {name} format: "), _shown(name)))
+            as_net & ~blank & bad, _issue("error", code, F.concat(F.lit(f"{name} is no address: "), _shown(name)))
         )
 
     def port(name: str) -> Column:
-        said = F.concat(F.lit(f"{name} out of range [0-65535]: "), _shown(name))
+        said = F.concat(F.lit(f"{name} is no port: "), _shown(name))
         return F.when(as_net & ~text.port_ok(col(name)), _issue("error", f"INVALID_{name.upper()}", said))
 
     none = F.array().cast("array<struct<issue_type:string,code:string,message:string>>")
     single = F.array_compact(
         F.array(
-            F.when(no_time, _issue("error", "MISSING_TIMESTAMP", "Timestamp is required.")).when(
+            F.when(no_time, _issue("error", "MISSING_TIMESTAMP", "no time given")).when(
                 col("_at").isNull(),
-                _issue("error", "INVALID_TIMESTAMP", F.concat(F.lit("Unable to parse timestamp: "), _shown("timestamp"))),
+                _issue("error", "INVALID_TIMESTAMP", F.concat(F.lit("not a time: "), _shown("timestamp"))),
             ),
             F.when(
                 as_tx & (F.coalesce(F.trim("txid"), F.lit("")) == ""),
-                _issue("error", "MISSING_TXID", "Transaction rows must contain a non-empty txid."),
+                _issue("error", "MISSING_TXID", "no txid given"),
             ),
             parity("input"),
             parity("output"),
-            F.when(as_tx & (fee < 0), _issue("error", "NEGATIVE_FEE", F.concat(F.lit("Fee cannot be negative: "), _shown("fee")))),
+            F.when(as_tx & (fee < 0), _issue("error", "NEGATIVE_FEE", F.concat(F.lit("fee below zero: "), _shown("fee")))),
             F.when(
                 as_tx & col("fee").isNotNull() & fee.isNull(),
-                _issue("error", "INVALID_FEE", F.concat(F.lit("Fee must be numeric: "), _shown("fee"))),
+                _issue("error", "INVALID_FEE", F.concat(F.lit("fee is no number: "), _shown("fee"))),
             ),
             F.when(
                 as_tx & summable & (delta > epsilon),
@@ -175,9 +175,9 @@ def validate(mapped: DataFrame, kind: str = "auto", epsilon: float = MONEY_EPSIL
                     "warning",
                     "MONETARY_DISCREPANCY",
                     F.concat(
-                        F.lit("Discrepancy detected: total_in ("), _shown("_paid"),
-                        F.lit(") != total_out + fee ("), _shown(expected),
-                        F.lit("), delta = "), F.format_string("%.8f", delta),
+                        F.lit("inputs of "), _shown("_paid"),
+                        F.lit(" against outputs and fee of "), _shown(expected),
+                        F.lit(", apart by "), F.format_string("%.8f", delta),
                     ),
                 ),
             ),
@@ -234,7 +234,7 @@ def normalize(validated: DataFrame) -> DataFrame:
             "dst_port": text.parse_port(col("dst_port")),
             "input_amounts": text.parse_numbers(col("input_amounts")),
             "output_amounts": text.parse_numbers(col("output_amounts")),
-            "fee": F.when(col("fee").isNotNull(), F.coalesce(col("fee").try_cast("double"), F.lit(0.0))),
+            "fee": F.when(col("fee").isNotNull(), F.coalesce(text.number(col("fee")), F.lit(0.0))),
             "geo_country": F.upper(F.trim("geo_country")),
             "asn": F.trim("asn"),
         }

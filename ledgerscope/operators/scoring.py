@@ -103,19 +103,19 @@ def fuse_leads(df: DataFrame) -> DataFrame:
     without = sum((w[n] / rest * parts[n] for n in w if n != "supervised"), F.lit(0.0))
     scored = _finish(df, F.when(F.col("supervised_score").isNull(), without).otherwise(with_model), "leads")
     advice = {
-        "CRITICAL": "Immediate forensic triage recommended.",
-        "HIGH": "Elevated risk profile; inspect counterparty flows.",
-        "MEDIUM": "Moderate anomalous behavior detected.",
+        "CRITICAL": "Look into it first.",
+        "HIGH": "Follow its counterparties.",
+        "MEDIUM": "Keep in view.",
     }
-    first = F.lit("Routine activity baseline.")
+    first = F.lit("Nothing stands out.")
     for tier, said in advice.items():
         first = F.when(F.col("severity") == tier, said).otherwise(first)
     model = F.when(
-        parts["supervised"] >= 0.675, "Supervised model flagged high illicit probability (>67.5%)."
+        parts["supervised"] >= 0.675, "Model at or over 0.675."
     )
     ruled = F.when(
         F.size("rules") > 0,
-        F.concat(F.lit("Deterministic rules triggered: "), F.concat_ws(", ", F.slice("rules", 1, 3)), F.lit(".")),
+        F.concat(F.lit("Rules met: "), F.concat_ws(", ", F.slice("rules", 1, 3)), F.lit(".")),
     )
     return scored.withColumn("recommendation", F.concat_ws(" ", first, model, ruled))
 

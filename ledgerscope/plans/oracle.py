@@ -208,8 +208,7 @@ FROM network n JOIN transactions t USING (txid) WHERE n.us >= t.us GROUP BY txid
     "relay_bursts": _with("""
 SELECT 'RULE_MULTI_IP_RELAY_BURST' AS rule_id, txid, 'transaction:' || txid AS entity_id,
        count(DISTINCT src_ip) AS unique_ip_count, count(DISTINCT record_id) AS observations, 'high' AS severity,
-       'Multi-IP relay burst detected: Transaction ' || substr(txid, 1, 10) || ' was relayed across '
-       || count(DISTINCT src_ip) || ' distinct IP addresses.' AS description
+       substr(txid, 1, 10) || ' came from ' || count(DISTINCT src_ip) || ' different addresses' AS description
 FROM network WHERE txid IS NOT NULL GROUP BY txid HAVING count(DISTINCT src_ip) >= 3"""),
 }
 
@@ -229,19 +228,18 @@ lists AS MATERIALIZED (SELECT *,
   try_cast(tx_fee AS DOUBLE) AS fee, try_cast(output_value AS DOUBLE) AS om,
   (client_ip NOT LIKE '%:%' AND k % 300 > 255) AS bad_ip FROM dirty),
 issues AS MATERIALIZED (
-  SELECT record_id, 'error' AS issue_type, 'MISSING_TIMESTAMP' AS code, 'Timestamp is required.' AS message
+  SELECT record_id, 'error' AS issue_type, 'MISSING_TIMESTAMP' AS code, 'no time given' AS message
     FROM lists WHERE time = ''
-  UNION ALL SELECT record_id, 'error', 'INVALID_TIMESTAMP', 'Unable to parse timestamp: ' || time FROM lists WHERE time = 'not-a-date'
-  UNION ALL SELECT record_id, 'error', 'MISSING_TXID', 'Transaction rows must contain a non-empty txid.' FROM lists WHERE tx_hash = ''
-  UNION ALL SELECT record_id, 'error', 'ARRAY_PARITY_INPUT_MISMATCH', 'input_addresses length (' || len(ia)
-       || ') does not match input_amounts length (' || len(im) || ')' FROM lists WHERE len(ia) <> len(im)
-  UNION ALL SELECT record_id, 'error', 'NEGATIVE_INPUT_AMOUNT', 'Input amount at index 0 is negative: -5' FROM lists WHERE im[1] = '-5'
-  UNION ALL SELECT record_id, 'error', 'INVALID_INPUT_AMOUNT', 'Input amount at index 0 is not numeric: abc' FROM lists WHERE im[1] = 'abc'
-  UNION ALL SELECT record_id, 'error', 'NEGATIVE_OUTPUT_AMOUNT', 'Output amount at index 0 is negative: ' || output_value FROM lists WHERE om < 0
-  UNION ALL SELECT record_id, 'error', 'NEGATIVE_FEE', 'Fee cannot be negative: ' || tx_fee FROM lists WHERE fee < 0
-  UNION ALL SELECT record_id, 'error', 'INVALID_FEE', 'Fee must be numeric: ' || tx_fee FROM lists WHERE fee IS NULL
-  UNION ALL SELECT record_id, 'error', 'INVALID_SRC_IP', 'Invalid src_ip format: ' || client_ip FROM lists WHERE bad_ip
-  UNION ALL SELECT record_id, 'error', 'INVALID_SRC_PORT', 'src_port out of range [0-65535]: ' || source_port FROM lists
+  UNION ALL SELECT record_id, 'error', 'INVALID_TIMESTAMP', 'not a time: ' || time FROM lists WHERE time = 'not-a-date'
+  UNION ALL SELECT record_id, 'error', 'MISSING_TXID', 'no txid given' FROM lists WHERE tx_hash = ''
+  UNION ALL SELECT record_id, 'error', 'ARRAY_PARITY_INPUT_MISMATCH', 'input: ' || len(ia) || ' addresses beside ' || len(im) || ' amounts' FROM lists WHERE len(ia) <> len(im)
+  UNION ALL SELECT record_id, 'error', 'NEGATIVE_INPUT_AMOUNT', 'Input amount at index 0 below zero: -5' FROM lists WHERE im[1] = '-5'
+  UNION ALL SELECT record_id, 'error', 'INVALID_INPUT_AMOUNT', 'Input amount at index 0 is no number: abc' FROM lists WHERE im[1] = 'abc'
+  UNION ALL SELECT record_id, 'error', 'NEGATIVE_OUTPUT_AMOUNT', 'Output amount at index 0 below zero: ' || output_value FROM lists WHERE om < 0
+  UNION ALL SELECT record_id, 'error', 'NEGATIVE_FEE', 'fee below zero: ' || tx_fee FROM lists WHERE fee < 0
+  UNION ALL SELECT record_id, 'error', 'INVALID_FEE', 'fee is no number: ' || tx_fee FROM lists WHERE fee IS NULL
+  UNION ALL SELECT record_id, 'error', 'INVALID_SRC_IP', 'src_ip is no address: ' || client_ip FROM lists WHERE bad_ip
+  UNION ALL SELECT record_id, 'error', 'INVALID_SRC_PORT', 'src_port is no port: ' || source_port FROM lists
        WHERE source_port::INT > 65535
   UNION ALL SELECT record_id, 'warning', 'MONETARY_DISCREPANCY', '' FROM lists
        WHERE im[1] <> 'abc' AND fee IS NOT NULL
@@ -271,18 +269,21 @@ SELECT count(*) AS total_rows, (SELECT count(*) FROM good) AS accepted_rows, cou
     "source_json": _records("SELECT * FROM clean"),
     "source_json_wrapped": _records("SELECT * FROM clean"),
     "source_xml": _records("SELECT * FROM clean"),
+    "source_json_document": _records("SELECT * FROM clean"),
+    "source_ndjson_broken": _records("SELECT * FROM clean"),
+    "source_xml_mixed": _records("SELECT * FROM clean"),
     "records_to_case": _records("""
 SELECT txid, 'in' AS side, i.i - 1 AS position, ia[i.i] AS address, im[i.i]::DOUBLE AS amount
 FROM (SELECT * REPLACE (trim(tx_hash) AS tx_hash), trim(tx_hash) AS txid FROM good), generate_series(1, len(ia)) AS i(i)
 UNION ALL SELECT trim(tx_hash), 'out', 0, recipients, om FROM good"""),
     "case_findings": _with("""
-SELECT 'E004_TRANSACTION_REFERENCE_MISSING' AS code, 'inputs.csv' AS file, 'txid' AS column_name, 'inputs.csv references ' ||
-  (SELECT count(DISTINCT txid) FROM inputs WHERE substr(txid, 4)::INT % 10 = 9) || ' txids not present in transactions.csv.' AS message
-UNION ALL SELECT 'E004_TRANSACTION_REFERENCE_MISSING', 'outputs.csv', 'txid', 'outputs.csv references ' ||
-  (SELECT count(DISTINCT txid) FROM outputs WHERE substr(txid, 4)::INT % 10 = 9) || ' txids not present in transactions.csv.'
-UNION ALL SELECT 'E003_TIMESTAMP_INVALID', 'transactions.csv', 'timestamp', 'Invalid timestamp formatting detected in transactions.csv.timestamp'
-UNION ALL SELECT 'E002_SCHEMA_INVALID', 'transactions.csv', 'fee', 'Negative values found in non-negative column transactions.csv.fee.'
-UNION ALL SELECT 'E002_SCHEMA_INVALID', 'inputs.csv', 'amount', 'Non-numeric values found in inputs.csv.amount.'
+SELECT 'E004_TRANSACTION_REFERENCE_MISSING' AS code, 'inputs.csv' AS file, 'txid' AS column_name, 'inputs.csv names ' ||
+  (SELECT count(DISTINCT txid) FROM inputs WHERE substr(txid, 4)::INT % 10 = 9) || ' unknown txids' AS message
+UNION ALL SELECT 'E004_TRANSACTION_REFERENCE_MISSING', 'outputs.csv', 'txid', 'outputs.csv names ' ||
+  (SELECT count(DISTINCT txid) FROM outputs WHERE substr(txid, 4)::INT % 10 = 9) || ' unknown txids'
+UNION ALL SELECT 'E003_TIMESTAMP_INVALID', 'transactions.csv', 'timestamp', 'transactions.csv has times that cannot be read'
+UNION ALL SELECT 'E002_SCHEMA_INVALID', 'transactions.csv', 'fee', 'transactions.csv: fee falls below zero'
+UNION ALL SELECT 'E002_SCHEMA_INVALID', 'inputs.csv', 'amount', 'inputs.csv: amount holds what is no number'
 """),
     "case_row_counts": _with("""
 SELECT 'transactions' AS file, count(*) AS rows FROM transactions UNION ALL SELECT 'inputs', count(*) FROM inputs
@@ -639,8 +640,8 @@ ORACLES |= {
     "port_anomalies": _with("""
 SELECT CASE WHEN dst_port = 9050 THEN 'RULE_TOR_VPN_PORT' ELSE 'RULE_PORT_ANOMALY' END AS rule_id, record_id, src_ip, dst_port AS port, txid,
        CASE WHEN dst_port = 9050 THEN 'high' ELSE 'medium' END AS severity,
-       CASE WHEN dst_port = 9050 THEN 'Suspected Tor/VPN relay port 9050 detected for IP ' || src_ip || '.'
-            ELSE 'Non-standard Bitcoin port ' || dst_port || ' utilized by relay IP ' || src_ip || ' (expected standard P2P ports: 8333, 18333).' END AS description
+       CASE WHEN dst_port = 9050 THEN src_ip || ' uses port 9050, known for anonymising relays'
+            ELSE src_ip || ' talks to port ' || dst_port || ', which no ledger node uses by default' END AS description
 FROM network WHERE dst_port IN (9050, 9999)"""),
     "custom_rule_hits": _with("SELECT * FROM c_hits", *WALLET_BLOCKS, CUSTOM),
     "custom_rule_scores": _with("""
@@ -883,8 +884,8 @@ UNION ALL SELECT entity_id, feature, CASE feature WHEN 'fan_in' THEN 'Fan In' WH
   WHEN 'dust_incoming_count' THEN 'Dust Incoming Count' ELSE 'Unique Counterparties' END FROM dev WHERE place <= 3 AND deviation > 1.5
 UNION ALL SELECT entity_id, 'network_score', 'Network Score' FROM ns WHERE network_score >= 0.7""", *RULE_BLOCKS, NET_SIGNALS, DEVIATIONS),
     "alert_narratives": _with("""
-SELECT entity_id, 'Entity ' || entity_id || ' flagged with ' || """ + _tier("p") + """ || ' priority (score: ' || printf('%.1f', p) || '/100).' ||
-  CASE WHEN n > 0 THEN ' Triggered ' || n || ' rule(s): ' || names || '.' ELSE '' END AS summary_text, 1 + n + 5 AS items, 1.0::DOUBLE AS evidence_coverage, least(20, source_record_count)::BIGINT AS records
+SELECT entity_id, entity_id || ': ' || """ + _tier("p") + """ || ', ' || printf('%.1f', p) || ' of 100 points.' ||
+  CASE WHEN n > 0 THEN ' Rules met (' || n || '): ' || names || '.' ELSE '' END AS summary_text, 1 + n + 5 AS items, 1.0::DOUBLE AS evidence_coverage, least(20, source_record_count)::BIGINT AS records
 FROM (SELECT entity_id, source_record_count, coalesce(rule_count, 0) AS n, """ + half_even("0.3::DOUBLE * coalesce(behavior_score, 0) * 100.0::DOUBLE", 2) + """ AS p FROM wf LEFT JOIN behave USING (entity_id))
 LEFT JOIN (SELECT entity_id, string_agg(rule_id, ', ' ORDER BY code) AS names FROM hits GROUP BY entity_id) USING (entity_id)""", *RULE_BLOCKS),
     "feedback_counts": _with("SELECT " + _tier("priority_score") + " AS severity, ['relevant', 'benign', 'needs_review'][len(entity_id) % 3 + 1] AS label, count(*) AS n FROM alerts GROUP BY 1, 2", *ALERT_BLOCKS),

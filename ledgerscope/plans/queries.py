@@ -225,6 +225,54 @@ def source_xml(spark, sf):
     return _clean(records.validate(readers.read_records(spark, path, "xml")))
 
 
+def _documents(rows, path: str, make, documents: int = 6) -> str:
+    """Writes one text file a bucket of rows, made by ``make`` from the bucket's list."""
+    held = rows.withColumn("bucket", F.pmod(F.xxhash64("record_id"), F.lit(documents)).cast("int"))
+    grouped = held.groupBy("bucket").agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    grouped.select("bucket", make(F.col("rows")).alias("value")).repartition(documents, "bucket").write.partitionBy("bucket").text(path)
+    return path
+
+
+@query
+def source_json_document(spark, sf):
+    """Files of one document over many lines: arrays with items that are no objects, and both wrappers."""
+
+    def make(rows):
+        pretty = {"pretty": "true"}
+        listed = F.concat(F.lit("[1,\n"), F.substring(F.to_json(rows, pretty), 2, 1 << 30))
+        boxed = F.to_json(F.struct(rows.alias("records")), pretty)
+        return F.when(F.col("bucket") % 3 == 0, listed).when(F.col("bucket") % 3 == 1, boxed).otherwise(
+            F.to_json(F.struct(rows.alias("data")), pretty)
+        )
+
+    path = _documents(dirty_records(spark, sf), work_path(spark, "json-documents"), make)
+    return _clean(records.validate(readers.read_records(spark, path, "json")))
+
+
+@query
+def source_ndjson_broken(spark, sf):
+    """Lines that are no objects, the first of a file among them, beside good ones."""
+    rows = dirty_records(spark, sf)
+    line = F.to_json(F.struct(*rows.columns))
+    spoilt = F.when(F.crc32("record_id") % 50 == 0, F.concat(F.lit('{"cut": \n["no object"]\n'), line)).otherwise(line)
+    path = work_path(spark, "ndjson-broken")
+    rows.select(F.crc32("record_id").alias("at"), spoilt.alias("value")).orderBy(F.col("at") % 50, "at").select("value").write.text(path)
+    return _clean(records.validate(readers.read_records(spark, path, "ndjson")))
+
+
+@query
+def source_xml_mixed(spark, sf):
+    """Records of two tags side by side under one root."""
+
+    def make(rows):
+        tagged = lambda r, tag: F.to_xml(r, {"rowTag": tag})
+        each = F.transform(rows, lambda r, i: F.when(i % 2 == 0, tagged(r, "transaction")).otherwise(tagged(r, "observation")))
+        return F.concat(F.lit("<dataset>\n"), F.array_join(each, "\n"), F.lit("\n</dataset>"))
+
+    path = _documents(dirty_records(spark, sf), work_path(spark, "xml-mixed"), make)
+    return _clean(records.validate(readers.read_records(spark, path, "xml")))
+
+
 @query
 def records_to_case(spark, sf):
     case = records.to_case(records.normalize(_checked(dirty_records(spark, sf))))
@@ -737,7 +785,7 @@ def lead_fusion(spark, sf):
         }
     )
     fused = scoring.fuse_leads(shaped)
-    flag = F.col("recommendation").contains("Supervised model flagged").cast("int")
+    flag = F.col("recommendation").contains("Model at or over").cast("int")
     return fused.select("entity_id", "priority_score", "severity", flag.alias("model_flag"))
 
 
@@ -1222,7 +1270,7 @@ def investigation_table(spark, sf):
     part = materialize(parts.participation(case), "participation")
     wallet_edges = materialize(graph.wallet_graph(part), "wallet_edges")
     wallets = part.select(F.col("address").alias("id")).distinct()
-    return signals.investigation_table("star", materialize(graph.spend_graph(case), "spends"), _txs(case), wallet_edges, wallets)
+    return signals.investigation_table("star", materialize(graph.spend_graph(case), "spends"), _txs(case), wallet_edges, wallets, pivots=8)
 
 
 @query

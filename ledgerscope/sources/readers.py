@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerscope.case import Case
 from ledgerscope.operators import case_files, records
@@ -65,32 +63,139 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(named.na.fill(""), "csv")
 
 
+def _columns_of(objects: DataFrame) -> DataFrame:
+    """The keys of JSON object texts as text columns; nested values stay JSON text, absent keys are null.
+
+    Only the distinct key names come to the driver. Keys that differ by case or by blanks around them are one column.
+    """
+    held = objects.withColumn("_map", F.from_json("_object", "map<string,string>"))
+    names = sorted(r[0] for r in held.select(F.explode(F.map_keys("_map"))).distinct().collect())
+    same: dict[str, list[str]] = {}
+    for name in names:
+        same.setdefault(name.strip().lower(), []).append(name)
+    columns = [F.coalesce(*[F.col("_map")[k] for k in keys]).alias(keys[0].strip()) for keys in same.values()]
+    return held.select(*columns)
+
+
+def _is_object(line: Column) -> Column:
+    """Whether a line is one complete JSON object by itself."""
+    shut = line.startswith("{") & line.endswith("}")
+    return F.coalesce(shut & F.try_parse_json(line).isNotNull(), F.lit(False))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """One object per line, or one document: an array, a records/data wrapper or a single object."""
-    head = _first_lines(spark, path, 1)
-    try:
-        first = json.loads(head[0]) if head else None
-    except json.JSONDecodeError:
-        first = None
-    by_line = isinstance(first, dict)
-    wrapped = by_line and any(isinstance(first.get(k), list) for k in ("records", "data"))
-    reader = spark.read.option("primitivesAsString", True).option("mode", "DROPMALFORMED")
-    df = reader.json(path) if by_line else reader.option("multiLine", True).json(path)
-    kinds = dict(df.dtypes)
-    for wrapper in ("records", "data"):
-        if kinds.get(wrapper, "").startswith("array<struct") and (wrapped or not by_line):
-            df = df.select(F.inline(wrapper))
-            break
-    return _numbered(df, "json")
+    """One object per line, or one document a file: an array, a records/data wrapper or a single object.
+
+    Every file is judged by its own lines. A file in which most lines are complete objects is read by line and only
+    the lines that are not objects are dropped. Any other file that opens like a document is parsed whole; what does not
+    parse whole is read by line after all. Items of a document that are not objects are dropped singly. A wrapper on a
+    single line is opened like a document.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    filled = lines.where("line <> ''").withColumns(
+        {"complete": _is_object(F.col("line")), "at": F.monotonically_increasing_id()}
+    )
+    place = F.struct("block", "at")
+    shapes = filled.groupBy("file").agg(
+        F.min_by(F.substring("line", 1, 1), place).alias("opens"),
+        (F.count_if("complete") * 2 > F.count(F.lit(1))).alias("by_line"),
+    )
+    # Names of the files that open like a document; their rows stay where they are.
+    documents = [r[0] for r in shapes.where("not by_line and opens in ('[', '{')").select("file").collect()]
+    whole = None
+    if documents:
+        raw = spark.read.text(documents, wholetext=True).select(
+            F.try_parse_json(F.trim(F.regexp_replace("value", "^\ufeff", ""))).alias("doc"),
+            F.col("_metadata.file_path").alias("file"),
+        )
+        whole = raw.where("doc is not null")
+        parsed = whole.select("file").distinct()
+        filled = filled.join(parsed, "file", "left_anti")
+    single = filled.where("complete").select(F.try_parse_json("line").alias("doc"))
+    docs = single if whole is None else single.unionByName(whole.select("doc"))
+
+    def many(at: str) -> Column:
+        return F.try_variant_get("doc", at, "array<variant>")
+
+    items = F.coalesce(many("$.records"), many("$.data"), many("$"), F.array("doc"))
+    objects = docs.select(F.explode(items).alias("item")).where(F.schema_of_variant("item").startswith("OBJECT"))
+    return _numbered(_columns_of(objects.select(F.to_json("item").alias("_object"))), "json")
+
+
+# Roots whose children are the records. Any other root is itself a record.
+XML_ROOTS = ("records", "transactions", "observations", "dataset", "root")
+
+
+def record_tags(spark: SparkSession, path: str) -> list[str]:
+    """Tags of the elements that are records: the root's children, or the root itself.
+
+    The text is cut after every "</", so a piece starts with the name of a closed element and what opens next in it is
+    its sibling. The root and its first child stand in the piece ahead of the first cut. Siblings of the first child,
+    and theirs, are the root's children. Only distinct pairs of tag names come to the driver.
+    """
+    pieces = spark.read.text(path, lineSep="</").select(
+        F.regexp_replace("value", r"(?s)<[?!].*?>", "").alias("piece")
+    )
+    tag = r"<([A-Za-z_][\w:.-]*)[^<>]*?(/?)>"
+    opened = F.transform(F.regexp_extract_all("piece", F.lit(r"<[A-Za-z_][^<>]*>"), F.lit(0)), lambda t: F.struct(
+        F.regexp_extract(t, tag, 1).alias("name"), (F.regexp_extract(t, tag, 2) == "/").alias("empty")
+    ))
+    closed = F.regexp_extract("piece", r"^([A-Za-z_][\w:.-]*)\s*>", 1)
+    found = pieces.select(closed.alias("closed"), opened.alias("opened"))
+    # Up to the first element that stays open, everything that opens is a sibling.
+    run = F.aggregate(
+        "opened",
+        F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("names")),
+        lambda s, t: F.when(s["done"], s).otherwise(
+            F.struct((~t["empty"]).alias("done"), F.concat(s["names"], F.array(t["name"])).alias("names"))
+        ),
+    )["names"]
+    pairs = found.where("closed <> ''").select("closed", F.explode(run).alias("next")).distinct().collect()
+    inner = F.aggregate(
+        F.slice("opened", 2, 1000),
+        F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("names")),
+        lambda s, t: F.when(s["done"], s).otherwise(
+            F.struct((~t["empty"]).alias("done"), F.concat(s["names"], F.array(t["name"])).alias("names"))
+        ),
+    )["names"]
+    heads = (
+        found.where("closed = '' and size(opened) > 0")
+        .select(F.get("opened", F.lit(0))["name"].alias("root"), inner.alias("children"))
+        .distinct().collect()
+    )
+    tags: set[str] = set()
+    for root, children in heads:
+        if root.lower() not in XML_ROOTS:
+            tags.add(root)
+            continue
+        reached = set(children)
+        while more := {b for a, b in pairs if a in reached} - reached:
+            reached |= more
+        tags |= reached
+    return sorted(tags)
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    head = "\n".join(_first_lines(spark, path, 50))
-    tags = re.findall(r"<([A-Za-z_][\w.-]*)", head)
-    if len(tags) < 2:
+    """The records of every tag, one scan a tag; nested items become lists written as JSON text."""
+    out = None
+    for tag in record_tags(spark, path):
+        part = spark.read.option("rowTag", tag).option("inferSchema", False).xml(path)
+        flat = part.select(
+            *[
+                F.to_json(records.as_list(f)).alias(f.name)
+                if isinstance(f.dataType, (T.ArrayType, T.StructType))
+                else F.col(f"`{f.name}`").cast("string").alias(f.name)
+                for f in part.schema
+            ]
+        )
+        out = flat if out is None else out.unionByName(flat, allowMissingColumns=True)
+    if out is None:
         raise ValueError(f"no records found in {path}")
-    reader = spark.read.option("rowTag", tags[1]).option("inferSchema", False)
-    return _numbered(reader.xml(path), "xml")
+    return _numbered(out, "xml")
 
 
 def read_records(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
