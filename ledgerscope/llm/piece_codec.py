@@ -26,6 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.llm.memo import Memo
 from ledgerscope.llm.prefix_bpe import PrefixTable
 
 MODEL = "piece_bpe_32k.model"
@@ -50,47 +51,42 @@ class PieceCodec:
         assert not any(BLANK in p.lstrip(BLANK) for p in long), "a piece crosses a word boundary"
         assert not any("\n" in p for p in long), "a piece crosses a line end"
         self.decimal = [str(i) for i in range(size)]
-        self.remember = remember
         # Ids of words that follow a blank, without it, and of all other words.
-        self.after_blank: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.after_blank, self.plain = Memo(remember), Memo(remember)
 
     def token_ids(self, token: int) -> bytes:
         if token < len(self.ids):
             return self.ids[token]
         return np.array([self.bytes[b] for b in self.words.texts[token].encode()], "<u4").tobytes()
 
-    def make(self, word: str, known: dict[str, bytes], prefix: str = "") -> bytes:
+    def make(self, word: str, memo: Memo, prefix: str = "") -> bytes:
         """Ids of a word, read backwards from its table and remembered."""
-        made = b"".join(map(self.token_ids, self.words.tokens(prefix + word)))
-        if len(word) <= LONGEST_REMEMBERED:
-            if len(known) >= self.remember:
-                known.clear()
-            known[word] = made
+        made = memo.recall(word)
+        if made is None:
+            made = b"".join(map(self.token_ids, self.words.tokens(prefix + word)))
+            if len(word) <= LONGEST_REMEMBERED:
+                memo.put(word, made)
         return made
 
-    def line_end(self) -> bytes:
-        return self.plain.get("\n") or self.make("\n", self.plain)
-
     def encode(self, text: str) -> np.ndarray:
         """Ids with the end id."""
         if not text:
             return np.array([self.end], "<u4")
-        after, plain, make = self.after_blank, self.plain, self.make
+        make, known_after, known = self.make, self.after_blank.young.get, self.plain.young.get
         out = []
         # The model writes blanks as its blank sign and puts one in front.
         for n, line in enumerate((" " + text.replace(BLANK, " ")).split("\n")):
             if n:
-                out.append(self.line_end())
+                out.append(known("\n") or make("\n", self.plain))
             if "  " in line or line[-1:] == " ":
                 for word in re.findall(" +[^ ]*|[^ ]+", line):
                     word = word.replace(" ", BLANK)
-                    out.append(plain.get(word) or make(word, plain))
+                    out.append(known(word) or make(word, self.plain))
                 continue
             first, *rest = line.split(" ")
             if first:
-                out.append(plain.get(first) or make(first, plain))
-            out += [after.get(w) or make(w, after, BLANK) for w in rest]
+                out.append(known(first) or make(first, self.plain))
+            out += [known_after(w) or make(w, self.after_blank, BLANK) for w in rest]
         out.append(np.array([self.end], "<u4").tobytes())
         return np.frombuffer(b"".join(out), "<u4")
 

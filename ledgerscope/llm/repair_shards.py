@@ -23,6 +23,7 @@ import functools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerscope.llm.token_counts import LONGEST_REMEMBERED, safe_pieces
+from ledgerscope.llm.memo import Memo
+from ledgerscope.llm.token_counts import LATIN_WORDS, LONGEST_REMEMBERED, byte_letters, safe_pieces, splits_at_blanks
 from ledgerscope.session import work_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -44,41 +46,68 @@ CONTAINERS = "pid int, seq int, n_docs long, n_tokens long, doc_ids binary, blob
 
 
 class IdEncoder:
-    """The library's ids of whole texts, with the ids of distinct pieces remembered."""
+    """The library's ids of whole texts. A text is cut into pieces that do not depend on each other; a piece, and each
+    word of a new piece, goes through the library's model once while it is remembered."""
 
-    def __init__(self, path: str, remember: int = 800_000) -> None:
+    def __init__(self, path: str, remember: int = 1_600_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = list(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.remember = remember
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = dict(enumerate(byte_letters()))
+        # Pieces after a blank, without it; other pieces; single words.
+        self.after_blank, self.plain, self.words = Memo(remember), Memo(remember // 8), Memo(remember // 2)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Pieces not seen before go to the library together."""
-        if len(self.known) >= self.remember:
-            self.known.clear()
-        known = self.known
-        split = [[] if any(s in t for s in self.special) else safe_pieces(t) for t in texts]
-        found = [list(map(known.get, pieces)) for pieces in split]
-        fresh = list({p for pieces, ids in zip(split, found) if None in ids for p, x in zip(pieces, ids) if x is None})
-        made = {}
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                made[p] = np.array(e.ids, "<u4").tobytes()
-        known.update((p, x) for p, x in made.items() if len(p) <= LONGEST_REMEMBERED)
-        out = []
-        for text, pieces, ids in zip(texts, split, found):
-            if not pieces:
-                data = self.library(text)
-            elif None in ids:
-                data = b"".join([made[p] if x is None else x for p, x in zip(pieces, ids)])
-            else:
-                data = b"".join(ids)
-            out.append(np.frombuffer(data, "<u4"))
-        return out
+    def make(self, piece: str) -> bytes:
+        try:
+            words = LATIN_WORDS.findall(piece) if piece.encode("latin-1") else []
+        except UnicodeEncodeError:
+            words = [piece[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
+        out, tokenize = [], self.tokenizer.model.tokenize
+        for word in words:
+            ids = self.words.young.get(word) or self.words.recall(word)
+            if ids is None:
+                if word.isascii() and word.isprintable():
+                    written = word.replace(" ", self.letters[32])
+                else:
+                    written = word.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in tokenize(written)]).tobytes()
+                if len(word) <= LONGEST_REMEMBERED:
+                    self.words.put(word, ids)
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def fill(self, pieces: list[str], found: list[bytes | None], memo: Memo, prefix: str) -> bytes:
+        """Joins what is known of the pieces with what is made now."""
+        if None in found:
+            make, recall, put = self.make, memo.recall, memo.put
+            for i, ids in enumerate(found):
+                if ids is None:
+                    piece = pieces[i]
+                    ids = recall(piece)
+                    if ids is None:
+                        ids = make(prefix + piece)
+                        if len(piece) <= LONGEST_REMEMBERED:
+                            put(piece, ids)
+                    found[i] = ids
+        return b"".join(found)
+
+    def encode(self, text: str) -> np.ndarray:
+        if any(s in text for s in self.special):
+            data = self.library(text)
+        elif splits_at_blanks(text):
+            pieces = text.split(" ")
+            first = pieces[:1]
+            pieces[0] = ""
+            head = self.fill(first, [self.plain.young.get(first[0])], self.plain, "") if text else b""
+            found = list(map(self.after_blank.young.get, pieces))
+            found[0] = head
+            data = self.fill(pieces, found, self.after_blank, " ")
+        else:
+            pieces = safe_pieces(text)
+            data = self.fill(pieces, list(map(self.plain.young.get, pieces)), self.plain, "")
+        return np.frombuffer(data, "<u4")
 
 
 @functools.cache
@@ -192,18 +221,38 @@ class Container:
         out[rule] = self.lengths[symbols[rule] - self.base]
         return out
 
+    @functools.cached_property
+    def rule_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rules one after another, where each rule's begin)."""
+        starts = np.concatenate(([0], np.cumsum(self.lengths)))
+        flat = np.zeros(starts[-1], "<u4")
+        base, at = self.base, starts.tolist()
+        for i, pair in enumerate(self.rules.tolist()):
+            here = at[i]
+            for s in pair:
+                if s < base:
+                    flat[here] = s
+                    here += 1
+                else:
+                    size = at[s - base + 1] - at[s - base]
+                    flat[here : here + size] = flat[at[s - base] : at[s - base + 1]]
+                    here += size
+        return flat, starts
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of a stretch of symbols: every pass opens all rules once."""
-        seq = symbols.astype(np.int64)
-        while len(open_ := np.flatnonzero(seq >= self.base)):
-            width = np.ones(len(seq), np.int64)
-            width[open_] = 2
-            at = np.concatenate(([0], np.cumsum(width)))[:-1]
-            out = np.repeat(seq, width)
-            pair = self.rules[seq[open_] - self.base]
-            out[at[open_]], out[at[open_] + 1] = pair[:, 0], pair[:, 1]
-            seq = out
-        return seq.astype("<u4")
+        """Ids of a stretch of symbols."""
+        flat, starts = self.rule_ids
+        sizes = self.sizes(symbols)
+        ends = np.cumsum(sizes)
+        out = np.repeat(symbols.astype("<u4"), sizes)
+        rules = np.flatnonzero(symbols >= self.base)
+        if len(rules):
+            # Places of rule symbols in the output, and the places in ``flat`` they copy from.
+            width = sizes[rules]
+            step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            into = np.repeat(ends[rules] - width, width) + step
+            out[into] = flat[np.repeat(starts[symbols[rules].astype(np.int64) - self.base], width) + step]
+        return out
 
     def document(self, k: int) -> np.ndarray:
         """Ids of one document, its end id included."""
@@ -241,7 +290,7 @@ def write_shards(
     path = path or public_tokenizers.path(VOCABULARY)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path).encode
         pid, seq = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
@@ -261,16 +310,13 @@ def write_shards(
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for name, found in zip(part.column(0).to_pylist(), encode.batch(texts)):
-                    names.append(name)
-                    ids.append(np.append(found, np.uint32(end)))
-                    held += len(ids[-1])
-                    if held >= shard_tokens:
-                        yield container()
-                        ids, names, held, seq = [], [], 0, seq + 1
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                names.append(name)
+                ids.append(np.append(encode(text or ""), np.uint32(end)))
+                held += len(ids[-1])
+                if held >= shard_tokens:
+                    yield container()
+                    ids, names, held, seq = [], [], 0, seq + 1
         if ids:
             yield container()
 

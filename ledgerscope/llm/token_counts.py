@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ledgerscope.llm.memo import Memo
 from ledgerscope.llm.prefix_bpe import PrefixTable
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -43,9 +44,11 @@ RARE_SPACE = OTHER_SPACE.replace("\n", "")
 SPACE = re.compile(f"[ {OTHER_SPACE}]")
 # Two or more white space characters before something else.
 CUT_RUN = re.compile(f"[ {OTHER_SPACE}]{{2}}[^ {OTHER_SPACE}]")
-# The tokenizer's word pattern where all characters are ASCII.
-ASCII_WORDS = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII
+# The tokenizer's word pattern over the characters below 256: their letters, numbers and white space, fixed values.
+LETTERS, NUMBERS, BLANKS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+LATIN_WORDS = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+"
+    rf"|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
 )
 LONGEST_REMEMBERED = 40
 
@@ -98,14 +101,12 @@ class PrefixCounter:
             [plain(t) for t in spec["model"]["vocab"] if t not in self.special], lambda a, b: ranks.get((a, b))
         )
         self.special_cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.remember = remember
-        self.known: dict[str, bytes] = {}
-        self.known_words: dict[str, bytes] = {}
+        self.known, self.known_words = Memo(remember), Memo(remember)
 
     def split(self, text: str) -> list[str]:
         """The tokenizer's words of an ordinary text."""
-        if text.isascii():
-            return ASCII_WORDS.findall(text)
+        if max(text) < "\u0100":
+            return LATIN_WORDS.findall(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def word_changes(self, word: str) -> bytes:
@@ -118,9 +119,7 @@ class PrefixCounter:
                 ends = np.cumsum([0, *(len(c.encode()) for c in word)])
                 made = as_bytes(np.diff(np.array(self.words.counts(word.encode().decode("latin-1")))[ends]))
             if len(word) <= LONGEST_REMEMBERED:
-                if len(self.known_words) >= self.remember:
-                    self.known_words.clear()
-                self.known_words[word] = made
+                self.known_words.put(word, made)
         return made
 
     def total(self, text: str) -> int:
@@ -156,15 +155,15 @@ class PrefixCounter:
         """Changes per character, as signed bytes, of a text without special tokens."""
         if not text:
             return b""
-        known, make = self.known, self.make_piece
-        return b"".join([known.get(x) or make(x) for x in safe_pieces(text)])
+        known, make = self.known.young.get, self.make_piece
+        return b"".join([known(x) or make(x) for x in safe_pieces(text)])
 
     def make_piece(self, piece: str) -> bytes:
-        made = self.piece_changes(piece)
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self.known) >= self.remember:
-                self.known.clear()
-            self.known[piece] = made
+        made = self.known.recall(piece)
+        if made is None:
+            made = self.piece_changes(piece)
+            if len(piece) <= LONGEST_REMEMBERED:
+                self.known.put(piece, made)
         return made
 
     def deltas(self, text: str) -> bytes:
