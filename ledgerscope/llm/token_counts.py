@@ -105,7 +105,7 @@ class PrefixCounter:
 
     def split(self, text: str) -> list[str]:
         """The tokenizer's words of an ordinary text."""
-        if max(text) < "\u0100":
+        if max(text, default="") < "\u0100":
             return LATIN_WORDS.findall(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
