@@ -58,10 +58,13 @@ def pagerank(
     edges: DataFrame,
     nodes: DataFrame,
     alpha: float = 0.85,
-    max_rounds: int = 100,
+    max_rounds: int = 200,
     tolerance: float | None = 1e-6,
 ) -> DataFrame:
-    """(id, pagerank) over (src, dst, weight); dangling mass is spread evenly. tolerance None: all rounds."""
+    """(id, pagerank) over (src, dst, weight); dangling mass is spread evenly.
+
+    With a tolerance the rounds end when ranks settle, and ranks that do not are an error; None runs all rounds.
+    """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     base = cut(
@@ -91,6 +94,9 @@ def pagerank(
         ranks = fresh.drop("was")
         if tolerance is not None and moved < n * tolerance:
             break
+    else:
+        if tolerance is not None and n:
+            raise RuntimeError(f"ranks still move by {moved} after {max_rounds} rounds")
     return ranks.select("id", F.col("rank").alias("pagerank"))
 
 

@@ -41,7 +41,7 @@ class RunConfig:
     graph: bool = True
     network: bool = True
     pivots: int = 16
-    rank_rounds: int = 50
+    rank_rounds: int = 200
     thresholds: rules.Thresholds = field(default_factory=rules.Thresholds)
 
 
@@ -103,12 +103,13 @@ def run_case(
     fused = alerts.wallet_alerts(wallets, behaviour, graph_scores, network_scores, anomaly, supervised, custom_scores)
     items = alerts.evidence_items(wallets, all_hits, deviations, cited)
     packs = alerts.evidence_packs(items)
-    reasons = alerts.reason_rows(fused, all_hits, deviations)
+    reasons = alerts.reason_rows(fused, all_hits, deviations, items)
     explained = alerts.explained(fused, reasons).join(packs, "entity_id", "left").na.fill(0.0, ["evidence_coverage"])
     tx_alerts = alerts.transaction_alerts(rules.transaction_rules(tx, config.thresholds))
     reason = F.struct(
         F.lit("rule").alias("type"), F.col("rule_id").alias("feature"), F.col("observed_value").alias("value"),
         F.col("threshold").alias("baseline"), F.col("unit"), F.col("description").alias("text"),
+        F.lit("reason-rule-1").alias("reason_id"), F.array().cast("array<string>").alias("source_evidence_ids"),
     )
     tx_rows = tx_alerts.withColumns(
         {

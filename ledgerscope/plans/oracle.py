@@ -879,10 +879,22 @@ SELECT entity_id, 'observed' AS class, 'source_records' AS feature, source_recor
 UNION ALL SELECT entity_id, 'detector', rule_id, observed_value, least(20, source_record_count)::BIGINT FROM hits JOIN wf USING (entity_id)
 UNION ALL SELECT entity_id, 'derived', feature, value, least(5, source_record_count)::BIGINT FROM dev JOIN wf USING (entity_id)""", *RULE_BLOCKS, DEVIATIONS),
     "alert_reasons": _with("""
-SELECT entity_id, rule_id AS rule_code, replace(rule_id, 'RULE_', '') AS headline FROM hits
+SELECT entity_id, rule_id AS rule_code, replace(rule_id, 'RULE_', '') AS headline,
+       'reason-rule-' || row_number() OVER (PARTITION BY entity_id ORDER BY code) AS reason_id, 1 AS cited FROM hits
 UNION ALL SELECT entity_id, feature, CASE feature WHEN 'fan_in' THEN 'Fan In' WHEN 'fan_out' THEN 'Fan Out' WHEN 'median_time_gap' THEN 'Median Time Gap'
-  WHEN 'dust_incoming_count' THEN 'Dust Incoming Count' ELSE 'Unique Counterparties' END FROM dev WHERE place <= 3 AND deviation > 1.5
-UNION ALL SELECT entity_id, 'network_score', 'Network Score' FROM ns WHERE network_score >= 0.7""", *RULE_BLOCKS, NET_SIGNALS, DEVIATIONS),
+  WHEN 'dust_incoming_count' THEN 'Dust Incoming Count' ELSE 'Unique Counterparties' END, 'reason-feat-' || place, 1 FROM dev WHERE place <= 3 AND deviation > 1.5
+UNION ALL SELECT entity_id, 'network_score', 'Network Score', 'reason-net-1', 0 FROM ns WHERE network_score >= 0.7""", *RULE_BLOCKS, NET_SIGNALS, DEVIATIONS),
+    "full_alerts": _with("""
+SELECT entity_id, """ + _tier("priority_score") + """ AS severity, priority_score, behavior_score, """ + half_even("graph_score * 100.0::DOUBLE", 2) + """ AS graph_score,
+       rule_score, network_score, correlation_strength, rule_count
+FROM (SELECT *, """ + half_even("least(100.0, greatest(0.0, CASE WHEN rule_score > 0 THEN 0.85::DOUBLE * p + 0.15::DOUBLE * rule_score ELSE p END))", 2) + """ AS priority_score FROM (
+  SELECT wf.entity_id, coalesce(behavior_score, 0) AS behavior_score, graph_score, coalesce(rule_score, 0)::DOUBLE AS rule_score, network_score, correlation_strength,
+         coalesce(rule_count, 0) + coalesce(custom_rule_count, 0) AS rule_count,
+         100.0::DOUBLE * (0.3::DOUBLE * coalesce(behavior_score, 0) + 0.2::DOUBLE * graph_score + 0.1::DOUBLE * network_score) AS p
+  FROM wf JOIN gs USING (entity_id) JOIN ns USING (entity_id) LEFT JOIN behave USING (entity_id) LEFT JOIN (
+    SELECT entity_id, """ + half_even("least(100.0, sum(CASE severity WHEN 'critical' THEN 35.0 WHEN 'high' THEN 25.0 WHEN 'medium' THEN 15.0 ELSE 5.0 END * weight))::DOUBLE", 2) + """ AS rule_score,
+           count(*) AS custom_rule_count FROM c_hits GROUP BY entity_id) USING (entity_id)))""",
+        *RULE_BLOCKS, CUSTOM, NET_SIGNALS, GRAPH, _label_rounds("ent_nodes", "ent_und", 5), GRAPH_SIGNALS),
     "alert_narratives": _with("""
 SELECT entity_id, entity_id || ': ' || """ + _tier("p") + """ || ', ' || printf('%.1f', p) || ' of 100 points.' ||
   CASE WHEN n > 0 THEN ' Rules met (' || n || '): ' || names || '.' ELSE '' END AS summary_text, 1 + n + 5 AS items, 1.0::DOUBLE AS evidence_coverage, least(20, source_record_count)::BIGINT AS records
@@ -931,10 +943,10 @@ f0(id, h) AS (SELECT 'W1', 0 UNION SELECT oa, h + 1 FROM f0 JOIN p2 ON ia = id W
 b0(id, h) AS (SELECT 'W170', 0 UNION SELECT ia, h + 1 FROM b0 JOIN p2 ON oa = id WHERE h < 4), bwd AS MATERIALIZED (SELECT id, min(h) AS h FROM b0 GROUP BY id)""", recursive=True),
     "stream_relay_windows": """
 WITH w AS (SELECT 'tx_' || (event_id % 50) AS txid, epoch_us(ts) // 3600000000 * 3600 AS window_start, count(*) AS observations FROM events GROUP BY 1, 2)
-SELECT * FROM w WHERE window_start < (SELECT max(window_start) FROM w WHERE window_start + 3600 <= (SELECT max(epoch_us(ts)) // 1000000 FROM events))""",
+SELECT * FROM w""",
     "stream_wallet_bursts": """
 WITH w AS (SELECT 'ip_' || user_id AS address, (epoch_us(ts) // 1800000000 - k) * 1800 AS window_start, count(*) AS visits FROM events, (VALUES (0), (1)) AS t(k) GROUP BY 1, 2)
-SELECT * FROM w WHERE window_start < (SELECT max(window_start) FROM w WHERE window_start + 3600 <= (SELECT max(epoch_us(ts)) // 1000000 FROM events)) - 3600""",
+SELECT * FROM w""",
     "stream_ingest": _records("SELECT 'accepted' AS file, count(*) AS rows FROM good UNION ALL SELECT 'rejected', (SELECT count(*) FROM lists) - count(*) FROM good"),
     "stream_links": """
 WITH t AS (SELECT 'tx_' || (o_orderkey % 50) AS txid, 'rec_' || o_orderkey AS transaction_record_id, (1704067200 + (o_orderkey * 7919) % 2592000) * 1000000 AS us FROM orders)

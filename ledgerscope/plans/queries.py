@@ -1131,8 +1131,22 @@ def alert_reasons(spark, sf):
     case, wallets, hits, devs = _evidence(spark, sf)
     net = scoring.network_signals(wallets, case.flow_rows)
     fused = alerts.wallet_alerts(wallets, rules.behaviour_scores(hits), network_scores=net)
-    seen = investigate.reason_view(alerts.reason_rows(fused, hits, devs))
-    return seen.select("entity_id", "rule_code", "headline")
+    items = alerts.evidence_items(wallets, hits, devs, features.first_sources(features.wallet_sources(case)))
+    rows = alerts.reason_rows(fused, hits, devs, items)
+    seen = investigate.reason_view(rows)
+    return seen.select("entity_id", "rule_code", "headline", "reason_id", F.size("source_evidence_ids").cast("long").alias("cited"))
+
+
+@query
+def full_alerts(spark, sf):
+    """Wallet alerts fused from the rule, graph, network and investigator streams."""
+    g = Graph(spark, sf)
+    case, _, wallets, hits = _rule_inputs(spark, sf)
+    custom = rules.custom_scores(rules.custom_rule_hits(wallets, _custom_rules(spark), "wallet"))
+    signal = scoring.graph_signals(wallets, _graph_features(g, g.part), case.flow_rows)
+    net = scoring.network_signals(wallets, case.flow_rows)
+    fused = alerts.wallet_alerts(wallets, rules.behaviour_scores(hits), signal, net, custom=custom)
+    return fused.drop("wallet_address", "supervised_score", "unsupervised_score", "anomaly_score", "source_record_count")
 
 
 @query
@@ -1312,26 +1326,39 @@ def _stream_network(spark, sf) -> DataFrame:
     )
 
 
+def _closing_network(spark, sf) -> DataFrame:
+    """The observations as a stream of several files, then one far later: it moves the watermark past every window
+    of theirs, and its own window stays open and is never given out."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    rows = e.select(
+        F.concat(F.lit("net_"), F.col("event_id")).alias("record_id"),
+        F.concat(F.lit("ip_"), F.col("user_id")).alias("src_ip"),
+        F.concat(F.lit("tx_"), F.col("event_id") % 50).alias("txid"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+    )
+    path = work_path(spark, "arrivals")
+    rows.repartition(4, "record_id").write.parquet(path)
+    far = rows.agg((F.max("timestamp") + F.expr("INTERVAL 10 DAYS")).alias("timestamp"))
+    closing = far.select(F.lit("end").alias("record_id"), F.lit("end").alias("src_ip"), F.lit("end").alias("txid"), "timestamp")
+    closing.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
 @query
 def stream_relay_windows(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     path = work_path(spark, "relays")
-    # The far-off last window stays open under the watermark, so late=0 closes all but the newest hour.
-    jobs.drain(jobs.relay_windows(_stream_network(spark, sf), late="0 seconds"), path, work_path(spark, "cp"))
-    out = spark.read.parquet(path)
-    last = out.agg(F.max("window_start")).scalar()
-    return out.where(F.col("window_start") < last).select("txid", "window_start", "observations")
+    jobs.drain(jobs.relay_windows(_closing_network(spark, sf)), path, work_path(spark, "cp"))
+    return spark.read.parquet(path).select("txid", "window_start", "observations")
 
 
 @query
 def stream_wallet_bursts(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     path = work_path(spark, "bursts")
-    visits = _stream_network(spark, sf).select(F.col("src_ip").alias("address"), "timestamp")
+    visits = _closing_network(spark, sf).select(F.col("src_ip").alias("address"), "timestamp")
     jobs.drain(jobs.wallet_bursts(visits, "1 hour", "30 minutes", "0 seconds"), path, work_path(spark, "cp"))
-    out = spark.read.parquet(path)
-    last = out.agg(F.max("window_start")).scalar()
-    return out.where(F.col("window_start") < last - 3600)
+    return spark.read.parquet(path)
 
 
 @query
