@@ -49,7 +49,7 @@ class IdEncoder:
     """The library's ids of whole texts. A text is cut into pieces that do not depend on each other; a piece, and each
     word of a new piece, goes through the library's model once while it is remembered."""
 
-    def __init__(self, path: str, remember: int = 1_600_000) -> None:
+    def __init__(self, path: str, remember: int = 1_000_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(byte_letters()))
