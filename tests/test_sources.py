@@ -68,3 +68,37 @@ def test_tables_and_manifest(spark, tmp_path):
     assert tables.altered(before, tables.fingerprints(spark, str(docs))).count() == 0
     (docs / "x.txt").write_text("two!")
     assert [r["relative_path"] for r in tables.altered(before, tables.fingerprints(spark, str(docs))).collect()] == ["x.txt"]
+
+
+def columns(df, *names):
+    return sorted(tuple(r[n] for n in names) for r in df.collect())
+
+
+def test_json_files_are_judged_one_by_one(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{"cut": \n{"txid": "t1", "fee": 0.5}\n["no object"]\n{"txid": "t2", "in": ["A", "B"]}\n')
+    (tmp_path / "array.json").write_text('[1,\n {"txid": "t3"},\n "x",\n {"TXID": "t4", "more": {"k": 1}}\n]')
+    (tmp_path / "wrapped.json").write_text('{\n "data": [\n  {\n   "txid": "t5"\n  }\n ]\n}')
+    (tmp_path / "single.json").write_text('﻿{\n "txid": "t6"\n}')
+    (tmp_path / "line.json").write_text('{"records": [{"txid": "t7"}, {"txid": "t8"}]}')
+    (tmp_path / "broken.json").write_text('[{"txid": "lost"}\n')
+    got = readers.read_json(spark, str(tmp_path))
+    name = next(c for c in got.columns if c.lower() == "txid")
+    assert [t for (t,) in columns(got, name)] == [f"t{i}" for i in range(1, 9)]
+    assert columns(got.where("`in` is not null"), "in") == [('["A","B"]',)]
+    assert len({r["record_id"] for r in got.collect()}) == 8
+
+
+def test_xml_takes_every_child_of_the_root(spark, tmp_path):
+    path = tmp_path / "mixed.xml"
+    path.write_text(
+        '<?xml version="1.0"?>\n<!-- a <note> --><dataset>\n<transaction><txid>t1</txid><input_addresses><item>A</item><item>B</item>'
+        "</input_addresses></transaction>\n<observation>\n<txid>t1</txid><src_ip>1.2.3.4</src_ip></observation><flag/><transaction>"
+        "<txid>t2</txid></transaction></dataset>"
+    )
+    assert readers.record_tags(spark, str(path)) == ["flag", "observation", "transaction"]
+    got = readers.read_records(spark, str(path)).where("txid is not null")
+    assert sorted(r["txid"] for r in got.collect()) == ["t1", "t1", "t2"]
+    assert [r["input_addresses"] for r in got.where("input_addresses is not null").collect()] == [["A", "B"]]
+    single = tmp_path / "one.xml"
+    single.write_text("<record><txid>t9</txid></record>")
+    assert [r["txid"] for r in readers.read_xml(spark, str(single)).collect()] == ["t9"]

@@ -88,3 +88,17 @@ def test_json_shapes_and_xml(spark, tmp_path):
         assert (got[0]["txid"], got[0]["input_addresses"], got[0]["fee"]) == ("t1", ["A", "B"], "1"), name
     with pytest.raises(ValueError):
         readers.read_records(spark, "x.pdf")
+
+
+def test_untidy_times_numbers_and_addresses(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("12:30:00", "5d", "::FFFF:1.2.3.4"), ("T12:30", "1e3", "fe80::1%eth0"), ("2024-01-02", " 7 ", "1.2.3.4%x"), ("2024/01/02 03:04:05", "0x1", "1::2::3")]
+    df = spark.createDataFrame(rows, "t string, n string, ip string")
+    got = df.select(
+        text.parse_timestamp(F.col("t")).cast("string").alias("t"), text.parse_numbers(F.array("n")).alias("n"),
+        text.ip_ok(F.col("ip")).alias("ok"), text.normalize_ip(F.col("ip")).alias("ip"),
+    ).collect()
+    assert [r["t"] for r in got] == [None, None, "2024-01-02 00:00:00", "2024-01-02 03:04:05"]
+    assert [r["n"] for r in got] == [[], [1000.0], [7.0], []]
+    assert [(r["ok"], r["ip"]) for r in got] == [(True, "::ffff:102:304"), (True, "fe80::1%eth0"), (False, "1.2.3.4%x"), (False, "1::2::3")]
