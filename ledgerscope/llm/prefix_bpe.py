@@ -81,9 +81,11 @@ class PrefixTable:
         it comes up. When nothing longer agreed, the single symbol is the one that is left.
         """
         last = [-1] * (len(word) + 1)
-        foreign = [i for i, c in enumerate(word) if c not in self.symbols] if not self.symbols.issuperset(word) else ()
-        for i in foreign:
-            last[i + 1] = -2  # settled below, unless a longer token ends here
+        foreign: list[int] = []
+        if not self.symbols.issuperset(word):
+            foreign = [i for i, c in enumerate(word) if c not in self.symbols]
+            for i in foreign:
+                last[i + 1] = -2  # settled below, unless a longer token ends here
         fits = self.fits
         for end, (token, size) in self.automaton.iter(word):
             end += 1
@@ -105,10 +107,9 @@ class PrefixTable:
 
     def counts(self, word: str) -> list[int]:
         """Tokens of every prefix, 0..n."""
-        last, texts = self.table(word), self.texts
-        out = [0] * len(last)
-        for i in range(1, len(last)):
-            out[i] = out[i - len(texts[last[i]])] + 1
+        texts, out = self.texts, [0]
+        for i, token in enumerate(self.table(word)[1:], 1):
+            out.append(out[i - len(texts[token])] + 1)
         return out
 
     def tokens(self, word: str) -> list[int]:

@@ -23,6 +23,7 @@ import functools
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -111,13 +112,17 @@ class PrefixCounter:
 
     def word_changes(self, word: str) -> bytes:
         """Changes of the count per character inside a word that no prefix splits."""
-        made = self.known_words.get(word)
+        made = self.known_words.young.get(word) or self.known_words.recall(word)
         if made is None:
             if word.isascii():
-                made = as_bytes(np.diff(self.words.counts(word)))
+                counts = self.words.counts(word)
             else:
-                ends = np.cumsum([0, *(len(c.encode()) for c in word)])
-                made = as_bytes(np.diff(np.array(self.words.counts(word.encode().decode("latin-1")))[ends]))
+                inner = self.words.counts(word.encode().decode("latin-1"))
+                counts = [inner[i] for i in accumulate((len(c.encode()) for c in word), initial=0)]
+            if len(counts) < 128:
+                made = bytes([(b - a) & 255 for a, b in pairwise(counts)])
+            else:
+                made = as_bytes(np.diff(counts))
             if len(word) <= LONGEST_REMEMBERED:
                 self.known_words.put(word, made)
         return made
@@ -129,7 +134,8 @@ class PrefixCounter:
     def piece_changes(self, piece: str) -> bytes:
         """Changes per character of a piece, each prefix split on its own."""
         words = self.split(piece)
-        if not any(w[0] == "'" and w[1:2].isalpha() for w in words) and not CUT_RUN.search(piece):
+        contraction = "'" in piece and any(w[0] == "'" and w[1:2].isalpha() for w in words)
+        if not contraction and not CUT_RUN.search(piece):
             return b"".join(map(self.word_changes, words))
         reached: list[int] = []
         base = 0
