@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.maths import half_even
@@ -930,30 +930,39 @@ def anomaly_scores(spark, sf):
     return iforest.anomaly_scores(filled, "entity_id", columns, rows=case.flow_rows)
 
 
-@query
-def supervised_scores(spark, sf):
-    """Three domain forests and their logistic stack per transaction; labels mark fee anomalies."""
+def _out_of_fold(spark, sf) -> DataFrame:
+    """Forest probabilities of three domains by walk-forward folds of days.
+
+    The label is no feature: whether the next transaction of one of the payers pays an unusual fee.
+    """
     case = star_case(spark, sf)
     tx = materialize(matrices.transaction_matrix(case), "tx_matrix")
     net = materialize(matrices.network_matrix(case), "net_matrix")
-    wallet = materialize(matrices.wallet_matrix(case), "wallet_matrix")
-    feats = features.transaction_features(case)
-    labels = materialize(feats.select("txid", (F.col("fee_ratio") >= 0.15).cast("double").alias("label")), "labels")
-    senders = case.inputs.groupBy("txid").agg(F.min("address").alias("address"))
-    wallet_rows = senders.join(wallet.drop("time_step"), "address")
-    parts_ = []
-    for name, table, columns, trees in (
-        ("rf_tx", tx, schema.transaction_columns(), 10),
-        ("rf_wallet", wallet_rows, schema.wallet_columns(), 10),
-        ("rf_network", net, schema.network_columns(), 10),
-    ):
-        train = materialize(table.join(labels, "txid"), "train")
-        model = supervised.fit_forest(train, columns, trees)
-        parts_.append(supervised.probabilities(table, "txid", columns, model, name))
-    stack = parts_[0].join(parts_[1], "txid").join(parts_[2], "txid").join(labels, "txid")
-    stack = materialize(stack, "stack")
-    names = ["rf_tx", "rf_wallet", "rf_network"]
-    return supervised.stacked(stack, "txid", names, supervised.fit_stack(stack, names))
+    wallet = matrices.wallet_matrix(case)
+    feats = features.transaction_features(case).select(
+        "txid", F.unix_seconds("timestamp").alias("timestamp_epoch"), (F.col("fee_ratio") >= 0.15).alias("odd")
+    )
+    paid = case.inputs.select("txid", "address").distinct().join(feats, "txid")
+    following = Window.partitionBy("address").orderBy("timestamp_epoch", "txid")
+    label = F.max(F.coalesce(F.col("next_odd"), F.lit(False)).cast("double"))
+    labels = materialize(
+        paid.withColumn("next_odd", F.lead("odd").over(following)).groupBy("txid").agg(label.alias("label")), "labels"
+    )
+    senders = case.inputs.select("txid", "address").distinct()
+    wallet_rows = materialize(senders.join(wallet.drop("time_step"), "address"), "wallet_rows")
+    folds = materialize(matrices.walk_forward(graph.time_steps(case, 24)), "folds")
+    domains = {
+        "rf_tx": (tx, schema.transaction_columns()),
+        "rf_wallet": (wallet_rows, schema.wallet_columns()),
+        "rf_network": (net, schema.network_columns()),
+    }
+    return materialize(supervised.out_of_fold(domains, folds, labels, 10), "out-of-fold")
+
+
+@query
+def supervised_scores(spark, sf):
+    """Three domain forests on earlier days, and a stack fitted on the folds before, per transaction."""
+    return supervised.stacked_forward(_out_of_fold(spark, sf), ["rf_tx", "rf_wallet", "rf_network"])
 
 
 def _scored(spark, sf) -> DataFrame:
