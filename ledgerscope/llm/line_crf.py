@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.7
 PRIOR = 0.5
 SAMPLE_DOCS = 4000
-MAX_LINES = 2000
+MAX_LINES = 500
 OWN_FEATURES = 10
 SYMBOLS = "#*$%&|<>"
 

@@ -59,8 +59,7 @@ def by_rules(rules: list[tuple[str, str, str]], host: Column, path: Column, valu
 class Cascade:
     """Levels built over a universe of (key, listed), keys distinct and not null."""
 
-    def __init__(self, universe: DataFrame, max_bits: int = 1 << 30, max_levels: int = 64) -> None:
-        spark = universe.sparkSession
+    def __init__(self, universe: DataFrame, max_bits: int = 1 << 28, max_levels: int = 64) -> None:
         counts = universe.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
         inside, outside = universe.where("listed").select("key"), universe.where("not listed").select("key")
         n, others = counts[0] or 0, counts[1] or 0
@@ -83,7 +82,6 @@ class Cascade:
             n = wrong.count()
         if n:
             raise ValueError(f"{max_levels} levels do not settle the universe")
-        del spark
 
     @staticmethod
     def positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
@@ -131,7 +129,7 @@ def judge_urls(
     listed: DataFrame | None = None,
     page_id: str = "page_id",
     url: str = "url",
-    max_bits: int = 1 << 30,
+    max_bits: int = 1 << 28,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict). ``listed`` holds blocked hosts in ``key``; by default those that
     ``is_blocked_name`` picks from the corpus."""
