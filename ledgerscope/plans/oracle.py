@@ -270,6 +270,7 @@ SELECT count(*) AS total_rows, (SELECT count(*) FROM good) AS accepted_rows, cou
     "source_json_wrapped": _records("SELECT * FROM clean"),
     "source_xml": _records("SELECT * FROM clean"),
     "source_json_document": _records("SELECT * FROM clean"),
+    "source_folder": _records("SELECT * FROM clean"),
     "source_ndjson_broken": _records("SELECT * FROM clean"),
     "source_xml_mixed": _records("SELECT * FROM clean"),
     "records_to_case": _records("""

@@ -273,6 +273,20 @@ def source_xml_mixed(spark, sf):
     return _clean(records.validate(readers.read_records(spark, path, "xml")))
 
 
+@query
+def source_folder(spark, sf):
+    """One folder with CSV files of two layouts, lines of JSON and XML, read together."""
+    rows = dirty_records(spark, sf).withColumn("_kind", F.crc32("record_id") % 4)
+    folder = work_path(spark, "mixed-folder")
+    part = lambda k: rows.where(F.col("_kind") == k).drop("_kind")
+    part(0).write.option("escape", '"').csv(f"{folder}/a", header=True, emptyValue="")
+    turned = part(1).select(*reversed(part(1).columns))
+    turned.write.option("escape", '"').option("sep", "\t").csv(f"{folder}/b", header=True, emptyValue="")
+    part(2).write.json(f"{folder}/c")
+    part(3).write.option("rootTag", "records").option("rowTag", "record").xml(f"{folder}/d")
+    return _clean(readers.read_folder(spark, folder))
+
+
 @query
 def records_to_case(spark, sf):
     case = records.to_case(records.normalize(_checked(dirty_records(spark, sf))))

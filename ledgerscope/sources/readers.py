@@ -18,12 +18,24 @@ FORMATS = {
 }
 
 
-def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
-    return [r[0] for r in spark.read.text(path).where("trim(value) <> ''").limit(n).collect()]
+Paths = str | list[str]
+# Where a row was read, beside its record; dropped unless asked for.
+SOURCE = "_source_file"
+
+
+def _lines(spark: SparkSession, path: Paths) -> DataFrame:
+    """(line, file, block, at) of every line that is not blank; (block, at) is its order within the file."""
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    rows = text.select(
+        F.regexp_replace("value", "^\ufeff", "").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    return rows.where("trim(line) <> ''").withColumn("at", F.monotonically_increasing_id())
 
 
 def sniff_delimiter(lines: list[str]) -> str:
-    """The candidate found most evenly, then most often, over the first lines; comma when none is."""
+    """The candidate found most evenly, then most often, over the lines; comma when none is."""
     best, score = ",", (0.0, 0)
     for mark in ",\t;|":
         counts = [line.count(mark) for line in lines]
@@ -55,12 +67,29 @@ def _numbered(df: DataFrame, prefix: str) -> DataFrame:
     return joined.withColumn("record_id", made).drop("_id", "_p", "_offset")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    lines = [line.lstrip("﻿") for line in _first_lines(spark, path, 20)]
-    raw = spark.read.csv(path, header=True, sep=sniff_delimiter(lines), encoding="UTF-8", escape='"')
-    named = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
-    # An empty cell of a CSV is present but blank, unlike an absent JSON key.
-    return _numbered(named.na.fill(""), "csv")
+def read_csv(spark: SparkSession, path: Paths, source: bool = False) -> DataFrame:
+    """Files with a header each. Delimiter and columns come from every file's own header; files of one header are one
+    scan. The names of the files and their headers come to the driver, no other line."""
+    heads = _lines(spark, path).groupBy("file").agg(F.min_by("line", F.struct("block", "at")).alias("head"))
+    layouts: dict[str, list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        layouts.setdefault(row["head"].strip(), []).append(row["file"])
+    out = None
+    for head, files in sorted(layouts.items()):
+        where = path if len(layouts) == 1 else files
+        reader = spark.read.option("recursiveFileLookup", True)
+        raw = reader.csv(where, header=True, sep=sniff_delimiter([head]), encoding="UTF-8", escape='"')
+        # An empty cell of a CSV is present but blank, unlike a column the file does not have.
+        named = raw.select(
+            *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("\ufeff").strip()) for c in raw.columns],
+            F.col("_metadata.file_path").alias(SOURCE),
+        )
+        if len(layouts) > 1:
+            named = records.map_columns(named)
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no lines found in {path}")
+    return _numbered(out if source else out.drop(SOURCE), "csv")
 
 
 def _columns_of(objects: DataFrame) -> DataFrame:
@@ -69,12 +98,13 @@ def _columns_of(objects: DataFrame) -> DataFrame:
     Only the distinct key names come to the driver. Keys that differ by case or by blanks around them are one column.
     """
     held = objects.withColumn("_map", F.from_json("_object", "map<string,string>"))
+    rest = [c for c in objects.columns if c != "_object"]
     names = sorted(r[0] for r in held.select(F.explode(F.map_keys("_map"))).distinct().collect())
     same: dict[str, list[str]] = {}
     for name in names:
         same.setdefault(name.strip().lower(), []).append(name)
     columns = [F.coalesce(*[F.col("_map")[k] for k in keys]).alias(keys[0].strip()) for keys in same.values()]
-    return held.select(*columns)
+    return held.select(*columns, *rest)
 
 
 def _is_object(line: Column) -> Column:
@@ -83,7 +113,7 @@ def _is_object(line: Column) -> Column:
     return F.coalesce(shut & F.try_parse_json(line).isNotNull(), F.lit(False))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: Paths, source: bool = False) -> DataFrame:
     """One object per line, or one document a file: an array, a records/data wrapper or a single object.
 
     Every file is judged by its own lines. A file in which most lines are complete objects is read by line and only
@@ -91,14 +121,8 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     parse whole is read by line after all. Items of a document that are not objects are dropped singly. A wrapper on a
     single line is opened like a document.
     """
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
-        F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("line"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-    )
-    filled = lines.where("line <> ''").withColumns(
-        {"complete": _is_object(F.col("line")), "at": F.monotonically_increasing_id()}
-    )
+    lines = _lines(spark, path).withColumn("line", F.trim("line"))
+    filled = lines.withColumn("complete", _is_object(F.col("line")))
     place = F.struct("block", "at")
     shapes = filled.groupBy("file").agg(
         F.min_by(F.substring("line", 1, 1), place).alias("opens"),
@@ -115,22 +139,23 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
         whole = raw.where("doc is not null")
         parsed = whole.select("file").distinct()
         filled = filled.join(parsed, "file", "left_anti")
-    single = filled.where("complete").select(F.try_parse_json("line").alias("doc"))
-    docs = single if whole is None else single.unionByName(whole.select("doc"))
+    single = filled.where("complete").select(F.try_parse_json("line").alias("doc"), "file")
+    docs = single if whole is None else single.unionByName(whole.select("doc", "file"))
 
     def many(at: str) -> Column:
         return F.try_variant_get("doc", at, "array<variant>")
 
     items = F.coalesce(many("$.records"), many("$.data"), many("$"), F.array("doc"))
-    objects = docs.select(F.explode(items).alias("item")).where(F.schema_of_variant("item").startswith("OBJECT"))
-    return _numbered(_columns_of(objects.select(F.to_json("item").alias("_object"))), "json")
+    each = docs.select(F.explode(items).alias("item"), F.col("file").alias(SOURCE))
+    objects = each.where(F.schema_of_variant("item").startswith("OBJECT")).select(F.to_json("item").alias("_object"), SOURCE)
+    return _numbered(_columns_of(objects if source else objects.drop(SOURCE)), "json")
 
 
 # Roots whose children are the records. Any other root is itself a record.
 XML_ROOTS = ("records", "transactions", "observations", "dataset", "root")
 
 
-def record_tags(spark: SparkSession, path: str) -> list[str]:
+def record_tags(spark: SparkSession, path: Paths) -> list[str]:
     """Tags of the elements that are records: the root's children, or the root itself.
 
     The text is cut after every "</", so a piece starts with the name of a closed element and what opens next in it is
@@ -179,12 +204,13 @@ def record_tags(spark: SparkSession, path: str) -> list[str]:
     return sorted(tags)
 
 
-def read_xml(spark: SparkSession, path: str) -> DataFrame:
+def read_xml(spark: SparkSession, path: Paths, source: bool = False) -> DataFrame:
     """The records of every tag, one scan a tag; nested items become lists written as JSON text."""
     out = None
     for tag in record_tags(spark, path):
         part = spark.read.option("rowTag", tag).option("inferSchema", False).xml(path)
         flat = part.select(
+            *([F.col("_metadata.file_path").alias(SOURCE)] if source else []),
             *[
                 F.to_json(records.as_list(f)).alias(f.name)
                 if isinstance(f.dataType, (T.ArrayType, T.StructType))
@@ -198,13 +224,15 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(out, "xml")
 
 
+READERS = {"csv": read_csv, "json": read_json, "xml": read_xml}
+
+
 def read_records(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Mapped records of one file or folder; the format comes from the extension unless named."""
     ext = (fmt or path.rsplit(".", 1)[-1]).lower().lstrip(".")
     if ext not in FORMATS:
         raise ValueError(f"unsupported format: {ext}")
-    reader = {"csv": read_csv, "json": read_json, "xml": read_xml}[FORMATS[ext]]
-    return records.map_columns(reader(spark, path))
+    return records.map_columns(READERS[FORMATS[ext]](spark, path))
 
 
 def raw_files(spark: SparkSession, folder: str) -> list[str]:
@@ -214,14 +242,19 @@ def raw_files(spark: SparkSession, folder: str) -> list[str]:
 
 
 def read_folder(spark: SparkSession, folder: str, kind: str = "auto") -> DataFrame:
-    """Every supported file of a folder, validated; files of one format are read by one scan each."""
-    out = None
+    """Every supported file of a folder, validated; the files of a format are read together, with their paths."""
+    files: dict[str, list[str]] = {}
     for path in raw_files(spark, folder):
-        if path.rsplit(".", 1)[-1].lower() in FORMATS:
-            checked = records.validate(read_records(spark, path), kind)
-            keep = [c for c in checked.columns if c in {*records.ALIASES, "record_id", "issues", "is_valid"}]
-            part = checked.select(*keep, F.lit(path).alias("source"))
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        fmt = FORMATS.get(path.rsplit(".", 1)[-1].lower())
+        if fmt:
+            files.setdefault(fmt, []).append(path)
+    out = None
+    for fmt, paths in sorted(files.items()):
+        mapped = records.map_columns(READERS[fmt](spark, paths, source=True)).withColumnRenamed(SOURCE, "source")
+        checked = records.validate(mapped, kind)
+        keep = [c for c in checked.columns if c in {*records.ALIASES, "record_id", "issues", "is_valid", "source"}]
+        part = checked.select(*keep)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no readable files in {folder}")
     return out
