@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.session import cut, split_rows
+from ledgerscope.session import cut, materialize, split_rows
 
 # Above this many cut points the cut table is left for the optimizer to join instead of being broadcast.
 BROADCAST_CUTS = 1_000_000
@@ -176,21 +176,16 @@ def percent_ranks(df: DataFrame, columns: dict[str, str], rows: int | None = Non
         mean_rank = first + (peers - 1) / 2.0
         return F.when(n <= 1, F.lit(0.5)).otherwise((mean_rank - 1.0) / (n - 1.0))
 
-    if fits(df, rows):
-        n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-        outs = {}
-        for col, out in columns.items():
-            order = Window.partitionBy(F.lit(0)).orderBy(col)
-            peers = F.count(F.lit(1)).over(order.rangeBetween(0, 0))
-            outs[out] = scaled(F.rank().over(order), peers, n)
-        return df.withColumns(outs)
-    n = df.agg(F.count(F.lit(1))).scalar()
+    # Ranks are made over the distinct values with their counts, so no task sorts the table itself. The rows are written
+    # once, as every column reads them.
+    df = materialize(df, "to-rank")
+    n = df.count()
     result = df
     for col, out in columns.items():
         values = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
         ranked = running_total(values, [], [col], F.col("_c"), "_b", rows)
-        ranks = ranked.select(col, scaled(F.col("_b") + 1, F.col("_c"), n).alias(out))
-        result = result.join(ranks, col)
+        ranks = ranked.select(F.col(col).alias("_v"), scaled(F.col("_b") + 1, F.col("_c"), F.lit(n)).alias(out))
+        result = result.join(ranks, result[col].eqNullSafe(F.col("_v"))).drop("_v")
     return result.select(*df.columns, *columns.values())
 
 
