@@ -118,3 +118,11 @@ def test_pagerank_sums_to_one(spark):
     ranks = walks.pagerank(e.selectExpr("*", "1.0D AS weight"), nodes).collect()
     assert sum(r["pagerank"] for r in ranks) == pytest.approx(1.0)
     assert len(ranks) == 16
+
+
+def test_ranks_that_do_not_settle_are_an_error(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    with pytest.raises(RuntimeError):
+        walks.pagerank(edges, nodes, max_rounds=2)
+    assert walks.pagerank(edges, nodes, max_rounds=2, tolerance=None).count() == 3

@@ -102,3 +102,11 @@ def test_xml_takes_every_child_of_the_root(spark, tmp_path):
     single = tmp_path / "one.xml"
     single.write_text("<record><txid>t9</txid></record>")
     assert [r["txid"] for r in readers.read_xml(spark, str(single)).collect()] == ["t9"]
+
+
+def test_csv_files_have_their_own_layout(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("txid,fee\nt1,0.5\nt2,\n")
+    (tmp_path / "b.csv").write_text("﻿fee;TX_HASH;note\n0.7;t3;x,y\n")
+    got = readers.read_csv(spark, str(tmp_path))
+    assert columns(got, "txid", "fee") == [("t1", "0.5"), ("t2", ""), ("t3", "0.7")]
+    assert columns(got.where("note is not null"), "note") == [("x,y",)]
