@@ -107,18 +107,29 @@ def _columns_of(objects: DataFrame) -> DataFrame:
     return held.select(*columns, *rest)
 
 
+def _one_value(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; null for any other text.
+
+    The parser passes over what follows the first value. What could follow it inside an array cannot follow it inside an
+    object, so a text that parses within both is a single value.
+    """
+    boxed = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit("}")))
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(listed.isNotNull() & boxed.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def _is_object(line: Column) -> Column:
     """Whether a line is one complete JSON object by itself."""
     shut = line.startswith("{") & line.endswith("}")
-    return F.coalesce(shut & F.try_parse_json(line).isNotNull(), F.lit(False))
+    return F.coalesce(shut & _one_value(line).isNotNull(), F.lit(False))
 
 
 def read_json(spark: SparkSession, path: Paths, source: bool = False) -> DataFrame:
     """One object per line, or one document a file: an array, a records/data wrapper or a single object.
 
     Every file is judged by its own lines. A file in which most lines are complete objects is read by line and only
-    the lines that are not objects are dropped. Any other file that opens like a document is parsed whole; what does not
-    parse whole is read by line after all. Items of a document that are not objects are dropped singly. A wrapper on a
+    the lines that are not objects are dropped. Any other file that opens like a document is parsed whole; a file whose
+    whole text is not one value is read by line after all. Items of a document that are not objects are dropped singly. A wrapper on a
     single line is opened like a document.
     """
     lines = _lines(spark, path).withColumn("line", F.trim("line"))
@@ -133,7 +144,7 @@ def read_json(spark: SparkSession, path: Paths, source: bool = False) -> DataFra
     whole = None
     if documents:
         raw = spark.read.text(documents, wholetext=True).select(
-            F.try_parse_json(F.trim(F.regexp_replace("value", "^\ufeff", ""))).alias("doc"),
+            _one_value(F.trim(F.regexp_replace("value", "^\ufeff", ""))).alias("doc"),
             F.col("_metadata.file_path").alias("file"),
         )
         whole = raw.where("doc is not null")

@@ -88,6 +88,14 @@ def test_json_files_are_judged_one_by_one(spark, tmp_path):
     assert len({r["record_id"] for r in got.collect()}) == 8
 
 
+def test_mostly_broken_lines_keep_the_good_ones(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"txid": "t1"}\n{"txid": "t2"}\nbad\nworse\n{"cut": \n')
+    (tmp_path / "b.json").write_text('{"txid": "t3"} ]\n{"txid": "t4"}\n["no object"]\n{"txid": "lost"}}\n')
+    (tmp_path / "c.json").write_text('{"txid": "lost"}{"txid": "lost"}\n{"txid": "lost"} , {"txid": "lost"}\n{"txid": "t5"}\n')
+    (tmp_path / "d.json").write_text('[\n{"txid": "t6"},\n{"txid": "t7"}\n]\n')
+    assert columns(readers.read_json(spark, str(tmp_path)), "txid") == [(f"t{i}",) for i in (1, 2, 4, 5, 6, 7)]
+
+
 def test_xml_takes_every_child_of_the_root(spark, tmp_path):
     path = tmp_path / "mixed.xml"
     path.write_text(
