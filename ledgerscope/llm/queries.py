@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.llm import (
+    byte_pairs,
+    fill_middle,
     license_scan,
     line_crf,
+    merkle_manifest,
     piece_codec,
     quality_cascade,
     repair_shards,
@@ -85,6 +88,21 @@ def op10_token_counts(spark, sf):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+@query
+def op11_byte_pairs(spark, sf):
+    return byte_pairs.round_trip(table(spark, sf, "documents"))
+
+
+@query
+def op12_merkle_proofs(spark, sf):
+    return merkle_manifest.tampered(table(spark, sf, "documents"))
+
+
+@query
+def op13_fill_middle(spark, sf):
+    return fill_middle.digests(table(spark, sf, "documents"))
+
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 OP4 = f"""
@@ -199,4 +217,81 @@ select v.vec_id, coalesce(n.n, 0) as n_links, c.component_id, v.vec_id = c.compo
 from v join c on c.id = v.vec_id left join n on n.a = v.vec_id
 """
 
-ORACLES = {"op4_quality_rules": OP4, "op6_source_mix": OP6, "op8_url_verdicts": OP8, "op9_near_vectors": OP9}
+OP12 = """
+with recursive d as (
+  select doc_id, source, lang, n_chars, text, encode(doc_id::varchar) as name from documents
+), bits as (
+  -- One entry a byte value: the remainder of eight shifts.
+  select list(c order by b) as t from (
+    select b, list_reduce([b::bigint, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(b))
+), f as (
+  select d.*, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') as i, coalesce(strlen(source) || ':' || source, '-') as s,
+         coalesce(strlen(lang) || ':' || lang, '-') as l, coalesce(strlen(text) || ':' || text, '-') as x,
+         coalesce(xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(doc_id::varchar) + 1),
+           lambda k: ascii(substr(doc_id::varchar, k, 1))::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 7 = 0, false) as hit
+  from d, bits
+), leaf as (
+  select doc_id, lang, sha256(i || s || l || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || x) as leaf,
+         case when hit then sha256(i || s || l || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || x) end as claim
+  from f
+), ranked as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as r,
+         count(*) over (partition by lang) as n from leaf
+), up as (
+  select 0 as level, lang, r, n, leaf as h from ranked
+  union all
+  select level + 1, lang, r // 2, (n + 1) // 2, sha256(string_agg(h, '' order by r))
+  from up where n > 1 group by level, lang, r // 2, n
+), subs as (
+  select lang, h as subroot, row_number() over (order by encode(lang) nulls first) - 1 as r, count(*) over () as n from up where n = 1
+), crown as (
+  select 0 as level, r, n, subroot as h from subs
+  union all
+  select level + 1, r // 2, (n + 1) // 2, sha256(string_agg(h, '' order by r)) from crown where n > 1 group by level, r // 2, n
+), steps as (
+  -- Every leaf's siblings, level by level: in its own tree, then in that of the subroots.
+  select k.lang, k.r, u.level, case when u.r % 2 = 1 then coalesce(v.h, '') else '' end as a,
+         case when u.r % 2 = 0 then coalesce(v.h, '') else '' end as b
+  from ranked k join up u on u.lang is not distinct from k.lang and u.n > 1 and u.r = k.r >> u.level
+  left join up v on v.lang is not distinct from u.lang and v.level = u.level and v.r = xor(u.r, 1)
+  union all
+  select k.lang, k.r, 1000 + u.level, case when u.r % 2 = 1 then coalesce(v.h, '') else '' end,
+         case when u.r % 2 = 0 then coalesce(v.h, '') else '' end
+  from ranked k join subs s on s.lang is not distinct from k.lang join crown u on u.n > 1 and u.r = s.r >> u.level
+  left join crown v on v.level = u.level and v.r = xor(u.r, 1)
+), paths as (
+  select lang, r, list(struct_pack(a := a, b := b) order by level) as p, string_agg(a || b, '' order by level) as proof
+  from steps group by lang, r
+), fold as (
+  select k.doc_id, k.lang, k.r, k.leaf, coalesce(k.claim, k.leaf) as acc, coalesce(p, []) as p, coalesce(proof, '') as proof, 1 as pos
+  from ranked k left join paths on paths.lang is not distinct from k.lang and paths.r = k.r
+  union all
+  select doc_id, lang, r, leaf, sha256(p[pos].a || acc || p[pos].b), p, proof, pos + 1 from fold where pos <= len(p)
+)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, acc as folded_root, acc = root as verified
+from fold join subs on subs.lang is not distinct from fold.lang, (select h as root from crown where n = 1)
+where pos = len(p) + 1
+"""
+
+OP13 = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u from documents
+), k as (
+  select *, len(u) as n, ('0x' || h[1:8])::bigint % (len(u) + 1) as c1, ('0x' || h[9:16])::bigint % (len(u) + 1) as c2,
+         case when text = '' or regexp_matches(text, '<[PSM]>') or ('0x' || h[17:24])::bigint % 100 >= 100 then 'plain'
+              when ('0x' || h[25:32])::bigint % 100 < 50 then 'spm' else 'psm' end as form from d
+), p as (
+  select *, array_to_string(u[1:least(c1, c2)], '') as a, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') as m,
+         array_to_string(u[greatest(c1, c2) + 1:], '') as z from k
+)
+select doc_id, n, form, case when form <> 'plain' then length(a) end as prefix_chars,
+       case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || a || '<S>' || z || '<M>' || m
+                        else '<S>' || z || '<P>' || a || '<M>' || m end) as output_sha256,
+       sha256(case form when 'plain' then text else a || m || z end) as restored_sha256
+from p
+"""
+
+ORACLES = {"op4_quality_rules": OP4, "op6_source_mix": OP6, "op8_url_verdicts": OP8, "op9_near_vectors": OP9, "op12_merkle_proofs": OP12, "op13_fill_middle": OP13}
