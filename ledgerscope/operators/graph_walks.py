@@ -63,7 +63,8 @@ def pagerank(
 ) -> DataFrame:
     """(id, pagerank) over (src, dst, weight); dangling mass is spread evenly.
 
-    With a tolerance the rounds end when ranks settle, and ranks that do not are an error; None runs all rounds.
+    With a tolerance the rounds end when a round moves less than that share of all rank, whatever the number of nodes;
+    ranks that do not settle are an error. None runs all rounds.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
@@ -92,7 +93,7 @@ def pagerank(
             F.sum(F.abs(F.col("rank") - F.col("was"))),
         ).first()
         ranks = fresh.drop("was")
-        if tolerance is not None and moved < n * tolerance:
+        if tolerance is not None and moved < tolerance:
             break
     else:
         if tolerance is not None and n:

@@ -755,8 +755,8 @@ LEFT JOIN (SELECT a AS address, count(*) FILTER (WHERE c >= 2) AS multi, count(*
 SELECT 'transaction_nodes' AS item, count(*) AS value FROM transactions UNION ALL SELECT 'transaction_edges', count(*) FROM spend_rows
 UNION ALL SELECT 'wallet_nodes', count(DISTINCT address) FROM part UNION ALL SELECT 'network_nodes', count(DISTINCT src_ip) FROM network
 UNION ALL SELECT 'temporal_snapshots', max(time_step)::BIGINT FROM steps""", PART, SPENDS, STEPS),
-    "matrix_findings": "SELECT 'E005_FEATURE_DIMENSION_MISMATCH' AS code, 'network/features.parquet' AS file, 'Column order hash mismatch for network.' AS message "
-        "UNION ALL SELECT 'E006_FEATURE_NAN', 'network/features.parquet', 'Infinite values detected in network feature matrix.'",
+    "matrix_findings": "SELECT 'E005_FEATURE_DIMENSION_MISMATCH' AS code, 'network/features.parquet' AS file, 'network: columns in another order' AS message "
+        "UNION ALL SELECT 'E006_FEATURE_NAN', 'network/features.parquet', 'network: infinite cells'",
     "walk_forward": _with("""
 SELECT fold, part, time_step, count(*) AS txs FROM (
   SELECT f.fold, s.time_step, s.txid, CASE WHEN time_step <= until THEN 'train' WHEN time_step <= until + 5 THEN 'predict' END AS part

@@ -78,7 +78,7 @@ def test_whole_run(spark, tmp_path):
     outs += [("t2", 0, "P1", 0.1), ("t2", 1, "P2", 4.8), ("t3", 0, "LOOP2", 1.9), ("t4", 0, "LOOP1", 1.8), ("t5", 0, "R1", 0.1)]
     net = [seen(1, 1, "t1"), seen(2, 2, "t1", ip="10.0.0.2"), seen(3, 3, "t1", ip="10.0.0.3"), seen(4, 601, "t2", port=9999)]
     case = make(spark, txs, ins, outs, net)
-    config = RunConfig(case_id="c1", run_id="r1", trees=20, rank_rounds=5)
+    config = RunConfig(case_id="c1", run_id="r1", trees=20)
     tables = run_case(case, config)
     hits = {(r["entity_id"], r["rule_id"]) for r in tables["rule_hits"].collect()}
     assert hits == {

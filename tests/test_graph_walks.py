@@ -120,6 +120,33 @@ def test_pagerank_sums_to_one(spark):
     assert len(ranks) == 16
 
 
+def plain_ranks(edges, nodes, moved_below, alpha=0.85):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    while True:
+        lost = sum(rank[v] for v in nodes if v not in out)
+        fresh = dict.fromkeys(nodes, (alpha * lost + 1 - alpha) / len(nodes))
+        for a, found in out.items():
+            for b in found:
+                fresh[b] += alpha * rank[a] / len(found)
+        moved = sum(abs(fresh[v] - rank[v]) for v in nodes)
+        rank = fresh
+        if moved < moved_below:
+            return rank
+
+
+@pytest.mark.parametrize("tolerance", [1e-6, 0.1])
+def test_pagerank_stops_by_moved_rank_and_not_by_size(spark, tolerance):
+    # 40 nodes: with the larger tolerance nodes * tolerance exceeds all rank there is.
+    edges = random_graph(5, 30, 60)
+    e, nodes = frames(spark, edges, 40)
+    want = plain_ranks(edges, [f"n{i:02d}" for i in range(40)], tolerance)
+    got = {r["id"]: r["pagerank"] for r in walks.pagerank(e.selectExpr("*", "1.0D AS weight"), nodes, tolerance=tolerance).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+
+
 def test_ranks_that_do_not_settle_are_an_error(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
