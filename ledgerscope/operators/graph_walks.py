@@ -240,107 +240,3 @@ def flow_paths(edges: DataFrame, start: str, end: str, max_hops: int = 6) -> Dat
     ).join(back.select(F.col("id").alias("dst"), F.col("hop").alias("to_end")), "dst")
     length = ahead.where(F.col("id") == end).agg(F.min("hop")).scalar()
     return on.where(F.col("from_start") + 1 + F.col("to_end") == length).select("src", "dst", "from_start")
-
-
-def spanning_forest(both: DataFrame, parts: DataFrame) -> tuple[DataFrame, int]:
-    """(id, parent, level) of a breadth-first forest rooted at each component's smallest member, and its depth."""
-    width = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tree = cut(parts.where("id = component").select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")))
-    depth = 0
-    while True:
-        reached = (
-            both.join(tree.where(F.col("level") == depth).select(F.col("id").alias("u")), "u")
-            .groupBy(F.col("v").alias("id"))
-            .agg(F.min("u").alias("parent"))
-            .join(tree.select("id"), "id", "left_anti")
-            .withColumn("level", F.lit(depth + 1))
-        )
-        reached = cut(reached)
-        if not reached.limit(1).count():
-            return tree, depth
-        tree = cut(tree.unionByName(reached).coalesce(width))
-        depth += 1
-
-
-def biconnected(edges: DataFrame) -> DataFrame:
-    """(child, parent, block): the biconnected block of every edge of a spanning forest.
-
-    Tarjan and Vishkin's reduction: preorder numbers and subtree sizes of a breadth-first forest, the
-    lowest and highest number each subtree reaches by its other edges, and then the connected components of
-    an auxiliary graph on tree edges. Every step is a join or a combinable aggregate per tree level.
-    """
-    both = cut(undirected(edges))
-    parts = components(both.select(F.col("u").alias("src"), F.col("v").alias("dst")))
-    tree, depth = spanning_forest(both, parts)
-    size = tree.count()
-
-    def at(df: DataFrame, level: int) -> DataFrame:
-        return df.where(F.col("level") == level)
-
-    sized = [at(tree, depth).select("id", "parent", F.lit(1).cast("long").alias("nd"))]
-    for level in range(depth - 1, -1, -1):
-        sums = sized[-1].groupBy(F.col("parent").alias("id")).agg(F.sum("nd").alias("s"))
-        sized.append(cut(at(tree, level).join(sums, "id", "left").select("id", "parent", (1 + F.coalesce("s", F.lit(0))).alias("nd"))))
-    sized.reverse()
-    zero = F.lit(0).cast("long")
-    numbered = [sized[0].select("id", "parent", "nd", zero.alias("pre"), F.lit(0).alias("level"))]
-    for level in range(1, depth + 1):
-        placed = running_total(sized[level], ["parent"], ["id"], F.col("nd"), "before", size)
-        above = numbered[-1].select(F.col("id").alias("parent"), F.col("pre").alias("p"))
-        numbered.append(
-            cut(
-                placed.join(above, "parent").select(
-                    "id", "parent", "nd", (F.col("p") + 1 + F.col("before")).alias("pre"), F.lit(level).alias("level")
-                )
-            )
-        )
-    nodes = numbered[0]
-    for part in numbered[1:]:
-        nodes = nodes.unionByName(part)
-    nodes = cut(nodes.coalesce(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    stem = nodes.where("parent is not null").select(F.least("id", "parent").alias("u"), F.greatest("id", "parent").alias("v"))
-    other = both.where("u < v").join(stem, ["u", "v"], "left_anti")
-    ends = nodes.select("id", "pre", "nd")
-    other = cut(
-        other.join(ends.toDF("u", "pu", "nu"), "u").join(ends.toDF("v", "pv", "nv"), "v")
-    )
-    touched = other.select("u", F.col("pv").alias("p")).union(other.select("v", "pu")).groupBy(F.col("u").alias("id")).agg(
-        F.min("p").alias("lo"), F.max("p").alias("hi")
-    )
-    start = cut(
-        nodes.join(touched, "id", "left").select(
-            "id", "parent", "level", "pre", "nd", F.least("pre", "lo").alias("low"), F.greatest("pre", "hi").alias("high")
-        )
-    )
-    reach = [at(start, depth)]
-    for level in range(depth - 1, 0, -1):
-        up = reach[-1].groupBy(F.col("parent").alias("id")).agg(F.min("low").alias("l"), F.max("high").alias("h"))
-        reach.append(
-            cut(
-                at(start, level).join(up, "id", "left").select(
-                    "id", "parent", "level", "pre", "nd", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high")
-                )
-            )
-        )
-    spread = reach[0]
-    for part in reach[1:]:
-        spread = spread.unionByName(part)
-    spread = spread.where("parent is not null")
-    apart = other.where("(pu + nu <= pv) or (pv + nv <= pu)").select(F.col("u").alias("src"), F.col("v").alias("dst"))
-    above = nodes.where("parent is not null").select(F.col("id").alias("parent"), F.col("pre").alias("pp"), F.col("nd").alias("pn"))
-    through = spread.join(above, "parent").where("low < pp or high >= pp + pn").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
-    limbs = cut(nodes.where("parent is not null").select("id", "parent"))
-    blocks = components(apart.union(through), limbs.select("id"))
-    return limbs.join(blocks, "id").select(F.col("id").alias("child"), "parent", F.col("component").alias("block"))
-
-
-def bridges(blocks: DataFrame) -> DataFrame:
-    """(source, target): edges alone in their block."""
-    alone = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("c"), F.min("parent").alias("p")).where("n = 1")
-    return alone.select(F.least("c", "p").alias("source"), F.greatest("c", "p").alias("target"))
-
-
-def cut_nodes(blocks: DataFrame) -> DataFrame:
-    """(id): nodes that belong to more than one block."""
-    member = blocks.select(F.col("child").alias("id"), "block").union(blocks.select("parent", "block")).distinct()
-    return member.groupBy("id").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")

@@ -17,6 +17,7 @@ from ledgerscope.operators import (
     evaluate,
     geo,
     graph_walks as walks,
+    tree_walks as trees,
     investigate,
     isolation_forest as iforest,
     matrices,
@@ -1320,9 +1321,9 @@ def betweenness(spark, sf):
 @query
 def weak_points(spark, sf):
     """Edges and nodes whose loss splits the entity graph."""
-    blocks = walks.biconnected(Graph(spark, sf).edges)
-    cuts = walks.cut_nodes(blocks).select(F.lit("node").alias("kind"), F.col("id").alias("source"), F.lit("").alias("target"))
-    return walks.bridges(blocks).select(F.lit("edge").alias("kind"), "source", "target").unionByName(cuts)
+    blocks = trees.biconnected(Graph(spark, sf).edges)
+    cuts = trees.cut_nodes(blocks).select(F.lit("node").alias("kind"), F.col("id").alias("source"), F.lit("").alias("target"))
+    return trees.bridges(blocks).select(F.lit("edge").alias("kind"), "source", "target").unionByName(cuts)
 
 
 @query

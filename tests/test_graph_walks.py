@@ -7,6 +7,8 @@ import pytest
 
 from ledgerscope.operators import entity_graph as graph
 from ledgerscope.operators import graph_walks as walks
+from ledgerscope.operators import tree_walks as trees
+from ledgerscope.session import cut
 
 
 def random_graph(seed, n, m):
@@ -44,7 +46,7 @@ def count_parts(nodes, nb, without=None, gone=None):
     return parts
 
 
-GRAPHS = [(1, 14, 15), (2, 20, 24)]
+GRAPHS = [(1, 14, 15), (2, 20, 24), (7, 40, 46), (8, 60, 58)]
 
 
 @pytest.mark.parametrize("seed,n,m", GRAPHS)
@@ -56,9 +58,70 @@ def test_bridges_and_cut_nodes(spark, seed, n, m):
     want_bridges = {tuple(sorted(e)) for e in edges if count_parts(nodes, nb, gone=set(e)) > whole}
     want_nodes = {v for v in nodes if count_parts(nodes, nb, without=v) > whole}
     e, _ = frames(spark, edges, n)
-    blocks = walks.biconnected(e)
-    assert {(r[0], r[1]) for r in walks.bridges(blocks).collect()} == want_bridges
-    assert {r["id"] for r in walks.cut_nodes(blocks).collect()} == want_nodes
+    blocks = trees.biconnected(e)
+    assert {(r[0], r[1]) for r in trees.bridges(blocks).collect()} == want_bridges
+    assert {r["id"] for r in trees.cut_nodes(blocks).collect()} == want_nodes
+
+
+def rounds_of(monkeypatch):
+    """Counts the written rounds of all graph loops."""
+    done = []
+
+    def counting(real):
+        def counted(*args):
+            done.append(1)
+            return real(*args)
+
+        return counted
+
+    monkeypatch.setattr(walks, "cut", counting(walks.cut))
+    monkeypatch.setattr(trees, "materialize", counting(trees.materialize))
+    return done
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    done = rounds_of(monkeypatch)
+    order = list(range(5000))
+    random.Random(3).shuffle(order)
+    path = spark.createDataFrame([(f"p{a:04d}", f"p{b:04d}") for a, b in itertools.pairwise(order)], "src string, dst string")
+    blocks = cut(trees.biconnected(path))
+    assert len(done) < 60
+    assert trees.bridges(blocks).count() == 4999
+    assert trees.cut_nodes(blocks).count() == 4998
+
+
+def test_a_long_ring_is_one_block(spark):
+    n = 600
+    ring = spark.createDataFrame([(f"p{i:04d}", f"p{(i + 1) % n:04d}") for i in range(n)], "src string, dst string")
+    blocks = cut(trees.biconnected(ring))
+    assert blocks.count() == n - 1 and blocks.select("block").distinct().count() == 1
+
+
+def test_forest_and_tour(spark):
+    edges = random_graph(9, 50, 52)
+    e, _ = frames(spark, edges, 50)
+    forest, named = trees.spanning_forest(walks.undirected(e))
+    parts = {r["id"]: r["component"] for r in walks.components(e).collect()}
+    roots = {r["id"]: r["root"] for r in named.collect()}
+    assert set(roots) == set(parts)
+    assert all((roots[a] == roots[b]) == (parts[a] == parts[b]) for a in parts for b in parts)
+    assert forest.count() == len(parts) - len(set(parts.values()))
+    rows = {r["id"]: r for r in trees.euler_tour(forest, named).collect()}
+    kids = {(r["parent"], r["id"]) for r in rows.values() if r["parent"]}
+    assert {tuple(sorted(k)) for k in kids} == {tuple(r) for r in forest.collect()}
+    for v, r in rows.items():
+        below, todo = set(), [v]
+        while todo:
+            u = todo.pop()
+            below.add(u)
+            todo += [c for p, c in kids if p == u]
+        same = {w for w, s in rows.items() if s["tree"] == r["tree"] and r["last"] <= s["first"] <= r["first"]}
+        assert same == below
+
+
+def test_no_edges_no_blocks(spark):
+    e = spark.createDataFrame([("a", "a")], "src string, dst string")
+    assert trees.biconnected(e).count() == 0
 
 
 def brute_betweenness(edges, nodes):
