@@ -370,6 +370,33 @@ sp_deg AS MATERIALIZED (SELECT txid AS id, coalesce(i, 0) AS in_degree, coalesce
   FROM transactions LEFT JOIN sp_in USING (txid) LEFT JOIN sp_out USING (txid))
 """
 
+# A node and an edge split their component if no edge beside a search tree leads around them.
+WEAK = """
+tree(id, parent, lvl) USING KEY (id) AS (
+  SELECT id, NULL::VARCHAR, 0 FROM cc WHERE id = component
+  UNION
+  SELECT e.v, min(e.u), min(t.lvl) + 1 FROM tree t JOIN ent_und e ON e.u = t.id LEFT JOIN recurring.tree r ON r.id = e.v
+  WHERE r.id IS NULL GROUP BY e.v),
+above(node, c, p, lvl) AS (
+  SELECT id, id, parent, lvl FROM tree WHERE parent IS NOT NULL
+  UNION ALL
+  SELECT a.node, t.id, t.parent, t.lvl FROM above a JOIN tree t ON t.id = a.p WHERE t.parent IS NOT NULL),
+beside AS MATERIALIZED (
+  SELECT u, v FROM ent_und e WHERE u < v AND NOT EXISTS (
+    SELECT 1 FROM tree t WHERE t.id = e.u AND t.parent = e.v OR t.id = e.v AND t.parent = e.u)),
+around AS MATERIALIZED (
+  SELECT *, min(lvl) OVER (PARTITION BY u, v) AS top FROM (
+    SELECT u, v, c, any_value(p) AS p, any_value(lvl) AS lvl FROM (
+      SELECT u, v, c, p, lvl FROM beside JOIN above ON node = u UNION ALL SELECT u, v, c, p, lvl FROM beside JOIN above ON node = v)
+    GROUP BY u, v, c HAVING count(*) = 1)),
+linked AS MATERIALIZED (
+  SELECT DISTINCT a.c AS a, b.c AS b FROM around a JOIN around b USING (u, v) WHERE a.lvl = a.top AND b.lvl = b.top AND a.c <> b.c),
+safe(c) AS (
+  SELECT c FROM around WHERE lvl > top
+  UNION SELECT min(t.id) FROM tree t JOIN tree r ON r.id = t.parent WHERE r.parent IS NULL GROUP BY r.id
+  UNION SELECT l.b FROM safe s JOIN linked l ON l.a = s.c)
+"""
+
 SPEND_WCC = """
 cc(id, component) USING KEY (id) AS (
   SELECT txid, txid FROM transactions
@@ -473,6 +500,10 @@ SELECT id, in_degree, out_degree, degree, degree::DOUBLE / ((SELECT count(*) FRO
 FROM ent_deg""", PART, GRAPH),
     "graph_hubs": _with("SELECT id, degree, type FROM ent_deg JOIN ent_nodes USING (id) ORDER BY degree DESC, id LIMIT 10", PART, GRAPH),
     "entity_components": _with("SELECT id, component, count(*) OVER (PARTITION BY component) AS component_size FROM cc", PART, GRAPH, ENT_WCC, recursive=True),
+    "weak_points": _with("""
+SELECT 'edge' AS kind, least(id, parent) AS source, greatest(id, parent) AS target FROM tree
+WHERE parent IS NOT NULL AND id NOT IN (SELECT c FROM around)
+UNION ALL SELECT DISTINCT 'node', parent, '' FROM tree WHERE parent IS NOT NULL AND id NOT IN (SELECT c FROM safe)""", PART, GRAPH, ENT_WCC, WEAK, recursive=True),
     "spend_components": _with("SELECT id, component, count(*) OVER (PARTITION BY component) AS component_size FROM cc", SPENDS, SPEND_WCC, recursive=True),
     "short_cycles": _with("SELECT * FROM ent_cycles", PART, PAIRS, CYCLES),
     "wallet_cycles_3": _with("""
