@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-DICTIONARY = 1 << 18
+DICTIONARY = 1 << 16
 SAMPLE = 20_000
 LONG_WORD = 64
 BLOCK = 64
