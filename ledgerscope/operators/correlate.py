@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.case import Case
+from ledgerscope.functions.sweep import latest_before, window_pairs
 
 
 def _delta_ms(a: str, b: str) -> Column:
@@ -39,38 +40,41 @@ def _bucket(micros: Column, window: int) -> Column:
 
 
 def temporal_links(case: Case, window_seconds: int = 30) -> DataFrame:
-    """All unmatched observations within the window of a transaction, both ends included.
-
-    Band join: transactions enter their own window-wide time bucket and its two neighbours, the
-    observation only its own, so one equi-join on the bucket meets every candidate exactly once.
-    """
-    net = (
-        unmatched(case)
-        .where("timestamp is not null")
-        .select("record_id", "src_ip", "dst_ip", F.unix_micros("timestamp").alias("net_at"))
-        .withColumn("bucket", _bucket(F.col("net_at"), window_seconds))
+    """All unmatched observations within the window of a transaction, both ends included: a sweep in time order, so
+    that neither a busy half minute nor a busy instant is one task's."""
+    net = unmatched(case).select(
+        F.col("record_id").alias("network_record_id"), "src_ip", "dst_ip", F.unix_micros("timestamp").alias("net_at")
     )
-    home = _bucket(F.unix_micros("timestamp"), window_seconds)
-    txs = case.transactions.where("timestamp is not null").select(
+    txs = case.transactions.select(
+        "txid", F.col("record_id").alias("transaction_record_id"), F.unix_micros("timestamp").alias("tx_at")
+    )
+    width = window_seconds * 1_000_000
+    return window_pairs(net, txs, ("net_at", "tx_at"), width, width).select(
+        "network_record_id",
         "txid",
-        F.col("record_id").alias("transaction_record_id"),
-        F.unix_micros("timestamp").alias("tx_at"),
-        F.explode(F.array(home - 1, home, home + 1)).alias("bucket"),
+        "transaction_record_id",
+        F.lit("temporal_window").alias("method"),
+        F.floor(F.abs(F.col("net_at") - F.col("tx_at")) / 1000).cast("long").alias("time_delta_ms"),
+        F.lit("heuristic").alias("basis"),
+        "src_ip",
+        "dst_ip",
     )
-    apart = F.abs(F.col("net_at") - F.col("tx_at"))
-    return (
-        net.join(txs, "bucket")
-        .where(apart <= window_seconds * 1_000_000)
-        .select(
-            F.col("record_id").alias("network_record_id"),
-            "txid",
-            "transaction_record_id",
-            F.lit("temporal_window").alias("method"),
-            F.floor(apart / 1000).cast("long").alias("time_delta_ms"),
-            F.lit("heuristic").alias("basis"),
-            "src_ip",
-            "dst_ip",
-        )
+
+
+def propagation_latency(case: Case) -> DataFrame:
+    """(record_id, txid, src_ip, propagation_latency_ms) of every observation, as of the latest transaction at or before it.
+
+    An observation that names a transaction of the case is measured against it; any other against the last
+    transaction before it in the whole ledger (of equal times the one of the greatest txid), with null where none is.
+    """
+    own = case.network.join(case.transactions.select("txid", F.col("timestamp").alias("tx_time")), "txid").select(
+        "record_id", "txid", "src_ip", F.floor((F.unix_micros("timestamp") - F.unix_micros("tx_time")) / 1000).alias("propagation_latency_ms")
+    )
+    seen = unmatched(case).select("record_id", "src_ip", F.unix_micros("timestamp").alias("seen_at"))
+    txs = case.transactions.select("txid", F.unix_micros("timestamp").alias("tx_at"))
+    loose = latest_before(seen, txs, ("seen_at", "tx_at"), "txid")
+    return own.unionByName(
+        loose.select("record_id", "txid", "src_ip", F.floor((F.col("seen_at") - F.col("tx_at")) / 1000).alias("propagation_latency_ms"))
     )
 
 

@@ -198,6 +198,10 @@ UNION ALL SELECT 'network', count(*), count(DISTINCT txid), sum(src_port)::DOUBL
     "address_edges": _with("SELECT ia AS source_address, oa AS target_address, txid FROM pairs", PART, PAIRS),
     "exact_links": _with("SELECT * FROM exact_links", LINKS),
     "temporal_links": _with("SELECT * FROM temporal_links", LINKS),
+    "propagation_latency": _with("""
+SELECT n.record_id, txid, src_ip, floor((n.us - t.us) / 1000)::BIGINT AS propagation_latency_ms FROM network n JOIN transactions t USING (txid)
+UNION ALL SELECT n.record_id, t.txid, src_ip, floor((n.us - t.us) / 1000)::BIGINT
+FROM loose n ASOF LEFT JOIN (SELECT us, max(txid) AS txid FROM transactions GROUP BY us) t ON n.us >= t.us""", LINKS),
     "correlation_status": _with("""
 SELECT txid, CASE WHEN txid IN (SELECT txid FROM exact_links) THEN 'exactly_correlated'
                   WHEN txid IN (SELECT txid FROM temporal_links) THEN 'partially_correlated'

@@ -136,6 +136,11 @@ def temporal_links(spark, sf):
     return correlate.temporal_links(star_case(spark, sf))
 
 
+@query
+def propagation_latency(spark, sf):
+    return correlate.propagation_latency(star_case(spark, sf))
+
+
 @query
 def correlation_status(spark, sf):
     return correlate.correlation_status(star_case(spark, sf), allow_temporal=True)
