@@ -12,7 +12,7 @@ from ledgerscope.functions.ordered import group_quantiles, previous
 from ledgerscope.operators import entity_graph as graph
 from ledgerscope.operators.features import time_gaps
 from ledgerscope.operators.rules import P2P_PORTS, TOR_VPN_PORTS
-from ledgerscope.session import cut
+from ledgerscope.session import materialize
 
 
 def telemetry_features(case: Case, burst_ms: int = 500) -> DataFrame:
@@ -74,26 +74,38 @@ def arrival_features(visits: DataFrame, rows: int | None = None, window_seconds:
     return bursts.join(stats, "address", "left").join(medians, "address", "left").na.fill(0.0)
 
 
-def peeling_depth(case: Case, max_depth: int = 1000) -> DataFrame:
-    """(txid, depth): length of the run of one-in two-out transactions starting here."""
+def peeling_depth(case: Case) -> DataFrame:
+    """(txid, depth): length of the longest run of one-in two-out transactions starting here."""
     ones = case.inputs.groupBy("txid").count().where("count = 1").select("txid")
     twos = case.outputs.groupBy("txid").count().where("count = 2").select("txid")
-    shaped = cut(ones.join(twos, "txid", "left_semi"))
-    arcs = graph.spend_graph(case)
-    arcs = cut(
-        arcs.join(shaped.withColumnRenamed("txid", "src"), "src", "left_semi").join(
-            shaped.withColumnRenamed("txid", "dst"), "dst", "left_semi"
+    shaped = materialize(ones.join(twos, "txid", "left_semi").distinct(), "shaped")
+    arcs = graph.spend_graph(case).join(shaped.withColumnRenamed("txid", "src"), "src", "left_semi")
+    return chain_depths(shaped, arcs.join(shaped.withColumnRenamed("txid", "dst"), "dst", "left_semi"))
+
+
+def chain_depths(shaped: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(txid, depth): most transactions on a way from each along ``arcs`` (src, dst), each dst having one src at most.
+
+    Pointer doubling: a transaction knows the one ``step`` ahead of it and the longest way of up to ``step``
+    transactions behind it, the greatest over all forks; each round doubles the step. Ways that lead back to their
+    start have no depth and are an error.
+    """
+    ahead = arcs.select(F.col("dst").alias("txid"), F.col("src").alias("up"))
+    state = materialize(shaped.join(ahead, "txid", "left").select("txid", "up", F.lit(1).cast("long").alias("depth")), "chains")
+    step, n = 1, state.count()
+    while state.where("up is not null").limit(1).count():
+        if step > n:
+            raise ValueError("transactions spend each other in a circle")
+        behind = state.where("up is not null").groupBy(F.col("up").alias("txid")).agg((F.max("depth") + step).alias("longer"))
+        over = state.select(F.col("txid").alias("up"), F.col("up").alias("over"))
+        state = materialize(
+            state.join(behind, "txid", "left").join(over, "up", "left").select(
+                "txid", F.col("over").alias("up"), F.greatest("depth", "longer").alias("depth")
+            ),
+            "chains",
         )
-    )
-    # Starts k steps before the end of a chain survive k rounds.
-    alive = shaped
-    depth = shaped.select("txid", F.lit(1).alias("depth"))
-    for step in range(2, max_depth + 1):
-        alive = cut(arcs.join(alive.withColumnRenamed("txid", "dst"), "dst", "left_semi").select(F.col("src").alias("txid")).distinct())
-        if not alive.limit(1).count():
-            break
-        depth = depth.union(alive.select("txid", F.lit(step)))
-    return depth.groupBy("txid").agg(F.max("depth").alias("depth"))
+        step *= 2
+    return state.select("txid", F.col("depth").cast("int").alias("depth"))
 
 
 def local_structure(edges: DataFrame, weights: DataFrame | None = None) -> DataFrame:

@@ -527,6 +527,15 @@ FROM (SELECT s AS id, count(*) AS n FROM sp_two GROUP BY s) f FULL JOIN (SELECT
 SELECT id, community, community_size, CASE WHEN community_size > 1 THEN coalesce(m, 0)::DOUBLE / (community_size * (community_size - 1)) ELSE 0 END AS community_density
 FROM lp JOIN lp_size USING (community) LEFT JOIN (SELECT a.community, count(*) AS m FROM ent_edges e JOIN lp a ON a.id = e.src JOIN lp b ON b.id = e.dst
      WHERE a.community = b.community GROUP BY a.community) USING (community)""", PART, GRAPH, _label_rounds("ent_nodes", "ent_und", 5)),
+    "community_quality": _with("""
+SELECT community, community_size, coalesce(i, 0)::DOUBLE AS internal_weight, coalesce(vol, 0)::DOUBLE AS volume,
+       """ + half_even("CASE WHEN least(coalesce(vol, 0), whole - coalesce(vol, 0)) > 0 THEN (vol - 2 * i)::DOUBLE / least(vol, whole - vol) ELSE 0 END", 9) + """ AS conductance,
+       """ + half_even("2 * coalesce(i, 0)::DOUBLE / whole - (coalesce(vol, 0)::DOUBLE / whole) * (coalesce(vol, 0)::DOUBLE / whole)", 9) + """ AS modularity
+FROM lp_size LEFT JOIN (
+  SELECT community, count(*) AS vol, sum(twin)::BIGINT // 2 AS i FROM (
+    SELECT a.community, (a.community = b.community)::INT AS twin FROM ent_edges e JOIN lp a ON a.id = e.src JOIN lp b ON b.id = e.dst
+    UNION ALL SELECT b.community, (a.community = b.community)::INT FROM ent_edges e JOIN lp a ON a.id = e.src JOIN lp b ON b.id = e.dst)
+  GROUP BY community) USING (community), (SELECT 2 * count(*) AS whole FROM ent_edges)""", PART, GRAPH, _label_rounds("ent_nodes", "ent_und", 5)),
     "address_tx_edges": _with("""
 SELECT DISTINCT 'addr_tx' AS edge, address, txid FROM inputs
 UNION ALL SELECT DISTINCT 'tx_addr', address, txid FROM outputs WHERE txid IN (SELECT txid FROM inputs)"""),
@@ -960,7 +969,7 @@ LEFT JOIN (SELECT address, min(g) AS lo, max(g) AS hi, avg(g) AS mean, stddev_sa
         PART, "vis AS MATERIALIZED (SELECT DISTINCT address, txid, us FROM part)"),
     "peeling_depth": _with("SELECT txid, max(d)::INTEGER AS depth FROM chain GROUP BY txid", SPENDS, """
 shaped AS MATERIALIZED (SELECT txid FROM inputs GROUP BY txid HAVING count(*) = 1 INTERSECT SELECT txid FROM outputs GROUP BY txid HAVING count(*) = 2),
-chain(txid, d) AS (SELECT txid, 1 FROM shaped UNION SELECT s.src, c.d + 1 FROM chain c JOIN spends s ON s.dst = c.txid WHERE s.src IN (SELECT txid FROM shaped) AND c.d < 1000)""",
+chain(txid, d) AS (SELECT txid, 1 FROM shaped UNION SELECT s.src, c.d + 1 FROM chain c JOIN spends s ON s.dst = c.txid WHERE s.src IN (SELECT txid FROM shaped))""",
         recursive=True),
     "local_structure": _with("""
 SELECT id, CASE WHEN k > 1 THEN 2.0::DOUBLE * coalesce(triangle_count, 0) / (k * (k - 1)) ELSE 0 END AS clustering_coefficient, CASE WHEN od > 0 THEN coalesce(back, 0)::DOUBLE / od ELSE 0 END AS reciprocity

@@ -21,6 +21,7 @@ from ledgerscope.operators import (
     investigate,
     isolation_forest as iforest,
     matrices,
+    modularity,
     records,
     rules,
     scoring,
@@ -571,6 +572,23 @@ def entity_communities(spark, sf):
     return members.join(walks.community_stats(g.edges, members), "community")
 
 
+@query
+def community_quality(spark, sf):
+    """Modularity and conductance of the label-propagation communities of the entity graph."""
+    g = Graph(spark, sf)
+    quality = modularity.community_quality(modularity.weighted_pairs(g.edges.select("src", "dst")), walks.communities(g.edges, g.nodes))
+    return rounded(quality, conductance=9, modularity=9)
+
+
+@query
+def modular_communities(spark, sf):
+    """Communities by modularity with the quality of each; held against plain Python in the tests, as SQL has no greedy moves."""
+    g = Graph(spark, sf)
+    links = materialize(g.edges.select("src", "dst"), "links")
+    members = materialize(modularity.louvain(links, g.nodes), "communities")
+    return members.join(modularity.community_quality(modularity.weighted_pairs(links), members), "community")
+
+
 @query
 def address_tx_edges(spark, sf):
     case = star_case(spark, sf)

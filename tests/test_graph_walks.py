@@ -5,8 +5,10 @@ import random
 
 import pytest
 
+from ledgerscope.operators import dictionary
 from ledgerscope.operators import entity_graph as graph
 from ledgerscope.operators import graph_walks as walks
+from ledgerscope.operators import modularity
 from ledgerscope.operators import tree_walks as trees
 from ledgerscope.session import cut
 
@@ -216,3 +218,78 @@ def test_ranks_that_do_not_settle_are_an_error(spark):
     with pytest.raises(RuntimeError):
         walks.pagerank(edges, nodes, max_rounds=2)
     assert walks.pagerank(edges, nodes, max_rounds=2, tolerance=None).count() == 3
+
+
+def test_depths_of_long_and_forked_chains(spark):
+    order = list(range(3000))
+    random.Random(4).shuffle(order)
+    arcs = [(f"c{a}", f"c{b}") for a, b in itertools.pairwise(order)]
+    # A fork of 1,000 halfway and one of a single transaction at the start; one alone.
+    arcs += [(f"c{order[1500]}", "f0")] + [(f"f{i}", f"f{i + 1}") for i in range(999)] + [(f"c{order[0]}", "g")]
+    names = sorted({x for e in arcs for x in e} | {"alone"})
+    shaped = spark.createDataFrame([(x,) for x in names], "txid string")
+    got = {r["txid"]: r["depth"] for r in dictionary.chain_depths(shaped, spark.createDataFrame(arcs, "src string, dst string")).collect()}
+    want = {f"c{x}": 3000 - k for k, x in enumerate(order)} | {f"f{i}": 1000 - i for i in range(1000)} | {"g": 1, "alone": 1}
+    assert got == want
+
+
+def test_a_circle_of_spends_is_an_error(spark):
+    shaped = spark.createDataFrame([("a",), ("b",)], "txid string")
+    with pytest.raises(ValueError):
+        dictionary.chain_depths(shaped, spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"))
+
+
+def plain_quality(edges, of):
+    """Modularity and each community's (size, inside, volume, conductance) by the definitions."""
+    whole = 2.0 * sum(w for _, _, w in edges)
+    out, total = {}, 0.0
+    for c in set(of.values()):
+        inside = sum(w for a, b, w in edges if of[a] == of[b] == c)
+        volume = sum(w * ((of[a] == c) + (of[b] == c)) for a, b, w in edges)
+        small = min(volume, whole - volume)
+        out[c] = (sum(x == c for x in of.values()), inside, volume, (volume - 2 * inside) / small if small > 0 else 0.0)
+        total += 2 * inside / whole - (volume / whole) ** 2
+    return total, out
+
+
+def planted(seed, groups, size, inside, between):
+    rng = random.Random(seed)
+    names = [f"n{i:03d}" for i in range(groups * size)]
+    edges = [
+        (a, b, float(rng.randint(1, 3)))
+        for i, a in enumerate(names)
+        for j, b in enumerate(names)
+        if i < j and rng.random() < (inside if i // size == j // size else between)
+    ]
+    return names, edges
+
+
+@pytest.mark.parametrize("seed,groups,size,inside,between", [(1, 5, 8, 0.7, 0.03), (2, 4, 10, 0.4, 0.1)])
+def test_communities_by_modularity(spark, seed, groups, size, inside, between):
+    names, edges = planted(seed, groups, size, inside, between)
+    edges += [(names[0], names[0], 2.0)]
+    nodes = spark.createDataFrame([(x,) for x in [*names, "alone"]], "id string")
+    e = spark.createDataFrame(edges, "src string, dst string, weight double")
+    found = modularity.louvain(e, nodes)
+    of = {r["id"]: r["community"] for r in found.collect()}
+    assert set(of) == {*names, "alone"} and of["alone"] == "alone"
+    q, parts = plain_quality(edges, of)
+    rows = {r["community"]: r for r in modularity.community_quality(modularity.weighted_pairs(e), found).collect()}
+    assert {c: (r["community_size"], r["internal_weight"], r["volume"], r["conductance"]) for c, r in rows.items()} == {
+        c: pytest.approx(v) for c, v in parts.items()
+    }
+    assert sum(r["modularity"] for r in rows.values()) == pytest.approx(q)
+    spread = {r["id"]: r["community"] for r in walks.communities(e, nodes).collect()}
+    assert q >= plain_quality(edges, spread)[0] - 1e-12
+    assert q >= plain_quality(edges, {x: str(int(x[1:]) // size) if x != "alone" else x for x in of})[0] - 0.02
+    # Connected, and named by the smallest member.
+    nb = neighbours([(a, b) for a, b, _ in edges if a != b and of[a] == of[b]])
+    for c in set(of.values()):
+        mine = sorted(x for x in of if of[x] == c)
+        assert mine[0] == c and count_parts(mine, nb) == 1
+
+
+def test_communities_without_edges(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    none = spark.createDataFrame([], "src string, dst string")
+    assert {tuple(r) for r in modularity.louvain(none, nodes).collect()} == {("a", "a"), ("b", "b")}
