@@ -1,22 +1,21 @@
-"""Byte-level BPE by folds of higher-order functions (op11).
-
-A word (one match of the split pattern) starts as the array of its bytes' ids; a fold merges the pair of the lowest
-rank until no pair has one. The ranks are one literal map from a pair of ids to the id of the joined bytes, laid out
-as flat arrays (the rows of left ids shifted over one another), so that a lookup does not grow with the vocabulary. In a
-rank file a pair's rank is that id, whichever two tokens make the bytes up.
-
-* Words of up to ``LONG_WORD`` bytes merge one place a step. In longer ones a step merges every place of the lowest
-  rank, from the left and without overlap, which a fold over blocks of the word does in a time that grows with its
-  length.
-* The most frequent distinct words are folded once each: their ids are a second literal in which a word stands
-  at one of two slots, at most ``DICTIONARY`` words of at most ``LONG_WORD`` bytes. Which words it holds is settled on about
-  ``SAMPLE`` documents. It saves work and cannot change an id: any other word is folded where it stands.
-* Everything else is one narrow pass over the texts; nothing of them is shuffled.
-* Decoding joins the pieces' bytes in hexadecimal and turns them back, as Spark joins arrays of text in linear time
-  but not arrays of binaries. An id outside the vocabulary is an error.
-
-The split pattern is Java's with Unicode classes; letters and numbers that this JVM's Unicode tables do not know yet and
-the tokenizer's do are added to its classes.
+"""Byte-level BPE by folds of higher-order functions over a block's distinct words (op11).
+
+1. A narrow pass cuts texts into words and numbers the distinct ones of a block of documents; a block is one row: its
+   words, and for every document their numbers. A task closes a block at ``BLOCK_WORDS`` distinct words or
+   ``BLOCK_TEXT`` bytes of text, so a row is bounded but for the length of one text.
+2. Higher-order functions fold each distinct word: it starts as the array of its bytes' ids, and the fold merges the
+   pair of the lowest rank, the leftmost first, until no pair has one. The ranks are one literal map from a pair of ids
+   to the id of the joined bytes, laid out as flat arrays (the rows of left ids shifted over one another), so that a
+   lookup does not grow with the vocabulary. In a rank file a pair's rank is that id, whichever two tokens make the
+   bytes up. Words of up to ``LONG_WORD`` bytes merge one place a step; in longer ones a step merges every place of the
+   lowest rank, from the left and without overlap.
+3. A last pass puts the ids of words together to those of documents. Decoding concatenates the tokens' bytes; an id
+   outside the vocabulary is an error.
+
+All three are one Spark stage without a shuffle.
+
+Words are cut at the blanks that always begin a word, then by the split pattern. Letters and numbers are those of the
+tokenizer's own patterns, whatever the Unicode version of the pattern library here.
 
 Rows: null text counts as empty and gives no ids. Very long texts and words take memory in proportion to the one
 text. Repeated rows are encoded each, ties do not arise, an empty table gives an empty table. doc_id is passed on with
@@ -27,19 +26,27 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import json
-from collections.abc import Callable
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import tiktoken
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.llm.token_counts import LATIN_WORDS, safe_pieces
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-DICTIONARY = 1 << 16
-SAMPLE = 20_000
+# Distinct words and bytes of text at which a block is closed, ids of one batch passed on.
+BLOCK_WORDS = 1 << 19
+BLOCK_TEXT = 1 << 26
+BATCH_IDS = 1 << 22
 LONG_WORD = 64
 BLOCK = 64
 
@@ -55,21 +62,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def two_choice_table(entries: list[tuple[int, int, object]], slots: int) -> list[object]:
-    """Items at one of their two slots each: whoever is pushed out moves to its other slot."""
-    table: list[tuple[int, int, object] | None] = [None] * slots
-    for entry in entries:
-        at, moved = entry[0], entry
-        for _ in range(10_000):
-            table[at], moved = moved, table[at]
-            if moved is None:
-                break
-            at = moved[1] if at == moved[0] else moved[0]
-        else:
-            raise ValueError("the table is too full")
-    return [None if e is None else e[2] for e in table]
-
-
 def shifted_rows(rows: dict[int, dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of a sparse matrix laid over one another: (shift of each row, owner of each place, value of each place).
 
@@ -94,10 +86,6 @@ def number_literal(values: list) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<int>")
 
 
-def text_literal(values: list[str | None]) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), "array<string>")
-
-
 @dataclass(frozen=True)
 class Ranks:
     """The rank map: a matrix of left and right ids whose entries are the ids of the joined bytes.
@@ -129,20 +117,6 @@ class Ranks:
         return F.when(F.get(self.tables["owner"], place) == left, F.get(self.tables["merged"], place))
 
 
-def piece_literal(path: str) -> Column:
-    """The tokens' bytes in hexadecimal by id; ids without a token are null."""
-    ranks = read_ranks(path)
-    pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
-    for piece, i in ranks.items():
-        pieces[i] = piece.hex()
-    return text_literal(pieces)
-
-
-def id_literal(path: str) -> Column:
-    """The ids themselves as little-endian unsigned 32-bit integers in hexadecimal."""
-    return text_literal([i.to_bytes(4, "little").hex() for i in range(max(read_ranks(path).values()) + 1)])
-
-
 def _pair_ranks(ranks: Ranks, ids: Column) -> Column:
     """Rank of every id with its right neighbour, null where there is none."""
     return F.transform(ids, lambda x, i: ranks.of_pair(x, F.get(ids, i + 1)))
@@ -245,134 +219,206 @@ def _members(pattern: str) -> set[int]:
     return set(map(ord, bytes(probe.encode_ordinary(every)).decode()))
 
 
-_PATTERNS: dict[str, str] = {}
-
-
-def split_pattern(spark: SparkSession, pattern: str = public_tokenizers.PATTERN) -> str:
-    """The pattern for this JVM: Unicode classes, with letters and numbers its tables lack."""
-    made = _PATTERNS.get(pattern)
-    if made is None:
-        points = spark.range(0x110000).where("id < 55296 or id > 57343")
-        char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
-        made = pattern
-        for name in (r"\p{L}", r"\p{N}"):
-            known = {r[0] for r in points.where(char.rlike(f"^{name}$")).select("id").collect()}
-            lacking = sorted(_members(name) - known)
-            if lacking:
-                runs = []
-                for p in lacking:
-                    if runs and runs[-1][1] == p - 1:
-                        runs[-1][1] = p
-                    else:
-                        runs.append([p, p])
-                inner = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
-                # The outer range is looked at first, so common characters skip the list.
-                extra = rf"[\x{{{lacking[0]:X}}}-\x{{{lacking[-1]:X}}}&&[{inner}]]"
-                made = made.replace(rf" ?{name}+", rf" ?[{name}{extra}]+").replace(rf"{name}]", rf"{name}{extra}]")
-                made = made.replace(rf"[^\s{name}\p", rf"[^\s{name}{extra}\p")
-        _PATTERNS[pattern] = made = "(?U)" + made
-    return made
-
-
-def words_of(text: str, pattern: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(pattern), 0)
-
-
-def frequent_words(docs: DataFrame, pattern: str, size: int = DICTIONARY, text: str = "text") -> DataFrame:
-    """The words met most often in a sample of about ``SAMPLE`` documents, twice at least."""
-    n = docs.count()
-    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(max(1, n // SAMPLE))) == 0)
-    words = sample.select(F.explode(words_of(text, pattern)).alias("word"))
-    counts = words.where(F.octet_length("word") <= LONG_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where("n > 1").orderBy(F.desc("n"), "word").limit(size)
+def _ranges(points: set[int]) -> str:
+    runs: list[list[int]] = []
+    for p in sorted(points):
+        if runs and runs[-1][1] == p - 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs)
 
 
-def _word_slots(word: Column) -> tuple[Column, Column]:
-    return F.hash(word), F.hash(F.lit(1), word)
+@functools.cache
+def split_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
+    """The pattern for the library here, its classes of letters and numbers brought to the tokenizer's."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    for name in (r"\p{L}", r"\p{N}"):
+        known, meant = set(map(ord, regex.findall(name, every))), _members(name)
+        # Every use stands within a class already or followed by +, where a class of its own means the same.
+        made = f"[{name}{_ranges(meant - known)}]"
+        if known - meant:
+            made = f"[{made}--[{_ranges(known - meant)}]]"
+        pattern = pattern.replace(name, made)
+    return "(?V1)" + pattern
 
 
-@dataclass(frozen=True)
-class Dictionary:
-    """Ids of frequent words: the words at their slots, and the ids of each."""
-
-    tables: Column
-    slots: int
+class Splitter:
+    """Cuts texts into pieces at blanks and pieces into words."""
 
-    def bound(self, tables: Column) -> Dictionary:
-        return replace(self, tables=tables)
+    def __init__(self, pattern: str) -> None:
+        self.words = regex.compile(pattern)
 
-    @staticmethod
-    def make(words: DataFrame, ranks: Ranks) -> Dictionary:
-        parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        one, two = _word_slots(F.col("word"))
-        ids = let(ranks.tables, lambda t: word_ids(F.col("word"), ranks.bound(t)))
-        made = words.repartition(parts, "word").select("n", "word", one.alias("one"), two.alias("two"), ids.alias("ids"))
-        rows = sorted(map(tuple, made.collect()))
-        slots = 1 << max(4, (2 * len(rows)).bit_length())
-        while True:
-            try:
-                # Who comes later stands at the first slot, so the most frequent ones are found at once.
-                table = two_choice_table([(one % slots, two % slots, (w, ids)) for _, w, one, two, ids in rows], slots)
-                break
-            except ValueError:
-                slots *= 2
-        held = text_literal([None if e is None else e[0] for e in table])
-        of_words = F.from_json(F.lit(json.dumps([None if e is None else e[1] for e in table])), "array<array<int>>")
-        return Dictionary(F.struct(held.alias("words"), of_words.alias("ids")), slots)
+    def split(self, piece: str) -> list[str]:
+        return (LATIN_WORDS if max(piece, default="") < "\u0100" else self.words).findall(piece)
 
-    def of_word(self, word: Column) -> Column:
-        """array<int>, null for a word that is not held."""
+    def pieces(self, text: str) -> list[str]:
+        return safe_pieces(text) if text else []
 
-        def held(slot: Column) -> Column:
-            at = slot.bitwiseAND(self.slots - 1)
-            return F.when(F.get(self.tables["words"], at) == word, F.get(self.tables["ids"], at))
 
-        return F.coalesce(*map(held, _word_slots(word)))
+@functools.cache
+def splitter(pattern: str) -> Splitter:
+    return Splitter(pattern)
+
+
+class Block:
+    """Documents of one row: distinct words, the words of each distinct piece, the pieces of each document."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}
+        self.piece_words: list[list[int]] = []
+        self.docs: list[np.ndarray] = []
+        self.names: list[pa.Array] = []
+        self.text = 0
+
+    def add(self, text: str, cutter: Splitter) -> None:
+        parts, known = cutter.pieces(text), self.pieces
+        found = list(map(known.get, parts))
+        if None in found:
+            words = self.words
+            for k, at in enumerate(found):
+                if at is None:
+                    at = known.get(parts[k])
+                    if at is None:
+                        at = known[parts[k]] = len(self.piece_words)
+                        self.piece_words.append([words.setdefault(w, len(words)) for w in cutter.split(parts[k])])
+                    found[k] = at
+        self.docs.append(np.array(found, "<u4"))
+        self.text += len(text)
+
+    def row(self) -> pa.RecordBatch:
+        names = pa.concat_arrays(self.names)
+        binary = [flat(self.piece_words), flat(self.docs)]
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.array([list(self.words)], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(
+            [*columns, *(pa.array([x], pa.binary()) for pair in binary for x in pair)],
+            names=["names", "words", "piece_ends", "piece_words", "doc_ends", "doc_pieces"],
+        )
 
 
-def ids_of(docs: DataFrame, path: str, text: str = "text", dictionary: int = DICTIONARY, long_word: int = LONG_WORD) -> Column:
-    """array<int> of ids as an expression over ``docs``."""
-    pattern, ranks = split_pattern(docs.sparkSession), Ranks.read(path)
-    known = Dictionary.make(frequent_words(docs, pattern, dictionary, text), ranks)
+def flat(parts: list) -> tuple[bytes, bytes]:
+    """(ends, items) of many short lists of numbers."""
+    ends = np.cumsum([len(p) for p in parts], dtype="<u8")
+    items = np.concatenate([np.asarray(p, "<u4") for p in parts]) if parts else np.zeros(0, "<u4")
+    return ends.tobytes(), items.tobytes()
+
+
+def gathered(ends: np.ndarray, items: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(items of the chosen parts one after another, ends of these)."""
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1].astype(np.int64)))
+    sizes = (ends.astype(np.int64) - starts)[chosen]
+    out = np.cumsum(sizes)
+    place = np.arange(out[-1] if len(out) else 0) + np.repeat(starts[chosen] - (out - sizes), sizes)
+    return items[place], out
+
+
+def _blocks(docs: DataFrame, doc_id: str, text: str, block_words: int) -> DataFrame:
+    kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
+    pattern = split_pattern()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, block = splitter(pattern), Block()
+        for batch in batches:
+            first = 0
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                block.add(value or "", cutter)
+                if len(block.words) >= block_words or block.text >= BLOCK_TEXT:
+                    block.names.append(batch.column(0).slice(first, i + 1 - first))
+                    yield block.row()
+                    first, block = i + 1, Block()
+            if first < batch.num_rows:
+                block.names.append(batch.column(0).slice(first))
+        if block.docs:
+            yield block.row()
+
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    parts = "piece_ends binary, piece_words binary, doc_ends binary, doc_pieces binary"
+    return given.mapInArrow(work, f"names array<{kind}>, words array<string>, {parts}")
+
+
+def _document_ids(row: dict) -> Iterator[np.ndarray]:
+    """ids of every document of a folded block."""
+    ids = row["ids"]
+    of_words = pc.list_flatten(ids).to_numpy().astype("<u4")
+    word_ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))
+    piece_ends, pieces = np.frombuffer(row["piece_ends"], "<u8"), np.frombuffer(row["piece_words"], "<u4")
+    of_pieces, ends = gathered(word_ends, of_words, pieces)
+    # Where the ids of each piece end: those of its last word.
+    of_piece = np.concatenate((np.zeros(1, np.int64), ends))[piece_ends.astype(np.int64)] if len(piece_ends) else ends
+    start = 0
+    doc_pieces = np.frombuffer(row["doc_pieces"], "<u4")
+    for end in np.frombuffer(row["doc_ends"], "<u8").tolist():
+        yield gathered(of_piece, of_pieces, doc_pieces[start:end])[0]
+        start = end
+
+
+def folded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS, long_word: int = LONG_WORD) -> DataFrame:
+    """Blocks of documents with the ids of their distinct words."""
+    ranks = Ranks.read(path)
+    ids = let(ranks.tables, lambda t: F.transform("words", lambda w: word_ids(w, ranks.bound(t), long_word)))
+    return _blocks(docs, doc_id, text, block_words).select("names", ids.alias("ids"), "piece_ends", "piece_words", "doc_ends", "doc_pieces")
+
+
+def _per_document(blocks: DataFrame, columns: str, made: Callable[[np.ndarray], tuple], kinds: list[pa.DataType]) -> DataFrame:
+    """(doc_id, columns): what ``made`` makes of each document's ids."""
+    kind = blocks.schema["names"].dataType.elementType.simpleString()
+    labels = [c.split(" ")[0] for c in columns.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                names = row["names"].values
+                row = {n: v.values if n == "ids" else v.as_py() for n, v in row.items() if n != "names"}
+                rows, first, size = [], 0, 0
+                for k, ids in enumerate(_document_ids(row), 1):
+                    rows.append(made(ids))
+                    size += len(ids)
+                    if size >= BATCH_IDS or k == len(names):
+                        arrays = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+                        yield pa.RecordBatch.from_arrays([names.slice(first, k - first), *arrays], names=["doc_id", *labels])
+                        rows, first, size = [], k, 0
+
+    return blocks.mapInArrow(work, f"doc_id {kind}, {columns}")
+
+
+def encode(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+    """(doc_id, ids array<int>): ids of each whole text, without special tokens."""
+    blocks = folded(docs, path or public_tokenizers.path(VOCABULARY), **options)
+    return _per_document(blocks, "ids array<int>", lambda ids: (ids.astype(np.int32),), [pa.list_(pa.int32())])
 
-    def every(t: Column) -> Column:
-        r, k = ranks.bound(t["ranks"]), known.bound(t["known"])
-        words = F.transform(words_of(text, pattern), lambda w: F.coalesce(k.of_word(w), word_ids(w, r, long_word)))
-        return F.flatten(words)
 
-    return let(F.struct(ranks.tables.alias("ranks"), known.tables.alias("known")), every)
+@functools.cache
+def token_bytes(path: str) -> dict[int, bytes]:
+    return {i: piece for piece, i in read_ranks(path).items()}
 
 
-def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(doc_id, ids array<int>): ids of each whole text, without special tokens."""
-    ids = ids_of(docs, path or public_tokenizers.path(VOCABULARY), text, **options)
-    return docs.select(F.col(doc_id).alias("doc_id"), ids.alias("ids"))
+def concatenated(ids: list[int], path: str) -> bytes:
+    return b"".join(map(token_bytes(path).__getitem__, ids))
 
 
-def joined(ids: Column, entries: Column) -> Column:
-    """The hexadecimal entries at the ids, joined and turned to bytes."""
-    return F.unhex(
-        F.array_join(let(entries, lambda e: F.transform(ids, lambda i: F.element_at(e, i + 1))), "")
-    )
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, data binary): the bytes of encoded rows (doc_id, ids); null ids give null."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    kind = encoded.schema["doc_id"].dataType.simpleString()
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [None if x is None else concatenated(x, path) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, data binary): the bytes of encoded rows; null ids give null."""
-    pieces = piece_literal(path or public_tokenizers.path(VOCABULARY))
-    return encoded.select("doc_id", joined(F.col("ids"), pieces).alias("data"))
+    return encoded.select("doc_id", "ids").mapInArrow(work, f"doc_id {kind}, data binary")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the bytes decoded from them."""
     path = path or public_tokenizers.path(VOCABULARY)
-    little, pieces = id_literal(path), piece_literal(path)
 
-    def digests(ids: Column) -> Column:
-        return F.struct(
-            F.size(ids).cast("long").alias("n_tokens"),
-            F.sha2(joined(ids, little), 256).alias("ids_sha256"),
-            F.sha2(joined(ids, pieces), 256).alias("decoded_sha256"),
-        )
+    def made(ids: np.ndarray) -> tuple[int, str, str]:
+        data = concatenated(ids.tolist(), path)
+        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()
 
-    made = let(ids_of(docs, path, text, **options), digests)
-    return docs.select(F.col(doc_id).alias("doc_id"), made.alias("made")).select("doc_id", "made.*")
+    return _per_document(
+        folded(docs, path, **options), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", made, [pa.int64(), pa.string(), pa.string()]
+    )

@@ -8,6 +8,7 @@ import edge_tables
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("options", [{}, {"dictionary": 5, "long_word": 3}])
+@pytest.mark.parametrize("options", [{}, {"block_words": 5, "long_word": 3}])
 def test_byte_pairs_equal_the_library(spark, library, options):
     rng = random.Random(1)
     texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 40))) for _ in range(400)]
@@ -56,6 +57,34 @@ def test_byte_pairs_of_edge_rows(spark, library):
     assert byte_pairs.round_trip(edge_tables.empty(spark)).count() == 0
 
 
+def test_every_token_folds_to_itself(library):
+    """The library takes a word that is a token as it is; the merges lead there too, so the fold needs no such rule."""
+    ranks = byte_pairs.read_ranks(public_tokenizers.path(byte_pairs.VOCABULARY))
+    for token, i in ranks.items():
+        parts = [token[k : k + 1] for k in range(len(token))]
+        while len(parts) > 1:
+            found = [ranks.get(a + b, 1 << 30) for a, b in zip(parts, parts[1:])]
+            k = found.index(min(found))
+            if found[k] == 1 << 30:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        assert parts == [token], i
+
+
+def test_words_are_the_librarys():
+    cutter = byte_pairs.splitter(byte_pairs.split_pattern())
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    # Every character among letters, numbers, signs and blanks.
+    text = "".join(f"a{c}1{c}! {c} {c}" for c in every)
+    words = [w for p in cutter.pieces(text) for w in cutter.split(p)]
+    assert "".join(words) == text
+    known = regex.compile(byte_pairs.split_pattern()).findall(text)
+    assert words == known
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        mine = byte_pairs.split_pattern(name)
+        assert set(map(ord, regex.findall(mine, "".join(every)))) == byte_pairs._members(name)
+
+
 def test_rows_laid_over_one_another():
     rng = random.Random(2)
     rows = {r: {c: rng.randrange(9) for c in rng.sample(range(60), rng.randint(1, 30))} for r in rng.sample(range(60), 40)}
