@@ -169,11 +169,15 @@ def mix(
     """(doc_id, size, source, source_size, target, taken, copies[, row]) per document.
 
     ``source`` names a string column, or an array column for documents of several sources; size and target are then
-    those of the first source in order.
+    those of the first source in order. A document of no source, its list null or empty, is one of the null source.
     """
     spark = docs.sparkSession
     is_list = dict(docs.dtypes)[source].startswith("array")
-    members = F.array_sort(F.array_distinct(F.col(source))) if is_list else F.array(F.col(source).cast("string"))
+    if is_list:
+        listed = F.array_sort(F.array_distinct(F.col(source)))
+        members = F.when(F.size(F.coalesce(listed, F.array())) == 0, F.array(F.lit(None).cast("string"))).otherwise(listed)
+    else:
+        members = F.array(F.col(source).cast("string"))
     own = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     columns = [
         F.col(doc_id).alias("doc_id"), n_words(F.col(text)).alias("size"), members.alias("sources"), F.md5(own).alias("mark")

@@ -245,14 +245,40 @@ def longest_within(changes: bytes, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-def truncate(docs: DataFrame, tables: DataFrame, budget: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text) cut to the longest prefix within a budget, answered from stored tables."""
+def truncate(docs: DataFrame, budget: int, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text) of every row, cut to the longest prefix within a budget: one narrow pass that reads the cut off the
+    row's own table, so that repeated and null ids keep their rows."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path)
         for batch in batches:
-            cut = [longest_within(x, budget) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.int64())], names=["doc_id", "keep"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            kept = [t[: longest_within(count.deltas(t), budget)] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["doc_id", "text"])
+
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return given.mapInArrow(work, f"doc_id {kind}, text string")
+
+
+def truncate_stored(docs: DataFrame, tables: DataFrame, budget: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text) as ``truncate``, from stored tables and without encoding anything.
 
-    kept = tables.select("doc_id", "changes").mapInArrow(work, "doc_id long, keep long")
-    joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(kept, "doc_id")
+    Rows find their table by id, null ids too. Repeated rows share one; an id whose tables cut differently, since its
+    texts differ, is an error, and ``truncate`` is the way for such ids."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [longest_within(x, budget) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], pa.array(cut, pa.int64())], names=["key", "keep"])
+
+    kind = tables.schema["doc_id"].dataType.simpleString()
+    kept = tables.select(F.col("doc_id").alias("key"), "changes").mapInArrow(work, f"key {kind}, keep long")
+    once = kept.groupBy("key").agg(F.min("keep").alias("keep"), F.max("keep").alias("other"))
+    once = once.select("key", F.when(F.col("keep") == F.col("other"), F.col("keep")).otherwise(
+        F.raise_error(F.format_string("id %s has tables of different texts", F.col("key").cast("string")))
+    ).alias("keep"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    joined = rows.join(once, F.col("doc_id").eqNullSafe(F.col("key")))
     return joined.select("doc_id", F.substring(F.coalesce("text", F.lit("")), F.lit(1), F.col("keep").cast("int")).alias("text"))

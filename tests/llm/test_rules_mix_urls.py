@@ -244,3 +244,12 @@ def test_license_candidates_are_complete():
             fill = lambda: " ".join("".join(rng.choices("abcdef", k=rng.randint(1, 8))) for _ in range(rng.randint(0, 60)))
             whole = f"{fill()} {text} {fill()}"
             assert any(f[0] == name and f[1] == 1.0 for f in license_scan.findings(whole, index)), name
+
+
+def test_documents_of_no_source_stay(spark):
+    rows = [(1, "one two", ["a", "b"]), (2, "three", []), (3, "four five six", None), (4, "seven", ["b"]), (5, "", [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    got = {r["doc_id"]: r for r in source_mix.mix(docs).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    assert got[2]["source"] is None and got[2]["source_size"] == got[3]["source_size"] == 4
+    assert all(r["taken"] <= 2 * r["size"] for r in got.values())

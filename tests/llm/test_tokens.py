@@ -87,18 +87,33 @@ def test_counts_of_edge_rows(spark, library):
     assert token_counts.prefix_counts(edge_tables.empty(spark)).count() == 0
 
 
+def cut_text(library, text, budget):
+    fits = [i for i in range(len(text) + 1) if len(library.encode(text[:i]).ids) <= budget]
+    return text[: max(fits)]
+
+
 def test_truncation_by_stored_tables(spark, library):
-    docs = edge_tables.docs(spark).where("doc_id in (1, 3, 8, 9)")
+    docs = edge_tables.docs(spark).where("doc_id in (1, 3, 8, 9) or doc_id is null")
+    docs = docs.union(docs.where("doc_id = 9"))
     tables = token_counts.prefix_counts(docs)
+    texts = {i: t for i, t, _ in edge_tables.TEXTS}
     for budget in (0, 1, 5):
-        for row in token_counts.truncate(docs, tables, budget).collect():
-            text = next(t for i, t, _ in edge_tables.TEXTS if i == row["doc_id"])
-            fits = [i for i in range(len(text) + 1) if len(library.encode(text[:i]).ids) <= budget]
-            assert row["text"] == text[: max(fits)]
+        want = sorted((str(i), cut_text(library, texts[i] or "", budget)) for i in (1, 3, 8, 9, 9, None))
+        for got in (token_counts.truncate(docs, budget), token_counts.truncate_stored(docs, tables, budget)):
+            assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == want
     changes = tables.where("doc_id = 1").first()["changes"]
     assert token_counts.count_at(changes, 9) == len(library.encode(edge_tables.TEXTS[0][1][:9]).ids)
 
 
+def test_truncation_of_one_id_with_two_texts(spark, library):
+    docs = spark.createDataFrame([("x", "one two three four"), ("x", "!!!! a b c"), ("x", None)], "doc_id string, text string")
+    got = sorted(r["text"] for r in token_counts.truncate(docs, 2).collect())
+    assert got == sorted(cut_text(library, t or "", 2) for _, t in docs.collect())
+    numbered = docs.withColumn("doc_id", F.lit(1).cast("long"))
+    with pytest.raises(Exception, match="different texts"):
+        token_counts.truncate_stored(numbered, token_counts.prefix_counts(numbered), 2).collect()
+
+
 def test_round_trip_of_edge_rows(spark, pieces):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     rows = piece_codec.round_trip(edge_tables.docs(spark)).collect()
@@ -129,6 +144,32 @@ def test_containers_round_trip_and_random_access():
     assert np.array_equal(repair_shards.Container(repair_shards.pack(alone, 2)).document(0), alone[0])
 
 
+def left_pairs(symbols, end):
+    """How often each pair is still met; of a run of equal symbols every second place counts."""
+    met, skip = {}, False
+    for a, b in zip(symbols, symbols[1:]):
+        skip = a == b != end and not skip
+        if end not in (a, b) and (a != b or skip):
+            met[a, b] = met.get((a, b), 0) + 1
+    return met
+
+
+def test_grammar_goes_on_to_its_least_count():
+    run = np.append(np.full(50_000, 7, np.uint32), np.uint32(2))
+    stored = repair_shards.pack([run], 2)
+    assert len(stored) < 400 and np.array_equal(repair_shards.Container(stored).document(0), run)
+    rng = np.random.default_rng(8)
+    copy = np.append(rng.integers(3, 5000, 500, dtype=np.uint32), np.uint32(2))
+    box = repair_shards.Container(repair_shards.pack([copy] * 2000, 2))
+    assert len(box.symbols) == 4000 and all(np.array_equal(d, copy) for d in box.documents())
+    for _ in range(300):
+        top = 3 + rng.integers(1, 6)
+        docs = [np.append(rng.integers(3, top, rng.integers(0, 80), dtype=np.uint32), np.uint32(2)) for _ in range(rng.integers(1, 9))]
+        box = repair_shards.Container(repair_shards.pack(docs, 2))
+        assert all(np.array_equal(a, b) for a, b in zip(box.documents(), docs))
+        assert max(left_pairs(box.symbols.tolist(), 2).values(), default=0) < 8
+
+
 @pytest.mark.parametrize("shard_tokens", [50, 1_000_000])
 def test_token_files(spark, library, shard_tokens):
     rows = repair_shards.token_files(edge_tables.docs(spark), shard_tokens=shard_tokens).collect()
