@@ -2,9 +2,8 @@
 
 Documents are encoded, an end id is appended to each, and the ids are written in ascending doc_id order as
 containers of about ``shard_tokens`` ids. In a container, frequent adjacent pairs are replaced by new symbols
-again and again (Re-Pair): a round counts all pairs, takes the frequent ones best first such that no symbol is
-the right end of one chosen pair and the left end of another, so that chosen pairs never overlap, and replaces
-them all. A pair never holds an end id; a document therefore begins at a symbol, and any document can be read
+until no pair is frequent (Re-Pair): a round takes the frequent ones best first such that no symbol is the right end
+of one chosen pair and the left end of another, so that chosen pairs never overlap, and replaces them all. A pair never holds an end id; a document therefore begins at a symbol, and any document can be read
 alone. The rules and every symbol's expansion length are stored; the lengths lead to a token position inside a
 document without expanding what comes before it.
 
@@ -14,7 +13,8 @@ expansion lengths (u32), document offsets in symbols (u64, one more than documen
 Containers are rows of a Parquet table in the shared folder, so Spark commits them and any executor reads them.
 
 Rows: null text is an empty text: its ids are the end id alone. A null doc_id sorts first. Repeated doc_ids are
-ordered by their text. An empty table gives no containers and no rows. Other columns are not read.
+ordered by a hash of their text. Very long texts take memory in proportion to the one text, and a container ends behind
+them. An empty table gives no containers and no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ class IdEncoder:
     """The library's ids of whole texts. A text is cut into pieces that do not depend on each other; a piece, and each
     word of a new piece, goes through the library's model once while it is remembered."""
 
-    def __init__(self, path: str, remember: int = 1_000_000) -> None:
+    def __init__(self, path: str, remember: int = 1_600_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(byte_letters()))
@@ -59,20 +59,26 @@ class IdEncoder:
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word_ids(self, written: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+
     def make(self, piece: str) -> bytes:
+        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
+            # A word by itself, remembered as a piece; other pieces find it there.
+            return self.words.get(piece) or self.word_ids(self.letters[32] + piece[1:])
         try:
             words = LATIN_WORDS.findall(piece) if piece.encode("latin-1") else []
         except UnicodeEncodeError:
             words = [piece[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
-        out, tokenize = [], self.tokenizer.model.tokenize
+        out, beside = [], self.after_blank.young.get
         for word in words:
-            ids = self.words.young.get(word) or self.words.recall(word)
+            ids = self.words.young.get(word) or (beside(word[1:]) if word[0] == " " else None) or self.words.recall(word)
             if ids is None:
                 if word.isascii() and word.isprintable():
                     written = word.replace(" ", self.letters[32])
                 else:
                     written = word.encode().decode("latin-1").translate(self.letters)
-                ids = array("I", [t.id for t in tokenize(written)]).tobytes()
+                ids = self.word_ids(written)
                 if len(word) <= LONGEST_REMEMBERED:
                     self.words.put(word, ids)
             out.append(ids)
@@ -118,59 +124,96 @@ def encoder(path: str) -> IdEncoder:
 
 
 def choose(lefts: np.ndarray, rights: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Places of the pairs to replace, best first, such that no symbol ends one of them and starts another."""
+    """Places of the pairs to replace, best first, such that no symbol ends one of them and starts another. A pair of
+    equal symbols is both and stands alone."""
     taken, starts, ends = [], set(), set()
     for p in np.argsort(-counts, kind="stable").tolist():
         left, right = int(lefts[p]), int(rights[p])
-        if left != right and left not in ends and right not in starts:
+        if left not in ends and right not in starts and (left != right or left not in starts and left not in ends):
             starts.add(left)
             ends.add(right)
             taken.append(p)
     return np.array(sorted(taken), np.int64)
 
 
-def compress(ids: np.ndarray, end: int, rounds: int = 6, least: int = 8, per_round: int = 2000) -> tuple[int, np.ndarray, np.ndarray]:
-    """(base, rules, symbols). ``rounds`` bounds the replacement passes, ``least`` is the count worth a rule,
-    ``per_round`` bounds the candidates of one pass; what they leave stays as plain symbols."""
-    base = int(ids.max()) + 1 if len(ids) else 0
-    narrow = base + rounds * per_round <= 1 << 16
-    key_type, shift = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
-    seq = ids.astype(key_type)
+def compress(ids: np.ndarray, end: int, least: int = 8, per_round: int = 4000) -> tuple[int, np.ndarray, np.ndarray]:
+    """(base, rules, symbols): rounds of replacement until no pair is met ``least`` times.
+
+    A replacement only makes pairs with the new symbol, so a pair once met too seldom stays so: a round looks at the
+    places of pairs that were frequent or lie beside a replaced one, and the sequence is linked, so that its other places
+    cost nothing. ``per_round`` is how many of the frequent pairs one round looks at; the others wait for the next. In a
+    run of equal symbols a pair of two of them is met every second place, from the left.
+    """
+    n, base = len(ids), int(ids.max()) + 1 if len(ids) else 0
+    seq = np.append(ids, end).astype(np.uint32)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    kept = np.ones(n + 1, bool)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        keys = (seq[:-1] << shift) | seq[1:]
-        free = seq != end
-        free = free[:-1] & free[1:]
-        inner = np.sort(keys[free])
-        edges = np.flatnonzero(np.concatenate(([True], inner[1:] != inner[:-1], [True]))) if len(inner) else np.zeros(1, np.int64)
+    live = np.flatnonzero((seq[:-1] != end) & (seq[1:] != end)).astype(np.int32)
+    while len(live) >= least:
+        # Pairs are one number of 32 bits as long as symbols have 16.
+        narrow = base + made + per_round <= 1 << 16
+        key_type, shift = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
+        left, right = seq[live].astype(key_type, copy=False), seq[after[live]].astype(key_type, copy=False)
+        keys = (left << shift) | right
+        inner = np.sort(keys)
+        edges = np.flatnonzero(np.concatenate(([True], inner[1:] != inner[:-1], [True])))
         counts = np.diff(edges)
         often = np.flatnonzero(counts >= least)
         if len(often) == 0:
             break
-        if len(often) > per_round:
-            often = np.sort(often[np.argsort(-counts[often], kind="stable")[:per_round]])
-        found = inner[edges[often]]
+        found, counts = inner[edges[often]], counts[often]
         lefts, rights = found >> shift, found & ((key_type(1) << shift) - key_type(1))
-        kept = choose(lefts, rights, counts[often])
-        if len(kept) == 0:
+        # Twins: of places of a pair of equal symbols that follow each other only every second one counts.
+        twins = np.flatnonzero(left == right)
+        if len(twins):
+            once = keys[twins][spaced(live[twins], after)]
+            same = np.flatnonzero(lefts == rights)
+            once = np.sort(once)
+            counts[same] = np.searchsorted(once, found[same], "right") - np.searchsorted(once, found[same], "left")
+        enough = np.flatnonzero(counts >= least)
+        if len(enough) == 0:
             break
-        lefts, rights = lefts[kept], rights[kept]
+        best = enough
+        if len(best) > per_round:
+            best = np.sort(best[np.argsort(-counts[best], kind="stable")[:per_round]])
+        taken = best[choose(lefts[best], rights[best], counts[best])]
         is_left, is_right = np.zeros(base + made, bool), np.zeros(base + made, bool)
-        is_left[lefts], is_right[rights] = True, True
-        near = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        place = np.minimum(np.searchsorted(found[kept], keys[near]), len(kept) - 1)
-        right = found[kept][place] == keys[near]
-        hit, place = near[right], place[right]
-        keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
-        seq[hit] = (base + made + place).astype(key_type)
-        seq = seq[keep]
-        rules.append(np.stack([lefts, rights], axis=1).astype("<u4"))
-        made += len(kept)
-    return base, np.concatenate(rules) if rules else np.zeros((0, 2), "<u4"), seq.astype("<u4")
+        is_left[lefts[enough]], is_right[rights[enough]] = True, True
+        near = np.flatnonzero(is_left[left] & is_right[right])
+        live, keys, left, right = live[near], keys[near], left[near], right[near]
+        is_left[:], is_right[:] = False, False
+        is_left[lefts[taken]], is_right[rights[taken]] = True, True
+        near = np.flatnonzero(is_left[left] & is_right[right])
+        place = np.minimum(np.searchsorted(found[taken], keys[near]), len(taken) - 1)
+        met = found[taken][place] == keys[near]
+        near, place = near[met], place[met]
+        twin = (lefts == rights)[taken][place]
+        if twin.any():
+            once = ~twin
+            once[twin] = spaced(live[near[twin]], after)
+            near, place = near[once], place[once]
+        hit = near
+        at, gone = live[hit], after[live[hit]]
+        seq[at] = base + made + place
+        kept[gone] = False
+        after[at] = after[gone]
+        before[after[at]] = at
+        seen = np.zeros(n + 1, bool)
+        seen[live] = seen[at] = seen[before[at]] = True  # before the first place is the one behind the last
+        live = np.flatnonzero(seen[:-1] & kept[:-1]).astype(np.int32)
+        live = live[(seq[live] != end) & (seq[after[live]] != end)]
+        rules.append(np.stack([lefts[taken], rights[taken]], axis=1).astype("<u4"))
+        made += len(taken)
+    return base, np.concatenate(rules) if rules else np.zeros((0, 2), "<u4"), seq[:-1][kept[:-1]]
+
+
+def spaced(live: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Every second one of places that follow each other, from the first."""
+    follows = np.concatenate(([False], after[live[:-1]] == live[1:])) if len(live) else np.zeros(0, bool)
+    number = np.arange(len(live))
+    return (number - np.maximum.accumulate(np.where(follows, 0, number))) % 2 == 0
 
 
 def expansion_lengths(base: int, rules: np.ndarray) -> np.ndarray:
