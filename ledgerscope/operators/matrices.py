@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -333,8 +334,19 @@ def static_means(matrix: DataFrame, wallets: DataFrame, columns: list[str]) -> D
     return wallets.select("address").join(means, "address", "left").na.fill(0.0)
 
 
-def walk_forward(matrix: DataFrame, starts: tuple[int, ...] = (10, 15, 20, 25), ahead: int = 5) -> DataFrame:
-    """(fold, part, time_step, txid): train on steps up to each start, predict the next few."""
+def fold_borders(last: int, folds: int = 4, warm_up: float = 1 / 3) -> tuple[list[int], int]:
+    """(last step trained on in each fold, steps predicted after it): the folds share what follows the warm-up, so every
+    later step is predicted once, however long the ledger is."""
+    first = int(last * warm_up)
+    ahead = max(1, math.ceil((last - first) / folds))
+    return list(range(first, last, ahead)), ahead
+
+
+def walk_forward(matrix: DataFrame, folds: int = 4, warm_up: float = 1 / 3) -> DataFrame:
+    """(fold, part, time_step, txid): train on steps up to each border, predict those up to the next."""
+    starts, ahead = fold_borders(matrix.agg(F.max("time_step")).first()[0] or 0, folds, warm_up)
+    if not starts:
+        return matrix.select(F.lit(0).alias("fold"), F.lit("").alias("part"), "time_step", "txid").limit(0)
     folds = F.array(*[F.struct(F.lit(i + 1).alias("fold"), F.lit(s).alias("until")) for i, s in enumerate(starts)])
     rows = matrix.select("txid", "time_step", F.inline(folds))
     part = F.when(F.col("time_step") <= F.col("until"), "train").when(F.col("time_step") <= F.col("until") + ahead, "predict")

@@ -527,6 +527,10 @@ FROM (SELECT s AS id, count(*) AS n FROM sp_two GROUP BY s) f FULL JOIN (SELECT
 SELECT id, community, community_size, CASE WHEN community_size > 1 THEN coalesce(m, 0)::DOUBLE / (community_size * (community_size - 1)) ELSE 0 END AS community_density
 FROM lp JOIN lp_size USING (community) LEFT JOIN (SELECT a.community, count(*) AS m FROM ent_edges e JOIN lp a ON a.id = e.src JOIN lp b ON b.id = e.dst
      WHERE a.community = b.community GROUP BY a.community) USING (community)""", PART, GRAPH, _label_rounds("ent_nodes", "ent_und", 5)),
+    "sorted_table": _with("""
+SELECT 'rows' AS item, count(*) AS value FROM transactions UNION ALL SELECT 'out_of_order', 0 UNION ALL SELECT 'overlapping_files', 0
+UNION ALL SELECT 'unlisted_rows', 0 UNION ALL SELECT 'skips_files', 1
+UNION ALL SELECT 'rows_in_range', count(*) FROM transactions WHERE us BETWEEN (SELECT min(us) + 86400000000 FROM transactions) AND (SELECT min(us) + 172800000000 FROM transactions)"""),
     "community_quality": _with("""
 SELECT community, community_size, coalesce(i, 0)::DOUBLE AS internal_weight, coalesce(vol, 0)::DOUBLE AS volume,
        """ + half_even("CASE WHEN least(coalesce(vol, 0), whole - coalesce(vol, 0)) > 0 THEN (vol - 2 * i)::DOUBLE / least(vol, whole - vol) ELSE 0 END", 9) + """ AS conductance,
@@ -803,8 +807,10 @@ UNION ALL SELECT 'temporal_snapshots', max(time_step)::BIGINT FROM steps""", PAR
         "UNION ALL SELECT 'E006_FEATURE_NAN', 'network/features.parquet', 'network: infinite cells'",
     "walk_forward": _with("""
 SELECT fold, part, time_step, count(*) AS txs FROM (
-  SELECT f.fold, s.time_step, s.txid, CASE WHEN time_step <= until THEN 'train' WHEN time_step <= until + 5 THEN 'predict' END AS part
-  FROM steps s, (VALUES (1, 10), (2, 15), (3, 20), (4, 25)) AS f(fold, until)) WHERE part IS NOT NULL GROUP BY ALL""", STEPS),
+  SELECT f.fold, s.time_step, s.txid, CASE WHEN time_step <= until THEN 'train' WHEN time_step <= until + ahead THEN 'predict' END AS part
+  FROM steps s, (SELECT i + 1 AS fold, first + i * ahead AS until, ahead, most FROM (
+    SELECT most, most // 3 AS first, ceil((most - most // 3) / 4)::INT AS ahead FROM (SELECT max(time_step) AS most FROM steps)), range(4) r(i)) f
+  WHERE until < most) WHERE part IS NOT NULL GROUP BY ALL""", STEPS),
     "leakage": "SELECT * FROM (VALUES ('time_direction', 0::BIGINT), ('disjoint_ids', 0::BIGINT), ('one_prediction', 0::BIGINT)) AS t(check_name, violations)",
     "feature_quantiles": _with(" UNION ALL ".join(
         f"SELECT '{c}' AS feature, quantile_cont({c}, 0.25)::DOUBLE AS q25, median({c})::DOUBLE AS median, quantile_cont({c}, 0.75)::DOUBLE AS q75 FROM wf"

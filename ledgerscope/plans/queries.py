@@ -232,8 +232,9 @@ def source_xml(spark, sf):
     return _clean(records.validate(readers.read_records(spark, path, "xml")))
 
 
-def _documents(rows, path: str, make, documents: int = 6) -> str:
-    """Writes one text file a bucket of rows, made by ``make`` from the bucket's list."""
+def _documents(rows, path: str, make, rows_each: int = 2000) -> str:
+    """Writes one text file a bucket of rows, made by ``make`` from the bucket's list; six files at least."""
+    documents = max(6, -(-rows.count() // rows_each))
     held = rows.withColumn("bucket", F.pmod(F.xxhash64("record_id"), F.lit(documents)).cast("int"))
     grouped = held.groupBy("bucket").agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
     grouped.select("bucket", make(F.col("rows")).alias("value")).repartition(documents, "bucket").write.partitionBy("bucket").text(path)
@@ -1104,6 +1105,41 @@ def replaced_run(spark, sf):
     return back.groupBy("run_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def sorted_table(spark, sf):
+    """Transactions laid out by time, read back: order within and between files, and a day's rows from the files that hold it."""
+    txs = star_case(spark, sf).transactions
+    path = work_path(spark, "sorted-transactions")
+    tables_io.write_sorted(txs, path, ["timestamp", "txid"], 1000)
+    back = spark.read.parquet(path).select("timestamp", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    turned = back.withColumn("ahead", F.lag("timestamp").over(Window.partitionBy("file").orderBy("at"))).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ahead") > F.col("timestamp")).alias("out_of_order")
+    )
+    ranges = spark.read.parquet(f"{path}.ranges")
+    crossed = ranges.withColumn("ahead", F.max("highest").over(Window.orderBy("lowest", "highest").rowsBetween(Window.unboundedPreceding, -1)))
+    files = crossed.agg(
+        F.count_if(F.col("ahead") > F.col("lowest")).alias("overlapping_files"), F.sum("rows").alias("listed"), F.count(F.lit(1)).alias("files"),
+        F.min("lowest").alias("start"),
+    )
+    start = files.first()["start"]
+    low, high = F.lit(start) + F.expr("interval 1 day"), F.lit(start) + F.expr("interval 2 days")
+    day = tables_io.read_range(spark, path, "timestamp", low, high)
+    found = day.agg(F.count(F.lit(1)).alias("rows_in_range"))
+    read = len(day.inputFiles())
+    facts = turned.join(files, F.lit(True)).join(found, F.lit(True)).select(
+        F.inline(
+            F.array(
+                *(F.struct(F.lit(n).alias("item"), v.cast("long").alias("value")) for n, v in (
+                    ("rows", F.col("rows")), ("out_of_order", F.col("out_of_order")), ("overlapping_files", F.col("overlapping_files")),
+                    ("unlisted_rows", F.col("rows") - F.col("listed")), ("skips_files", (F.lit(read) < F.col("files")).cast("int")),
+                    ("rows_in_range", F.col("rows_in_range")),
+                ))
+            )
+        )
+    )
+    return facts
+
+
 @query
 def flagged_nodes(spark, sf):
     g = Graph(spark, sf)

@@ -192,7 +192,7 @@ def record_tags(spark: SparkSession, path: Paths) -> list[str]:
     )["names"]
     pairs = found.where("closed <> ''").select("closed", F.explode(run).alias("next")).distinct().collect()
     inner = F.aggregate(
-        F.slice("opened", 2, 1000),
+        F.slice("opened", F.lit(2), F.size("opened")),
         F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("names")),
         lambda s, t: F.when(s["done"], s).otherwise(
             F.struct((~t["empty"]).alias("done"), F.concat(s["names"], F.array(t["name"])).alias("names"))
