@@ -304,13 +304,19 @@ def flat(parts: list) -> tuple[bytes, bytes]:
     return ends.tobytes(), items.tobytes()
 
 
-def gathered(ends: np.ndarray, items: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(items of the chosen parts one after another, ends of these)."""
-    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1].astype(np.int64)))
-    sizes = (ends.astype(np.int64) - starts)[chosen]
-    out = np.cumsum(sizes)
-    place = np.arange(out[-1] if len(out) else 0) + np.repeat(starts[chosen] - (out - sizes), sizes)
-    return items[place], out
+class Parts:
+    """Many short lists of numbers behind one another, put together again in any order."""
+
+    def __init__(self, ends: np.ndarray, items: np.ndarray) -> None:
+        self.starts = np.concatenate((np.zeros(1, np.int64), ends[:-1].astype(np.int64)))[: len(ends)]
+        self.sizes, self.items = ends.astype(np.int64) - self.starts, items
+
+    def joined(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(items of the chosen lists one after another, ends of these)."""
+        sizes = self.sizes[chosen]
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[chosen] - (ends - sizes), sizes)
+        return self.items[place], ends
 
 
 def _blocks(docs: DataFrame, doc_id: str, text: str, block_words: int) -> DataFrame:
@@ -340,16 +346,14 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, block_words: int) -> DataFr
 def _document_ids(row: dict) -> Iterator[np.ndarray]:
     """ids of every document of a folded block."""
     ids = row["ids"]
-    of_words = pc.list_flatten(ids).to_numpy().astype("<u4")
-    word_ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))
-    piece_ends, pieces = np.frombuffer(row["piece_ends"], "<u8"), np.frombuffer(row["piece_words"], "<u4")
-    of_pieces, ends = gathered(word_ends, of_words, pieces)
+    words = Parts(np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)), pc.list_flatten(ids).to_numpy().astype("<u4"))
+    of_pieces, ends = words.joined(np.frombuffer(row["piece_words"], "<u4"))
     # Where the ids of each piece end: those of its last word.
-    of_piece = np.concatenate((np.zeros(1, np.int64), ends))[piece_ends.astype(np.int64)] if len(piece_ends) else ends
-    start = 0
-    doc_pieces = np.frombuffer(row["doc_pieces"], "<u4")
+    piece_ends = np.frombuffer(row["piece_ends"], "<u8").astype(np.int64)
+    pieces = Parts(np.concatenate((np.zeros(1, np.int64), ends))[piece_ends], of_pieces)
+    start, doc_pieces = 0, np.frombuffer(row["doc_pieces"], "<u4")
     for end in np.frombuffer(row["doc_ends"], "<u8").tolist():
-        yield gathered(of_piece, of_pieces, doc_pieces[start:end])[0]
+        yield pieces.joined(doc_pieces[start:end])[0]
         start = end
 
 
