@@ -44,8 +44,8 @@ from ledgerscope.llm.token_counts import LATIN_WORDS, safe_pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Distinct words and bytes of text at which a block is closed, ids of one batch passed on.
-BLOCK_WORDS = 1 << 19
-BLOCK_TEXT = 1 << 26
+BLOCK_WORDS = 1 << 18
+BLOCK_TEXT = 1 << 25
 BATCH_IDS = 1 << 22
 LONG_WORD = 64
 BLOCK = 64
