@@ -9,7 +9,8 @@ weighted by line length.
 
 Rows: null text counts as empty. A text without a word is one empty line, and scores as such. Documents without a
 label are scored like others. Without labels of both kinds there is nothing to fit, and every score is ``PRIOR``.
-Repeated rows are scored each; repeated labels of one doc_id count once, the lower quality. An empty table gives an
+Very long texts are scored whole. Equal hashes of the fitted sample are ordered by doc_id. Repeated rows are scored each;
+repeated labels of one doc_id count once, the lower quality. An empty table gives an
 empty result. ``keep_good`` keeps all given columns. Memory follows one Arrow batch and its lines' features.
 """
 

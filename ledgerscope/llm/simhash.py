@@ -10,7 +10,8 @@
    of its links, so links grow with the fingerprints and never with their pairs.
 5. The links are joined into components; every document takes the smallest doc_id of its component.
 
-Rows: null text counts as empty and gets fingerprint zero, which links like any other. A null doc_id is a document
+Rows: null text counts as empty and gets fingerprint zero, which links like any other. Very long texts are taken whole, in
+memory in proportion to the one text. A bit set in exactly half of the hashes is 0. A null doc_id is a document
 like any other but never names a component unless all in it are null. Repeated rows link to each other. An empty
 table gives an empty result. Extra columns are kept by ``keep_one`` and ignored otherwise.
 """

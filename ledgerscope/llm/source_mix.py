@@ -14,7 +14,8 @@
 
 The driver holds patterns, never documents; ``max_patterns`` states the bound and a larger number is refused.
 
-Rows: null text has size 0. A null source is a source, last in order. Rows of equal digest (repeated doc_ids) move
+Rows: null text has size 0; very long texts are taken whole and not cut. A null source is a source, last in order; with
+lists of sources an empty or null list is the null source. Rows of equal digest (repeated doc_ids) move
 together. Documents of size 0 take 0. An empty table gives an empty result. Other columns are kept by ``mixed_rows``.
 """
 
