@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ledgerscope.operators.graph_walks import components
 from ledgerscope.session import materialize
 
-# A round must raise modularity by this much to count.
+# A move must raise modularity by this much.
 LEAST_GAIN = 1e-9
+# Rounds and levels go on as long as they raise it by this much.
+WORTH_A_ROUND = 1e-3
 
 
 def weighted_pairs(edges: DataFrame) -> DataFrame:
@@ -113,12 +115,13 @@ def louvain(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:
             turn += 1
             fresh = _moved(links, state, whole, turn)
             then = _modularity(links, fresh, loops, whole)
-            quiet = 0 if then > now + LEAST_GAIN else quiet + 1
+            quiet = 0 if then > now + WORTH_A_ROUND else quiet + 1
             if then > now:
                 state, now = fresh, then
             # Another draw of who may move can still help once, not for ever.
             if quiet == 2:
                 break
+        settled = now <= first + WORTH_A_ROUND
         if now <= first + LEAST_GAIN:
             break
         of = state.select("id", "c")
@@ -129,6 +132,8 @@ def louvain(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:
         level = materialize(
             joined.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("w").alias("w")), "coarse"
         )
+        if settled:
+            break
         at = materialize(state.groupBy("c").agg(F.sum("k").alias("k")).withColumnRenamed("c", "id"), "degrees")
     return _connected(pairs, members)
 

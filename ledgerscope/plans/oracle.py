@@ -514,6 +514,13 @@ UNION ALL SELECT DISTINCT 'node', parent, '' FROM tree WHERE parent IS NOT NULL
 SELECT address, count(*) AS cycles FROM (
   SELECT unnest([a.ia, b.ia, c.ia]) AS address FROM p2 a JOIN p2 b ON a.oa = b.ia JOIN p2 c ON b.oa = c.ia AND c.oa = a.ia
   WHERE a.ia < b.ia AND a.ia < c.ia) GROUP BY address""", PART, PAIRS, "p2 AS MATERIALIZED (SELECT DISTINCT ia, oa FROM pairs)"),
+    "wallet_cycles_4": _with("""
+SELECT u AS address, sum(n)::BIGINT AS cycles FROM (
+  SELECT f.u, f.n * b.n - coalesce(s.n, 0) AS n FROM ways f JOIN ways b ON b.u = f.w AND b.w = f.u
+  LEFT JOIN (SELECT f.u, f.w, count(*) AS n FROM way f JOIN way b ON b.u = f.w AND b.w = f.u AND b.v = f.v GROUP BY f.u, f.w) s ON s.u = f.u AND s.w = f.w)
+WHERE n > 0 GROUP BY u""", PART, PAIRS, "p2 AS MATERIALIZED (SELECT DISTINCT ia, oa FROM pairs WHERE ia <> oa)",
+        "way AS MATERIALIZED (SELECT a.ia AS u, a.oa AS v, b.oa AS w FROM p2 a JOIN p2 b ON a.oa = b.ia WHERE a.ia <> b.oa)",
+        "ways AS MATERIALIZED (SELECT u, w, count(*) AS n FROM way GROUP BY u, w)"),
     "spend_edges": _with("SELECT src AS source_txid, dst AS target_txid FROM spend_rows", SPENDS),
     "spend_degrees": _with("SELECT * FROM sp_deg", SPENDS),
     "wallet_triangles": _with("SELECT * FROM tri", PART, PAIRS, TRIANGLES),

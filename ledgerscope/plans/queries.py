@@ -532,6 +532,12 @@ def wallet_cycles_3(spark, sf):
     return found.withColumnRenamed("id", "address")
 
 
+@query
+def wallet_cycles_4(spark, sf):
+    found = graph.four_cycles(graph.wallet_graph(parts.participation(star_case(spark, sf))))
+    return found.withColumnRenamed("id", "address")
+
+
 @query
 def spend_edges(spark, sf):
     return graph.spend_edges(star_case(spark, sf))

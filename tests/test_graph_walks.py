@@ -293,3 +293,15 @@ def test_communities_without_edges(spark):
     nodes = spark.createDataFrame([("a",), ("b",)], "id string")
     none = spark.createDataFrame([], "src string, dst string")
     assert {tuple(r) for r in modularity.louvain(none, nodes).collect()} == {("a", "a"), ("b", "b")}
+
+
+@pytest.mark.parametrize("seed,n,m", [(11, 9, 30), (12, 14, 60)])
+def test_cycles_of_four(spark, seed, n, m):
+    edges = random_graph(seed, n, m)
+    e, _ = frames(spark, edges + [("n00", "n00")], n)
+    have, want = set(edges), {}
+    for a, b, c, d in itertools.permutations([f"n{i:02d}" for i in range(n)], 4):
+        if a < min(b, c, d) and {(a, b), (b, c), (c, d), (d, a)} <= have:
+            for x in (a, b, c, d):
+                want[x] = want.get(x, 0) + 1
+    assert {r["id"]: r["cycles"] for r in graph.four_cycles(e).collect()} == want
