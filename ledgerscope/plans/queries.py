@@ -587,15 +587,6 @@ def community_quality(spark, sf):
     return rounded(quality, conductance=9, modularity=9)
 
 
-@query
-def modular_communities(spark, sf):
-    """Communities by modularity with the quality of each; held against plain Python in the tests, as SQL has no greedy moves."""
-    g = Graph(spark, sf)
-    links = materialize(g.edges.select("src", "dst"), "links")
-    members = materialize(modularity.louvain(links, g.nodes), "communities")
-    return members.join(modularity.community_quality(modularity.weighted_pairs(links), members), "community")
-
-
 @query
 def address_tx_edges(spark, sf):
     case = star_case(spark, sf)
